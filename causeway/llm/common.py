@@ -52,12 +52,12 @@ def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]
         yield from zip(*(b.column(c).to_pylist() for c in columns), strict=True)
 
 
-def arrow_schema(df_or_ddl: str) -> pa.Schema:
+def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema that answers to a DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(df_or_ddl), timezone="UTC")
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, wavelet
 from .common import documents
 
 
+def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.query(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_mixing": op7_mixing}
+    return {"op3_wavelet": op3_wavelet, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
