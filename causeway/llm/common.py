@@ -38,11 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there."""
+def written(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends there.
+
+    ``batch_rows`` holds for the Arrow batches of this write; rows of a few
+    numbers travel better in large ones.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     df.write.parquet(path)
+    small_batches(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

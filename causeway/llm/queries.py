@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, wavelet
+from . import mixing, simhash, tiff, wavelet
 from .common import documents
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.query(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.query(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -19,7 +27,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_wavelet": op3_wavelet, "op7_mixing": op7_mixing}
+    return {"op1_simhash": op1_simhash, "op5_tiff": op5_tiff, "op3_wavelet": op3_wavelet, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
