@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, tiff, wavelet
+from . import mixing, quality, simhash, tiff, wavelet
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.query(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -27,7 +31,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op5_tiff": op5_tiff, "op3_wavelet": op3_wavelet, "op7_mixing": op7_mixing}
+    return {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op5_tiff": op5_tiff, "op3_wavelet": op3_wavelet, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
