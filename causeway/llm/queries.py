@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash, tiff, wavelet
+from . import mixing, quality, simhash, spotsigs, tiff, toxicity, wavelet
 from .common import documents
 
 
@@ -18,10 +18,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.query(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.query(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.query(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -31,7 +39,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op5_tiff": op5_tiff, "op3_wavelet": op3_wavelet, "op7_mixing": op7_mixing}
+    return {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_tiff": op5_tiff, "op6_spotsigs": op6_spotsigs, "op3_wavelet": op3_wavelet, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
