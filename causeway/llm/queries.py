@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash, spotsigs, tiff, toxicity, wavelet
+from . import mixing, pieces, quality, simhash, spotsigs, tiff, toxicity, wavelet
 from .common import documents
 
 
@@ -38,8 +38,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.query(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_tiff": op5_tiff, "op6_spotsigs": op6_spotsigs, "op3_wavelet": op3_wavelet, "op7_mixing": op7_mixing}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_quality": op2_quality,
+        "op3_wavelet": op3_wavelet,
+        "op4_toxicity": op4_toxicity,
+        "op5_tiff": op5_tiff,
+        "op6_spotsigs": op6_spotsigs,
+        "op7_mixing": op7_mixing,
+        "op10_pieces": op10_pieces,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
