@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality, simhash, spotsigs, tiff, toxicity, wavelet
+from . import mixing, pieces, quality, simhash, spotsigs, suffixes, tiff, toxicity, wavelet
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.query(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.query(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_tiff": op5_tiff,
         "op6_spotsigs": op6_spotsigs,
         "op7_mixing": op7_mixing,
+        "op8_suffixes": op8_suffixes,
         "op10_pieces": op10_pieces,
     }
 
