@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality, simhash, spotsigs, suffixes, tiff, toxicity, wavelet
+from . import lines, mixing, pieces, quality, simhash, spotsigs, suffixes, tiff, toxicity, wavelet
 from .common import documents
 
 
@@ -42,6 +42,10 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.query(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.query(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.query(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_spotsigs": op6_spotsigs,
         "op7_mixing": op7_mixing,
         "op8_suffixes": op8_suffixes,
+        "op9_lines": op9_lines,
         "op10_pieces": op10_pieces,
     }
 
