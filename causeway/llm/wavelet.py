@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,6 +40,8 @@ SHARD_IDS = 1 << 18
 #: Encoded words that a worker remembers at most.
 MEMORY_WORDS = 300_000
 END_ID = 2
+#: Never part of a token with a letter or digit before it; the apostrophe is, in contractions.
+PUNCTUATION = b".,;:!?*#$%&|()[]{}/+=-_"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -151,26 +155,69 @@ class Encoder:
 
     The tokenizer drops white space and none of its patterns reaches over it, so
     a text's ids are those of its parts between ASCII white space, one after
-    another. New parts of a batch go to the library together.
+    another. New parts of a batch go to the library together. Two generations of
+    words are remembered: what was not looked up in a generation is forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
+        if len(self.known) > MEMORY_WORDS:
+            self.known, self.older = {b"": b""}, self.known
+        get = self.known.get
         parts = [t.encode().split() for t in texts]
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        if new:
-            if len(known) + len(new) > MEMORY_WORDS:
-                known.clear()
-                new = list({w for p in parts for w in p})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u2").tobytes()
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        found = [list(map(get, p)) for p in parts]
+        self.learn({w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None})
+        return [b"".join(map(get, p) if None in f else f) for p, f in zip(parts, found, strict=True)]
+
+    def learn(self, new: set[bytes]) -> None:
+        known, older, halves, bare = self.known, self.older, [], {}
+        for w in new:
+            x = older.get(w)
+            if x is not None:
+                known[w] = x
+                continue
+            core, tail = self.halves(w)
+            halves.append((w, core, tail))
+            for h in (core, tail):
+                if h not in known:
+                    x = older.get(h)
+                    if x is None:
+                        bare[h] = None
+                    else:
+                        known[h] = x
+        if bare:
+            words = list(bare)
+            for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+                known[w] = array("H", e.ids).tobytes()
+        for w, core, tail in halves:
+            known[w] = known[core] + known[tail]
+
+    @staticmethod
+    def halves(word: bytes) -> tuple[bytes, bytes]:
+        """A word in lower case and the punctuation after its last ASCII letter or digit.
+
+        The tokenizer lowers case first, and splits there whatever comes before.
+        """
+        core = word.rstrip(PUNCTUATION)
+        if core and core[-1:].isalnum():
+            return core.lower() if core.isascii() else core, word[len(core) :]
+        return word, b""
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker, so that words are remembered from task to task."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -178,12 +225,9 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     name = tokenizer or TOKENIZER
 
     def shards(batches) -> Iterator[tuple]:
-        import os
-
         import public_tokenizers
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(name if "/" in name else public_tokenizers.path(name))
+        words = encoder(name if "/" in name else public_tokenizers.path(name))
         tail, number = np.array([end_id], dtype="<u2").tobytes(), 0
         open_slice, ids, docs_, held = None, [], [], 0
 
@@ -197,7 +241,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
 
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for doc, at, x in zip(b.column("doc_id").to_pylist(), b.column("slice").to_pylist(), encoder.ids(texts), strict=True):
+            for doc, at, x in zip(b.column("doc_id").to_pylist(), b.column("slice").to_pylist(), words.ids(texts), strict=True):
                 if docs_ and (at != open_slice or held >= shard_ids):
                     yield close()
                 if at != open_slice:
