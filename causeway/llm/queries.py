@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import lines, mixing, pieces, quality, simhash, spotsigs, suffixes, tiff, toxicity, wavelet
 from .common import documents
 
@@ -62,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffixes": op8_suffixes,
         "op9_lines": op9_lines,
         "op10_pieces": op10_pieces,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -172,6 +172,113 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: For likeness searches: hash seeds (64 bits each), bits of a chain's first segment, bits that follow it.
+TABLES, HEAD_BITS, CHAIN_BITS = 8, 16, 64
+LIKENESS_SHINGLE, LIKENESS = 5, 0.8
+
+
+def long_fingerprint(hashes: np.ndarray, tables: int = TABLES) -> bytes:
+    """Bits set in over half of the hashes, under ``tables`` different remixings of them."""
+    counts = np.zeros(64 * tables, np.int64)
+    for i in range(0, len(hashes), 4096):
+        mixed = hashes[i : i + 4096, None] * (2 * np.arange(tables, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(30)
+        counts += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def most_bits(likeness: float, bits: int) -> int:
+    """Bits in which sets of this Jaccard ratio differ on average: their vectors' angle over pi."""
+    return math.ceil(bits * math.acos(2 * likeness / (1 + likeness)) / math.pi)
+
+
+def chain_heads(mark: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Every ring segment with its place, and the bits of the chain that follows it."""
+    x = np.frombuffer(mark, np.uint8)
+    step = HEAD_BITS // 8
+    ring = np.concatenate((x, x[: step + CHAIN_BITS // 8]))
+    at = np.arange(0, len(x), step)
+    first = ring[at].astype(np.int64) | ring[at + 1].astype(np.int64) << 8
+    chain = np.stack([ring[i + step : i + step + CHAIN_BITS // 8] for i in at]).view("<i8").ravel()
+    return first | at.astype(np.int64) << 32, chain
+
+
+def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKENESS, tables: int = TABLES) -> DataFrame:
+    """(row long, text) to (row, component): texts of at least this likeness, by long fingerprints.
+
+    64 bits place a ratio of 0.8 anywhere from 4 to 14 bits, so the fingerprint
+    has ``64 * tables`` of them. Two that differ in a share of their bits agree
+    on some of their 16-bit segments; there the chain of the next 64 bits has to
+    stay within its proportional budget with three standard deviations to spare,
+    and last the whole fingerprint within its own. A component is named by its
+    least row.
+    """
+    bits = 64 * tables
+    budget = most_bits(likeness, bits)
+    share = budget / bits
+    chain_budget = math.floor(CHAIN_BITS * share + 3 * math.sqrt(CHAIN_BITS * share * (1 - share)))
+
+    def marked(batches):
+        for row, text in rows_of(batches, "row", "text"):
+            yield row, long_fingerprint(shingle_hashes(text, words), tables)
+
+    marks = written(map_rows(docs.select("row", "text"), marked, "row long, mark binary", size=4096), "long-fingerprints")
+    distinct = written(marks.groupBy("mark").agg(F.min("row").alias("id")), "distinct-long-fingerprints")
+
+    def keyed(batches):
+        for b in batches:
+            heads_ = [chain_heads(m) for m in b.column("mark").to_pylist()]
+            ids = np.repeat(b.column("id").to_numpy(), bits // HEAD_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in heads_])), pa.array(np.concatenate([h[1] for h in heads_])), pa.array(ids)], ["key", "chain", "id"])
+
+    def runs(batches):
+        held = [np.zeros(0, np.int64)] * 3
+
+        def links(keys, chains, ids):
+            cut = np.flatnonzero(np.diff(keys)) + 1
+            begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))
+            out = []
+            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                n = b - a
+                if n < 2:
+                    continue
+                c, label = chains[a:b].view(np.uint64), np.arange(n)
+                for i in range(n - 1):
+                    # Only what is not yet joined to i: a run yields links that span its parts.
+                    near = np.flatnonzero(np.bitwise_count(c[i] ^ c[i + 1 :]) <= chain_budget) + i + 1
+                    for j in near[label[near] != label[i]].tolist():
+                        if label[j] != label[i]:
+                            out.append((int(ids[a + i]), int(ids[a + j])))
+                            label[label == label[j]] = label[i]
+            return out
+
+        for x in (*batches, None):
+            if x is not None:
+                held = [np.concatenate((h, x.column(c).to_numpy())) for h, c in zip(held, ("key", "chain", "id"), strict=True)]
+                last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            else:
+                last = len(held[0])
+            if last and (found := links(*(h[:last] for h in held))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+            held = [h[last:] for h in held]
+
+    keys = distinct.mapInArrow(keyed, "key long, chain long, id long")
+    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "a long, b long")
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely-links", 1 << 14)
+    both = links.join(distinct.toDF("mark_a", "a"), "a").join(distinct.toDF("mark_b", "b"), "b")
+
+    def tested(batches):
+        for a, b, x, y in rows_of(batches, "a", "b", "mark_a", "mark_b"):
+            if int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) <= budget:
+                yield a, b
+
+    reached = components(map_rows(both, tested, "a long, b long", size=4096))
+    named = distinct.join(reached, distinct.id == reached.node, "left").select("mark", F.coalesce("root", "id").alias("component"))
+    return marks.join(named, "mark").select("row", "component")
+
+
 def query(docs: DataFrame) -> DataFrame:
     """op1: fingerprint and component of every document."""
     found = near_duplicates(docs)
