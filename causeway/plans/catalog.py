@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from causeway.plans import primitives
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return primitives.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return primitives.oracle_sql()
