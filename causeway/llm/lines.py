@@ -155,7 +155,7 @@ def shared_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
 
 def without_shared(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """Adds ``row`` and ``gone`` to documents; ``text`` stays as it is."""
-    rows = docs.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    rows = docs.drop("gone").withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     gone = shared_lines(rows.select("row", "doc_id", "text"), rare)
     return rows.join(gone, "row", "left")
 

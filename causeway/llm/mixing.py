@@ -11,7 +11,7 @@ stream, so no block is ever a row.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 ordered last; repeated rows are separate documents; an empty table gives an
-empty result; further columns are kept as they are.
+empty result; further columns are ignored but for those asked for.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .common import WORD
 WEIGHTS = (5.0, 2.0, 1.0)
 #: The mix holds this share of all tokens; a source gives at most MOST times its size.
 SHARE, MOST = 1.5, 2.0
-BLOCK_WORDS = 64
+#: Words of a block at most; the smallest source is cut into about LEAST_BLOCKS blocks at least.
+BLOCK_WORDS, LEAST_BLOCKS = 256, 2000
 #: A shard holds about this many words, and a source at most MOST_SHARDS shards.
 SHARD_WORDS, MOST_SHARDS = 1 << 17, 1 << 16
 SEED = 20240229
@@ -87,8 +88,8 @@ def sainte_lague(df: DataFrame, group: list[str], order: list[Column], claim: st
     return both.select(*keep, (F.col("b._base") + F.coalesce(F.col("m._moved"), F.lit(0))).alias(out))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, source, ...) to (doc_id, source, size, source_size, target, taken, copies, ...).
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, text) to (doc_id, source, size, source_size, target, taken, copies) and the columns of ``keep``.
 
     ``taken`` counts the document's words in the drawn blocks, repeats included.
     ``copies`` is how often the block at the document's middle was drawn: the
@@ -96,17 +97,20 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHAR
     are read once.
     """
     at = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    rest = list(keep)
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *rest).checkpoint()
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = targets(sources, weights, share, most).withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
+    everything = Window.partitionBy()
+    least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(everything)
+    sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(least / LEAST_BLOCKS))).cast("long"))
+    sources = targets(sources, weights, share, most).withColumn("blocks", F.round(F.sum("target").over(everything) / F.col("block")).cast("long"))
     sources = sainte_lague(sources, [], [F.col("source").asc_nulls_last()], "target", "blocks", "source_blocks")
     sources = sources.withColumn("shards", F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_words) + 1).cast("long")).drop("blocks")
     placed = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left")
-    placed = placed.select("d.*", "s.source_size", "s.target", "s.source_blocks", F.pmod(at, F.col("s.shards")).alias("shard"))
-    cells = placed.groupBy("source", "shard", "source_blocks").agg(F.sum("size").alias("words"))
+    placed = placed.select("d.*", "s.source_size", "s.target", "s.source_blocks", "s.block", F.pmod(at, F.col("s.shards")).alias("shard"))
+    cells = placed.groupBy("source", "shard", "source_blocks", "block").agg(F.sum("size").alias("words"))
     cells = sainte_lague(cells, ["source"], [F.col("shard")], "words", "source_blocks", "quota")
-    cells = cells.withColumn("n", F.ceil(F.col("words") / block_words).cast("long")).withColumn("quota", F.least("quota", (F.col("n") * F.lit(most)).cast("long")))
+    cells = cells.withColumn("n", F.ceil(F.col("words") / F.col("block")).cast("long")).withColumn("quota", F.least("quota", (F.col("n") * F.lit(most)).cast("long")))
     cells = cells.withColumn("phase", F.when(F.col("n") > 0, F.pmod(F.xxhash64(F.lit(seed), F.col("source"), F.col("shard")), F.col("n"))).otherwise(F.lit(0)))
     stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("end", F.sum("size").over(stream)).withColumn("begin", F.col("end") - F.col("size"))
@@ -118,10 +122,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHAR
         return f"((({k}) + phase) * quota div n)"
 
     def words(x: str) -> str:
-        k = f"({x} div {block_words})"
-        return f"({block_words} * {drawn(k)} + ({x} - {block_words} * {k}) * ({drawn(f'{k} + 1')} - {drawn(k)}))"
+        k = f"({x} div block)"
+        return f"(block * {drawn(k)} + ({x} - block * {k}) * ({drawn(f'{k} + 1')} - {drawn(k)}))"
 
-    middle = f"((begin + size div 2) div {block_words})"
+    middle = "((begin + size div 2) div block)"
     taken = F.when(F.col("n") > 0, F.expr(f"{words('end')} - {words('begin')}")).otherwise(F.lit(0))
     copies = F.when((F.col("n") > 0) & (F.col("size") > 0), F.expr(f"{drawn(f'{middle} + 1')} - {drawn(middle)}")).otherwise(F.lit(0))
     return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"), *rest)

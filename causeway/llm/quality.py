@@ -230,8 +230,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """Adds the score of ``text`` to all columns."""
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    names = [c for c in docs.columns if c != column]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != column)
 
     def scored(batches):
         for *rest, text in rows_of(batches, *names, "text"):

@@ -1,6 +1,6 @@
 """SimHash near-duplicates through pigeonring filtering.
 
-A fingerprint is cut into ``radius + 1`` ring segments. By the pigeonring
+A fingerprint is cut into ``radius + 1`` ring segments, three at least. By the pigeonring
 principle two fingerprints within ``radius`` bits have a segment from which on
 every chain of l consecutive segments differs in at most l * radius / segments
 bits: the first not at all, the first two in one bit at most, and so on. The
@@ -65,8 +65,9 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each ring segment."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
+    """(lowest bit, width) of each ring segment; at least three, so that two fit into a key."""
+    n = max(3, radius + 1)
+    cuts = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -80,7 +81,7 @@ def heads(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         base = np.uint64(i << 56) | first << np.uint64(width2)
         keys.append(base | second)
         who.append(fps)
-        for bit in range(width2 if len(ring) > 1 else 0):
+        for bit in range(width2):
             has = (second >> np.uint64(bit)) & np.uint64(1) == 1
             keys.append((base | second & ~np.uint64(1 << bit))[has])
             who.append(fps[has])
@@ -230,6 +231,8 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
     def keyed(batches):
         for b in batches:
             heads_ = [chain_heads(m) for m in b.column("mark").to_pylist()]
+            if not heads_:
+                continue
             ids = np.repeat(b.column("id").to_numpy(), bits // HEAD_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in heads_])), pa.array(np.concatenate([h[1] for h in heads_])), pa.array(ids)], ["key", "chain", "id"])
 
