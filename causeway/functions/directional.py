@@ -186,7 +186,7 @@ def supertrend(g, window, multiplier=3.0, lookback_multiplier=8, output="value")
     n = window * lookback_multiplier
     xs = g.list(g.let(f"struct((high + low) / 2.0D AS m, close AS c, {true_range(g)} AS t)"), n)
     seed = f"(aggregate(slice({xs}, 1, {window}), 0D, (s, v) -> s + v.t) / {window})"
-    first = f"{xs}[{window - 1}]"
+    first = f"get({xs}, {window - 1})"
     start = f"named_struct('up', true, 'atr', {seed}, 'hi', {first}.m + {multiplier}D * {seed}, 'lo', {first}.m - {multiplier}D * {seed}, 'c', {first}.c)"
     atr = f"(s.atr + (v.t - s.atr) / {window})"
     hi, lo = f"(v.m + {multiplier}D * {atr})", f"(v.m - {multiplier}D * {atr})"
