@@ -8,8 +8,10 @@ are due ``lag_bars`` bars later at the earliest. Nothing reads a later bar.
 
 from __future__ import annotations
 
+import itertools
 import math
-from dataclasses import asdict, dataclass, field
+from collections import Counter
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +32,13 @@ class Costs:
 
 @dataclass(frozen=True)
 class Run:
+    """One instrument's settings.
+
+    ``sizing``: none and fixed take ``quantity``; equity_fraction a share of
+    equity in notional; per_equity the column ``size`` times equity; column the
+    column ``size``. All are truncated, and undefined is no order.
+    """
+
     initial_cash: float
     quantity: int = 1
     multiplier: float = 1.0
@@ -44,6 +53,8 @@ class Run:
     liquidate_at_end: bool = False
     sizing: str = "none"
     fraction: float = 0.0
+    max_contracts: int | None = None
+    category: str | None = None
     costs: Costs = field(default_factory=Costs)
 
     def __post_init__(self):
@@ -51,7 +62,7 @@ class Run:
             raise ValueError("initial_cash must be positive")
         if self.lag_bars < 1:
             raise ValueError("lag_bars must be at least 1: an order cannot fill on the bar that decides it")
-        if self.sizing not in ("none", "fixed", "equity_fraction"):
+        if self.sizing not in ("none", "fixed", "equity_fraction", "per_equity", "column"):
             raise ValueError(f"unknown sizing {self.sizing!r}")
 
 
@@ -66,20 +77,25 @@ def trigger(kind: str, side: int, price: float | None, bar: dict) -> float | Non
     return (max if side > 0 else min)(price, bar["open"]) if touched else None
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Caps on the portfolio; an order is refused if it ends above one and worse than before."""
+
+    max_gross_exposure: float | None = None
+    max_net_exposure: float | None = None
+    max_positions: int | None = None
+    max_per_category: int | None = None
+
+
 class Book:
-    """Cash, one average-price position and what has happened to it."""
+    """One instrument's average-price position and what has happened to it; cash is the account's."""
 
-    def __init__(self, run: Run):
-        self.run, self.cash = run, run.initial_cash
-        self.quantity, self.average, self.opened = 0, 0.0, None
+    def __init__(self, run: Run, account: Account, symbol: str):
+        self.run, self.account, self.symbol = run, account, symbol
+        self.quantity, self.average, self.opened, self.mark = 0, 0.0, None, None
         self.trade_fees, self.trade_pnl, self.largest = 0.0, 0.0, 0
         self.stop, self.target, self.armed = None, None, None
-        self.fills: list[dict] = []
-        self.trades: list[dict] = []
-        self.clamped = self.rejected = self.both = self.expired = 0
-
-    def equity(self, mark: float) -> float:
-        return self.cash + self.quantity * self.run.multiplier * (mark - self.average)
+        self.held, self.high, self.low, self.last_pnl = 0, None, None, None
 
     def slipped(self, kind: str, side: int, price: float, bar: dict) -> float:
         """Only market and stop orders slip, against the order and never out of the bar."""
@@ -88,26 +104,27 @@ class Book:
         c = self.run.costs
         moved = price + side * (c.slippage_ticks * self.run.tick_size + price * c.slippage_bps / 1e4)
         inside = min(max(moved, bar["low"]), bar["high"])
-        self.clamped += inside != moved
+        self.account.counts["clamped"] += inside != moved
         return inside
 
-    def fill(self, side: int, contracts: int, price: float, bar: dict, tag: str, free: bool = False) -> None:
+    def fill(self, side: int, contracts: int, price: float, bar: dict, tag: str) -> None:
         """Books a fill; a flip closes first and enters the rest at the same price."""
-        c = self.run.costs
+        c, account = self.run.costs, self.account
         fee = c.fee_per_contract * contracts + c.fee_flat
-        self.cash -= fee
-        self.fills.append({"bar_index": bar["bar_index"], "side": side, "quantity": contracts, "price": price, "fee": fee, "tag": tag})
+        account.cash -= fee
+        account.fills.append({"symbol": self.symbol, "bar_index": bar["bar_index"], "side": side, "quantity": contracts, "price": price, "fee": fee, "tag": tag})
         closing = min(contracts, abs(self.quantity)) if self.quantity * side < 0 else 0
         self.trade_fees += fee
         if closing:
             pnl = -side * closing * self.run.multiplier * (price - self.average)
-            self.cash += pnl
+            account.cash += pnl
             self.trade_pnl += pnl
             self.quantity += side * closing
             if not self.quantity:
-                self.trades.append({"opened_bar": self.opened, "closed_bar": bar["bar_index"], "direction": -side, "max_quantity": self.largest, "gross_pnl": self.trade_pnl, "fees": self.trade_fees})
+                account.trades.append({"symbol": self.symbol, "opened_bar": self.opened, "closed_bar": bar["bar_index"], "direction": -side, "max_quantity": self.largest, "gross_pnl": self.trade_pnl, "fees": self.trade_fees})
+                self.last_pnl = self.trade_pnl - self.trade_fees
                 self.trade_fees = self.trade_pnl = 0.0
-                self.largest, self.average = 0, 0.0
+                self.largest, self.average, self.held, self.high, self.low = 0, 0.0, 0, None, None
                 self.stop = self.target = self.armed = None
         rest = contracts - closing
         if rest:
@@ -116,6 +133,66 @@ class Book:
             self.average = (self.average * abs(self.quantity) + price * rest) / (abs(self.quantity) + rest)
             self.quantity += side * rest
         self.largest = max(self.largest, abs(self.quantity))
+        self.mark = price if self.mark is None else self.mark
+
+    def open_profit(self) -> float:
+        return self.quantity * self.run.multiplier * (self.mark - self.average) if self.quantity else 0.0
+
+    def exposure(self, quantity: int | None = None, price: float | None = None) -> float:
+        q = self.quantity if quantity is None else quantity
+        return q * self.run.multiplier * (price if price is not None else self.mark) if q else 0.0
+
+    def state(self, closed_now: bool) -> dict[str, float | None]:
+        """What the position node reads."""
+        held = self.quantity != 0
+        return {
+            "quantity": float(self.quantity), "direction": float((self.quantity > 0) - (self.quantity < 0)), "bars_held": float(self.held), "entry_price": self.average if held else None,
+            "high_since_entry": self.high, "low_since_entry": self.low, "closed_trade": float(closed_now), "closed_pnl": self.last_pnl,
+        }
+
+
+class Account:
+    """Cash and the books of a run."""
+
+    def __init__(self, runs: dict[str, Run], limits: Limits):
+        self.initial = self.cash = next(iter(runs.values())).initial_cash
+        self.peak = self.initial
+        self.limits = limits
+        self.books = {s: Book(r, self, s) for s, r in runs.items()}
+        self.fills: list[dict] = []
+        self.trades: list[dict] = []
+        self.counts: Counter[str] = Counter()
+
+    def equity(self) -> float:
+        return self.cash + sum(b.open_profit() for b in self.books.values())
+
+    def refusal(self, book: Book, side: int, contracts: int, price: float) -> str | None:
+        """The cap that an entry would break, if any."""
+        wanted, run, equity = book.quantity + side * contracts, book.run, self.equity()
+        if run.max_gross_contracts is not None and abs(wanted) > run.max_gross_contracts:
+            return "gross_contracts"
+        others = [b for b in self.books.values() if b is not book]
+        margin = sum(b.run.initial_margin * abs(b.quantity) for b in others) + run.initial_margin * abs(wanted)
+        if run.reject_on_margin and margin > equity:
+            return "margin"
+        before, after = [book.exposure(price=price)], [book.exposure(wanted, price)]
+        rest = [b.exposure() for b in others]
+        worth = lambda xs, f: f(xs + rest) / equity if equity > 0 else float("inf")
+        gross, net = lambda xs: sum(map(abs, xs)), lambda xs: abs(sum(xs))
+        same = [b for b in others if b.run.category == run.category and b.quantity]
+        held = [b for b in others if b.quantity]
+        caps = (
+            ("gross_exposure", self.limits.max_gross_exposure, worth(after, gross), worth(before, gross)),
+            ("net_exposure", self.limits.max_net_exposure, worth(after, net), worth(before, net)),
+            ("positions", self.limits.max_positions, len(held) + (wanted != 0), len(held) + (book.quantity != 0)),
+            ("per_category", self.limits.max_per_category, len(same) + (wanted != 0), len(same) + (book.quantity != 0)),
+        )
+        return next((name for name, cap, now, was in caps if cap is not None and now > cap and now > was), None)
+
+    def state(self) -> dict[str, float]:
+        """What the account node reads."""
+        now = self.equity()
+        return {"equity": now, "cash": self.cash, "peak_equity": self.peak, "initial_equity": self.initial, "drawdown": now / self.peak - 1 if self.peak > 0 else 0.0, "total_return": now / self.initial - 1}
 
 
 def _value(bar: dict, name: str) -> float | None:
@@ -123,98 +200,179 @@ def _value(bar: dict, name: str) -> float | None:
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v)
 
 
-def fold(bars: list[dict], run: Run) -> dict[str, list[dict]]:
-    """Equity, fills and trades of one run over one instrument."""
-    book, pending, curve, first = Book(run), [], [], None
-    for i, bar in enumerate(bars):
-        # Protections are armed from the bar after the fill.
-        if book.quantity and book.armed is not None and i > book.armed:
-            side = -1 if book.quantity > 0 else 1
-            hits = [(k, t) for k, p in (("stop", book.stop), ("limit", book.target)) if p is not None and (t := trigger(k, side, p, bar)) is not None]
-            if len(hits) == 2:
-                book.both += 1
-                hits = hits[:1] if run.pessimistic else hits[1:]
-            for kind, at in hits:
-                book.fill(side, abs(book.quantity), book.slipped(kind, side, at, bar), bar, "stop_loss" if kind == "stop" else "take_profit")
-        due, pending = [o for o in pending if o["due"] <= i], [o for o in pending if o["due"] > i]
-        for o in due:
-            if run.max_fill_gap_seconds is not None and (bar["ts"] - o["ts"]) > run.max_fill_gap_seconds:
-                book.expired += 1
-                continue
-            contracts = min(o["quantity"], abs(book.quantity)) if o["reduce"] else o["quantity"]
-            if not contracts or (o["reduce"] and book.quantity * o["side"] >= 0):
-                continue
-            at = trigger(o["kind"], o["side"], o["price"], bar)
-            if at is None:
-                continue
-            if not o["reduce"]:
-                wanted = abs(book.quantity + o["side"] * contracts)
-                if run.max_gross_contracts is not None and wanted > run.max_gross_contracts:
-                    book.rejected += 1
+def evaluate(spec: dict, bar: dict, position: dict, account: dict) -> float | None:
+    """What is left of a rule once its parts without position or account are columns."""
+    kind, of = spec["type"].partition("@")[0], lambda k: evaluate(spec[k], bar, position, account)
+    if kind == "column":
+        return _value(bar, spec["name"])
+    if kind == "constant":
+        return float(spec["value"])
+    if kind in ("position", "account"):
+        return {"position": position, "account": account}[kind][spec.get("field", "quantity" if kind == "position" else "equity")]
+    if kind == "if_then_else":
+        c = of("condition")
+        return None if c is None else of("then") if c else of("otherwise")
+    if kind in ("all_of", "any_of", "min_of", "max_of"):
+        xs = [evaluate(x, bar, position, account) for x in spec["operands"]]
+        if None in xs:
+            return None
+        return {"all_of": lambda: float(all(xs)), "any_of": lambda: float(any(xs)), "min_of": lambda: min(xs), "max_of": lambda: max(xs)}[kind]()
+    if kind == "not":
+        x = of("inner")
+        return None if x is None else float(x == 0)
+    if kind == "math":
+        x = of("inner")
+        if x is None:
+            return None
+        try:
+            y = {"abs": abs, "neg": lambda v: -v, "sign": lambda v: float((v > 0) - (v < 0)), "log": math.log, "exp": math.exp, "sqrt": math.sqrt, "inverse": lambda v: 1 / v, "floor": math.floor, "ceil": math.ceil}[spec["op"]](x)
+        except (ValueError, ZeroDivisionError, OverflowError):
+            return None
+        return float(y)
+    a, b = of("left"), of("right")
+    if a is None or b is None:
+        return None
+    if kind == "compare":
+        return float({">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b, "==": a == b, "!=": a != b}[spec["op"]])
+    if spec["op"] in "/%" and b == 0:
+        return None
+    return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b}[spec["op"]]()
+
+
+def fold_panel(bars: list[dict], runs: dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None) -> dict[str, list[dict]]:
+    """Equity, fills and trades of one portfolio.
+
+    ``bars`` come in order of instant and then symbol. An order waits for its
+    instrument's next bar once it is due. ``residual`` holds the rules that read
+    the position or the account.
+    """
+    account, pending, curve, residual = Account(runs, limits or Limits()), [], [], residual or {}
+    ended = {b["symbol"]: b for b in bars}
+    for i, (_, group) in enumerate(itertools.groupby(bars, key=lambda b: b["ts"])):
+        group = list(group)
+        closed = {b["symbol"]: len(account.trades) for b in group}
+        for bar in group:
+            book = account.books[bar["symbol"]]
+            run = book.run
+            trades = len(account.trades)
+            # Protections are armed from the bar after the fill.
+            if book.quantity and book.armed is not None and i > book.armed:
+                side = -1 if book.quantity > 0 else 1
+                hits = [(k, t) for k, p in (("stop", book.stop), ("limit", book.target)) if p is not None and (t := trigger(k, side, p, bar)) is not None]
+                if len(hits) == 2:
+                    account.counts["both"] += 1
+                    hits = hits[:1] if run.pessimistic else hits[1:]
+                for kind, at in hits:
+                    book.fill(side, abs(book.quantity), book.slipped(kind, side, at, bar), bar, "stop_loss" if kind == "stop" else "take_profit")
+            due = [o for o in pending if o["due"] <= i and o["symbol"] == bar["symbol"]]
+            pending = [o for o in pending if o["due"] > i or o["symbol"] != bar["symbol"]]
+            for o in due:
+                if run.max_fill_gap_seconds is not None and (bar["ts"] - o["ts"]) > run.max_fill_gap_seconds:
+                    account.counts["expired"] += 1
+                    continue
+                contracts = min(o["quantity"], abs(book.quantity)) if o["reduce"] else o["quantity"]
+                if not contracts or (o["reduce"] and book.quantity * o["side"] >= 0):
                     continue
-                if run.reject_on_margin and run.initial_margin * wanted > book.equity(at):
-                    book.rejected += 1
+                at = trigger(o["kind"], o["side"], o["price"], bar)
+                if at is None:
                     continue
-            book.fill(o["side"], contracts, book.slipped(o["kind"], o["side"], at, bar), bar, o["tag"])
-            if book.quantity and not o["reduce"]:
-                book.stop, book.target, book.armed = o["stop"], o["target"], i
-        equity = book.equity(bar["close"])
-        first = first if first is not None else equity
-        curve.append({"bar_index": bar["bar_index"], "ts": bar["ts"], "equity": equity, "cash": book.cash, "contracts": book.quantity})
-
-        def order(side: int, contracts: int, reduce: bool, tag: str, kind: str = "market", price: float | None = None, stop=None, target=None, i=i, bar=bar) -> None:
-            if contracts > 0:
-                pending.append({"side": side, "quantity": contracts, "reduce": reduce, "tag": tag, "kind": kind, "price": price, "stop": stop, "target": target, "due": i + run.lag_bars, "ts": bar["ts"]})
-
-        true = lambda name, bar=bar: (v := _value(bar, name)) is not None and v != 0
-        leaving = False
-        for direction, name in ((1, "exit_long"), (-1, "exit_short")):
-            if book.quantity * direction > 0 and true(name):
-                part = _value(bar, "exit_quantity")
-                contracts = abs(book.quantity) if part is None else min(int(part), abs(book.quantity))
-                order(-direction, contracts, True, name)
-                leaving = contracts == abs(book.quantity)
-        size = run.quantity
-        if run.sizing == "equity_fraction":
-            size = int(equity * run.fraction / (bar["close"] * run.multiplier)) if bar["close"] > 0 else 0
-        for direction, name in ((1, "entry_long"), (-1, "entry_short")):
-            if not true(name):
-                continue
-            held = book.quantity and not leaving
-            if held and (book.quantity * direction < 0 or not run.pyramiding):
-                continue
-            kind, price = next(((k, p) for k, n in (("limit", "entry_limit"), ("stop", "entry_stop")) if (p := _value(bar, n)) is not None), ("market", None))
-            order(direction, size, False, name, kind, price, _value(bar, "stop_loss"), _value(bar, "take_profit"))
-    if run.liquidate_at_end and book.quantity and bars:
-        last = bars[-1]
-        book.fill(-1 if book.quantity > 0 else 1, abs(book.quantity), last["close"], last, "liquidation")
-        curve[-1] |= {"equity": book.cash, "cash": book.cash, "contracts": 0}
-    return {"equity": curve, "fills": book.fills, "trades": book.trades}
+                if not o["reduce"]:
+                    book.mark = at if book.mark is None else book.mark
+                    if why := account.refusal(book, o["side"], contracts, at):
+                        account.counts[why] += 1
+                        continue
+                book.fill(o["side"], contracts, book.slipped(o["kind"], o["side"], at, bar), bar, o["tag"])
+                if book.quantity and not o["reduce"]:
+                    book.stop, book.target, book.armed = o["stop"], o["target"], i
+            book.mark = bar["close"]
+            if book.quantity:
+                book.held += 1
+                book.high = bar["high"] if book.high is None else max(book.high, bar["high"])
+                book.low = bar["low"] if book.low is None else min(book.low, bar["low"])
+            closed[bar["symbol"]] = len(account.trades) > trades
+        equity = account.equity()
+        account.peak = max(account.peak, equity)
+        curve.append({"bar_index": group[0]["bar_index"] if len(runs) == 1 else i, "ts": group[0]["ts"], "equity": equity, "cash": account.cash, "contracts": sum(abs(b.quantity) for b in account.books.values()) if len(runs) > 1 else next(iter(account.books.values())).quantity})
+        for bar in group:
+            book = account.books[bar["symbol"]]
+            if residual:
+                states = book.state(closed[bar["symbol"]]), account.state()
+                bar = bar | {name: evaluate(rule, bar, *states) for name, rule in residual.items()}
+            pending += decisions(book, bar, equity, i)
+    if any(b.run.liquidate_at_end and b.quantity for b in account.books.values()):
+        for symbol, book in account.books.items():
+            if book.run.liquidate_at_end and book.quantity:
+                book.fill(-1 if book.quantity > 0 else 1, abs(book.quantity), ended[symbol]["close"], ended[symbol], "liquidation")
+        curve[-1] |= {"equity": account.equity(), "cash": account.cash, "contracts": sum(abs(b.quantity) for b in account.books.values())}
+    return {"equity": curve, "fills": account.fills, "trades": account.trades}
+
+
+def decisions(book: Book, bar: dict, equity: float, i: int) -> list[dict]:
+    """The orders that the rules place at a bar's close: exits first, then entries."""
+    run, out = book.run, []
+
+    def order(side: int, contracts: int, reduce: bool, tag: str, kind: str = "market", price: float | None = None, stop=None, target=None) -> None:
+        if contracts > 0:
+            out.append({"symbol": book.symbol, "side": side, "quantity": contracts, "reduce": reduce, "tag": tag, "kind": kind, "price": price, "stop": stop, "target": target, "due": i + run.lag_bars, "ts": bar["ts"]})
+
+    true = lambda name: (v := _value(bar, name)) is not None and v != 0
+    leaving = False
+    for direction, name in ((1, "exit_long"), (-1, "exit_short")):
+        if book.quantity * direction > 0 and true(name):
+            part = _value(bar, "exit_quantity")
+            contracts = abs(book.quantity) if part is None else min(int(part), abs(book.quantity))
+            order(-direction, contracts, True, name)
+            leaving = contracts == abs(book.quantity)
+    size = run.quantity
+    if run.sizing == "equity_fraction":
+        worth = abs(bar["close"]) * run.multiplier
+        size = int(equity * run.fraction / worth) if worth > 0 else 0
+    elif run.sizing == "per_equity":
+        size = int(equity * (_value(bar, "size") or 0.0))
+    elif run.sizing == "column":
+        size = max(int(_value(bar, "size") or 0.0), 0)
+    if run.max_contracts is not None:
+        size = min(size, run.max_contracts)
+    for direction, name in ((1, "entry_long"), (-1, "entry_short")):
+        if not true(name):
+            continue
+        held = book.quantity and not leaving
+        if held and (book.quantity * direction < 0 or not run.pyramiding):
+            continue
+        kind, price = next(((k, p) for k, n in (("limit", "entry_limit"), ("stop", "entry_stop")) if (p := _value(bar, n)) is not None), ("market", None))
+        order(direction, size, False, name, kind, price, _value(bar, "stop_loss"), _value(bar, "take_profit"))
+    return out
+
+
+def fold(bars: list[dict], run: Run, residual: dict[str, dict] | None = None) -> dict[str, list[dict]]:
+    """One run over one instrument."""
+    return fold_panel([{"symbol": "", **b} for b in bars], {b.get("symbol", ""): run for b in bars[:1]} or {"": run}, None, residual)
 
 
 OUTPUTS = {
     "equity": "run_id string, bar_index long, ts double, equity double, cash double, contracts long",
-    "fills": "run_id string, bar_index long, side int, quantity long, price double, fee double, tag string",
-    "trades": "run_id string, opened_bar long, closed_bar long, direction int, max_quantity long, gross_pnl double, fees double",
+    "fills": "run_id string, symbol string, bar_index long, side int, quantity long, price double, fee double, tag string",
+    "trades": "run_id string, symbol string, opened_bar long, closed_bar long, direction int, max_quantity long, gross_pnl double, fees double",
 }
 
 
-def simulate(signals: DataFrame, run: Run, output: str = "equity") -> DataFrame:
+def simulate(signals: DataFrame, run: Run | dict[str, Run], output: str = "equity", limits: Limits | None = None, residual: dict[str, dict] | None = None) -> DataFrame:
     """Folds each ``run_id`` of bars with rule columns; ``output``: equity, fills or trades.
 
-    A run's bars are one group, since each depends on the last; many runs, folds
-    or parameter sets are as many groups.
+    Settings are one for every symbol, or one a symbol. A run's bars are one
+    group, since each depends on the last; many runs, folds or parameter sets
+    are as many groups.
     """
     if output not in OUTPUTS:
         raise ValueError(f"unknown output {output!r}")
-    names = [c for c in RULES if c in signals.columns]
-    rows = signals.select("run_id", "bar_index", (F.unix_micros("ts_close") / 1e6).alias("ts"), "open", "high", "low", "close", *names)
-    plain = asdict(run)
+    names = [c for c in signals.columns if c in (*RULES, "size") or c.startswith("part_")]
+    rows = signals.select("run_id", "symbol", "bar_index", (F.unix_micros("ts_close") / 1e6).alias("ts"), "open", "high", "low", "close", *names)
     columns = [c.split()[0] for c in OUTPUTS[output].split(", ")]
 
     def one(key: tuple, bars: pd.DataFrame) -> pd.DataFrame:
-        own = Run(**plain | {"costs": Costs(**plain["costs"])})
-        found = fold(bars.sort_values("bar_index").to_dict("records"), own)[output]
+        records = bars.sort_values(["ts", "symbol"]).to_dict("records")
+        runs = run if isinstance(run, dict) else dict.fromkeys(sorted({r["symbol"] for r in records}), run)
+        found = fold_panel(records, runs, limits, residual)[output]
         return pd.DataFrame([{"run_id": key[0], **r} for r in found], columns=columns)
 
     return rows.groupBy("run_id").applyInPandas(one, OUTPUTS[output])

@@ -112,10 +112,11 @@ def settings(doc: dict, root: str) -> simulation.Run:
         fee_per_contract=per if fees["kind"] == "per_contract" else 0.0, fee_flat=per if fees["kind"] == "flat" else 0.0,
         slippage_ticks=slip.get("ticks", 0.0) if slip["kind"] == "tick" else 0.0, slippage_bps=slip.get("bps", 0.0) if slip["kind"] == "bps" else 0.0,
     )
+    modes = {"equity_fraction": "equity_fraction", "risk_fraction": "per_equity", "vol_target": "column", "signal": "column"}
     return simulation.Run(
         doc["initial_cash"], quantity=sizing.get("contracts") or doc["strategy"]["params"].get("quantity", 1), multiplier=spec["multiplier"], tick_size=spec["tick_size"], lag_bars=e["lag_bars"], pessimistic=e["intrabar_priority"] == "pessimistic",
         initial_margin=spec["initial_margin"], reject_on_margin=e["margin_policy"] == "reject", max_fill_gap_seconds=e["max_fill_gap_seconds"], max_gross_contracts=doc["risk"].get("max_gross_contracts"), liquidate_at_end=doc["liquidate_at_end"],
-        sizing="equity_fraction" if sizing.get("kind") == "equity_fraction" else "none", fraction=sizing.get("fraction") or 0.0, costs=costs,
+        sizing=modes.get(sizing.get("kind"), "none"), fraction=sizing.get("fraction") or 0.0, max_contracts=sizing.get("max_contracts"), category=spec["category"], pyramiding=doc["strategy"]["params"].get("pyramiding", False), costs=costs,
     )
 
 
@@ -133,11 +134,60 @@ def _rules(doc: dict) -> dict[str, dict]:
     return params.get("rules", {})
 
 
-def signals(spark: SparkSession, doc: dict) -> DataFrame:
-    """Bars with the rules' columns and ``run_id``, one run an instrument."""
-    graph = Graph()
-    columns = {name: nodes.compile_node(graph, rule) for name, rule in _rules(doc).items()}
-    return graph.apply(sources(spark, doc), **columns).withColumn("run_id", F.col("symbol"))
+def _reads_state(spec) -> bool:
+    if isinstance(spec, dict):
+        return str(spec.get("type", "")).partition("@")[0] in ("position", "account") or any(map(_reads_state, spec.values()))
+    return isinstance(spec, list) and any(map(_reads_state, spec))
+
+
+def split(graph: Graph, spec: dict, parts: dict[str, str]) -> dict:
+    """Replaces what does not read the position or the account by columns ``part_<n>``.
+
+    A window over the position's own past has no form here and is refused.
+    """
+    if not _reads_state(spec):
+        name = f"part_{len(parts)}"
+        parts[name] = nodes.compile_node(graph, spec)
+        return {"type": "column", "name": name}
+    kind = spec["type"].partition("@")[0]
+    if kind in ("position", "account"):
+        return spec
+    if kind not in ("compare", "arith", "all_of", "any_of", "not", "if_then_else", "math", "min_of", "max_of"):
+        raise ConfigError(f"{kind} cannot look back at the position or the account")
+    deeper = lambda v: split(graph, v, parts) if isinstance(v, dict) else [split(graph, x, parts) for x in v] if isinstance(v, list) else v
+    return {k: deeper(v) if k != "note" else v for k, v in spec.items()}
+
+
+def _size(graph: Graph, doc: dict) -> str | None:
+    """Contracts, or contracts per unit of equity before the multiplier, of the sizing rules that read bars."""
+    z = doc["risk"].get("sizing", {})
+    if z.get("kind") == "risk_fraction":
+        atr = registry.get("atr").column(graph, window=z.get("atr_window", 14))
+        return graph.let(f"CASE WHEN {atr} > 0 THEN {float(z['fraction'])} / ({float(z.get('atr_multiple', 2.0))} * {atr}) END")
+    if z.get("kind") == "vol_target":
+        v = registry.get("volatility").column(graph, window=z.get("vol_window", 20), log=True)
+        return graph.let(f"CASE WHEN {v} > 0 THEN {float(z.get('contracts') or 1)} * least({float(z.get('vol_max_multiple', 4.0))}D, {float(z['vol_target'])} / {v}) END")
+    return nodes.compile_node(graph, z["signal"]) if z.get("kind") == "signal" else None
+
+
+def signals(spark: SparkSession, doc: dict) -> tuple[DataFrame, dict[str, dict]]:
+    """Bars with the rules' columns, and what is left of rules that read the position or the account.
+
+    A panel strategy is one run; otherwise each instrument is one.
+    """
+    graph, parts, rest, columns = Graph(), {}, {}, {}
+    for name, rule in _rules(doc).items():
+        if _reads_state(rule):
+            rest[name] = split(graph, rule, parts)
+        else:
+            columns[name] = nodes.compile_node(graph, rule)
+    size = _size(graph, doc)
+    out = graph.apply(sources(spark, doc), **columns, **parts, **({"size": size} if size else {}))
+    if size and doc["risk"]["sizing"]["kind"] == "risk_fraction":
+        each = market.instruments(spark).select("symbol", "multiplier")
+        out = out.join(each, "symbol", "left").withColumn("size", F.col("size") / F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
+    panel_run = doc["strategy"]["ref"] in ("multi_rules@1",)
+    return out.withColumn("run_id", F.lit(doc["name"]) if panel_run else F.col("symbol")), rest
 
 
 def picks(spark: SparkSession, doc: dict) -> DataFrame:
@@ -160,14 +210,18 @@ def run(spark: SparkSession, document: dict) -> dict[str, DataFrame]:
     doc = check(document)
     if doc["strategy"]["ref"] in ("ranking@1", "cross_sectional_momentum@1"):
         return {"picks": picks(spark, doc)}
-    rows = signals(spark, doc)
+    rows, rest = signals(spark, doc)
     if doc["stop"]:
         rows = rows.where(F.col("bar_index") < doc["stop"])
-    out: dict[str, DataFrame] = {}
-    for d in doc["data"]:
-        name = d["alias"] or market.instrument(d["root"])["symbol"]
-        own = rows.where(F.col("symbol") == name)
-        for kind in simulation.OUTPUTS:
-            one = simulation.simulate(own, settings(doc, d["root"]), kind)
-            out[kind] = one if kind not in out else out[kind].unionByName(one)
+    runs = {d["alias"] or market.instrument(d["root"])["symbol"]: settings(doc, d["root"]) for d in doc["data"]}
+    caps = simulation.Limits(**{k: v for k, v in doc["risk"].get("limits", {}).items() if k != "note"})
+    out = {}
+    for kind in simulation.OUTPUTS:
+        if doc["strategy"]["ref"] == "multi_rules@1":
+            out[kind] = simulation.simulate(rows, runs, kind, caps, rest)
+        else:  # one instrument a run, each with its own settings
+            each = [simulation.simulate(rows.where(F.col("symbol") == name), {name: own}, kind, caps, rest) for name, own in runs.items()]
+            out[kind] = each[0]
+            for more in each[1:]:
+                out[kind] = out[kind].unionByName(more)
     return out | {"performance": metrics.performance(out["equity"], doc["risk_free_annual"]), "activity": metrics.activity(out["trades"])}

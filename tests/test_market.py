@@ -139,3 +139,27 @@ def test_stream_replays_the_batch(spark, tmp_path):
     index = {(r["symbol"], r["ts_close"]): r["bar_index"] for r in bars.events(spark, SF).collect()}
     found = {(r["symbol"], index[r["symbol"], r["ts_close"]]): r["crossed"] for r in spark.table("crossed_out").collect()}
     assert {k: v for k, v in found.items() if v is not None} == want
+
+
+def test_rules_that_read_the_position(spark, folder):
+    """Out after five bars, whatever the price does."""
+    doc = document(folder / "es.parquet", definitions={})
+    held = {"type": "compare", "op": ">=", "left": {"type": "position", "field": "bars_held"}, "right": {"type": "constant", "value": 5}}
+    doc["strategy"] = {"ref": "rules@1", "params": {"rules": {"entry_long": {"type": "constant", "value": 1}, "exit_long": {"type": "all_of", "operands": [held, {"type": "compare", "op": ">", "left": {"type": "price"}, "right": {"type": "constant", "value": 0}}]}}}}
+    trades = documents.run(spark, doc)["trades"].collect()
+    assert len(trades) > 50 and {t["closed_bar"] - t["opened_bar"] for t in trades} == {5}
+    doc["strategy"]["params"]["rules"]["exit_long"] = {"type": "lag", "bars": 1, "inner": held}
+    with pytest.raises(documents.ConfigError):
+        documents.run(spark, doc)
+
+
+def test_one_portfolio_over_instruments(spark, folder):
+    doc = document(folder / "es.parquet", definitions={}, risk={"limits": {"max_positions": 1}, "sizing": {"kind": "vol_target", "vol_target": 0.001, "contracts": 2}})
+    doc["data"] = [{"root": r, "path": str(folder / "es.parquet")} for r in ("ES", "NQ")]
+    doc["strategy"] = {"ref": "multi_rules@1", "params": {"rules": {"entry_long": {"type": "constant", "value": 1}}}}
+    out = documents.run(spark, doc)
+    fills = out["fills"].collect()
+    assert {f["symbol"] for f in fills} == {"ES.v.0"} and out["equity"].count() == 400
+    doc["risk"]["limits"] = {}
+    both = documents.run(spark, doc)
+    assert {f["symbol"] for f in both["fills"].collect()} == {"ES.v.0", "NQ.v.0"} and both["performance"].count() == 1
