@@ -11,7 +11,7 @@ in the corpus. The work narrows in exact steps:
    repeat wholly; that is a count by hash. Keys whose stretches differ anywhere
    are contested.
 3. The distinct stretches of contested keys go, key by key, into a family of
-   suffix arrays. A new batch is sorted by prefix doubling, merge-scanned
+   suffix arrays. A new batch is sorted, merge-scanned
    against the arrays of every level for strings of full length, and becomes a
    level; levels of equal size are merged, so there are logarithmically many.
    Keys with more than ``HOT`` distinct stretches, which no single task should
@@ -77,6 +77,12 @@ def stretches(data: bytes, length: int = LENGTH, window: int = WINDOW) -> Iterat
         base += PIECE
 
 
+def _strings(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The strings at some places, side by side. NULs at their ends compare as other bytes do, since lengths are equal."""
+    rows = np.lib.stride_tricks.sliding_window_view(text, length)[starts]
+    return np.ascontiguousarray(rows).view(f"S{length}").ravel()
+
+
 class Level:
     """A suffix array over stretches: the string starts in order of their ``length`` bytes."""
 
@@ -85,13 +91,12 @@ class Level:
         self.text, self.order, self.owner, self.weight, self.length = text, order, owner, weight, length
 
     def strings(self, places: np.ndarray) -> np.ndarray:
-        """The strings at some places of the order. Padding NULs of equal lengths compare as bytes do."""
-        rows = np.lib.stride_tricks.sliding_window_view(self.text, self.length)[self.order[places]]
-        return np.ascontiguousarray(rows).view(f"S{self.length}").ravel()
+        """The strings at some places of the order."""
+        return _strings(self.text, self.order[places], self.length)
 
     @classmethod
     def of(cls, parts: list[bytes], first: int, length: int) -> tuple[Level, np.ndarray]:
-        """Sorts a batch by prefix doubling; also the strings that repeat inside it."""
+        """Sorts a batch's string starts; also names the strings that repeat inside it."""
         text = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(p) for p in parts])
         ends = np.cumsum(sizes)
@@ -99,18 +104,9 @@ class Level:
         starts = np.flatnonzero(np.arange(len(text)) <= last)
         owner = np.full(len(text), -1, np.int64)
         owner[starts] = first + np.arange(len(starts))
-        padded = np.concatenate((text, np.zeros(length, np.uint8)))
-        n, done = len(text), 1
-        rank = padded.astype(np.int64)
-        while done < length:
-            step = min(done, length - done)
-            pair = rank * (int(rank.max()) + 1)
-            pair[: len(rank) - step] += rank[step:]
-            rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-            done += step
-        own = rank[:n][starts]
-        by = np.argsort(own, kind="stable")
-        same = own[by][1:] == own[by][:-1]
+        strings = _strings(text, starts, length)
+        by = np.argsort(strings, kind="stable")
+        same = strings[by[1:]] == strings[by[:-1]]
         repeats = np.zeros(len(starts), bool)
         repeats[by[1:][same]] = repeats[by[:-1][same]] = True
         return cls(text, starts[by], owner, 1, length), owner[starts[repeats]]
