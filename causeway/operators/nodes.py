@@ -68,18 +68,25 @@ def compile_node(g: Graph, spec: dict) -> str:
     return build(g, **values)
 
 
-def expand(spec, definitions: dict, _open: tuple[str, ...] = ()):
-    """Replaces {"$ref": name} by its definition; cycles and unknown names are refused."""
+MOST_NODES = 50_000
+
+
+def expand(spec, definitions: dict, _open: tuple[str, ...] = (), _count: list[int] | None = None):
+    """Replaces {"$ref": name} by its definition; cycles, unknown names and vast results are refused."""
+    _count = [0] if _count is None else _count
     if isinstance(spec, dict):
+        _count[0] += 1
+        if _count[0] > MOST_NODES:
+            raise SpecError(f"more than {MOST_NODES} nodes")
         if "$ref" in spec:
             name = spec["$ref"]
             if name in _open:
                 raise SpecError(f"definitions refer to each other: {' > '.join((*_open, name))}")
             if name not in definitions:
                 raise SpecError(f"unknown definition {name!r}")
-            return expand(definitions[name], definitions, (*_open, name))
-        return {k: expand(v, definitions, _open) for k, v in spec.items()}
-    return [expand(x, definitions, _open) for x in spec] if isinstance(spec, list) else spec
+            return expand(definitions[name], definitions, (*_open, name), _count)
+        return {k: expand(v, definitions, _open, _count) for k, v in spec.items()}
+    return [expand(x, definitions, _open, _count) for x in spec] if isinstance(spec, list) else spec
 
 
 def _whole(name: str, value, least: int) -> int:
@@ -299,9 +306,13 @@ def _lag(g, bars, inner):
 def _rolling(g, stat, window, inner, stride, across):
     _one_of("stat", stat, STATS)
     n, stride = _whole("window", window, 1), _whole("stride", stride, 1)
-    x = compile_node(g, inner)
     if across not in (None, "sessions"):
         raise SpecError("across can only be sessions")
+    if across and stride != 1:
+        raise SpecError("across sessions takes no stride")
+    if n < 2 and stat in ("stdev", "var", "zscore", "slope"):
+        raise SpecError(f"{stat} needs a window of at least 2")
+    x = compile_node(g, inner)
     if across == "sessions":
         # The same place in each of the last n sessions; all of them must have it.
         past = [x] + [g.let(f"max({x}) OVER (PARTITION BY symbol, bar_in_session ORDER BY session_number RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING)") for k in range(1, n)]

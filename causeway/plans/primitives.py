@@ -15,7 +15,7 @@ from causeway.sources import bars
 FOLDS = ("kama", "psar", "supertrend")
 SMALL = {"window": 10, "slow_window": 12, "signal_window": 4, "slow": 14, "fast": 5, "signal": 4, "seed_multiplier": 4, "lookback": 40, "sum_window": 9, "lookback_multiplier": 5}
 OUTPUTS = {"bollinger": "percent", "keltner": "lower", "donchian": "width", "macd": "signal", "ppo": "signal", "pvo": "histogram", "trix": "signal", "klinger": "signal", "stoch": "d", "stoch_rsi": "d", "adx": "adx", "aroon": "oscillator", "vortex": "diff", "pivot": "r2", "heikin_ashi": "open", "fisher": "signal"}
-OWN = {"kama": {"slow": 30, "fast": 2}, "ultimate": {"fast": 3, "medium": 6, "slow": 12}, "ppo": {"window": 5}, "pvo": {"window": 5}, "apo": {"window": 5}, "adx": {"window": 5}, "adxr": {"window": 5}, "mass_index": {"window": 5}, "trix": {"window": 5}, "tsi": {"window": 5}, "pmo": {"window": 5}, "klinger": {"window": 5}, "t3": {"window": 5}, "hurst": {"window": 24}, "pwma": {"window": 4}}
+OWN = {"kama": {"slow": 30, "fast": 2}, "ultimate": {"fast": 3, "medium": 6, "slow": 12}, "ppo": {"window": 5}, "pvo": {"window": 5}, "apo": {"window": 5}, "adx": {"window": 5}, "adxr": {"window": 5}, "mass_index": {"window": 3, "sum_window": 3}, "trix": {"window": 5}, "tsi": {"window": 5}, "pmo": {"window": 5}, "klinger": {"window": 5}, "t3": {"window": 5}, "hurst": {"window": 24}, "pwma": {"window": 4}}
 
 
 def parameters(p: registry.Primitive) -> dict[str, object]:

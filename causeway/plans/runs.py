@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,19 @@ def overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.overfitting(_grid(spark, sf_dir), BLOCKS).selectExpr("CAST(split AS BIGINT) AS split", "winner", "round(out_rank, 6) AS out_rank", "round(logit, 6) + 0D AS logit")
 
 
+def _overfitting_sql() -> str:
+    splits = ", ".join(f"({i}, {b}, {b in s})" for i, s in enumerate(itertools.combinations(range(BLOCKS), BLOCKS // 2)) for b in range(BLOCKS))
+    return (
+        f"WITH x AS (SELECT symbol, bar_index, close - lag(close) OVER (PARTITION BY symbol ORDER BY bar_index) AS x FROM {bars.events_sql()}), "
+        "g AS (SELECT symbol AS config, (bar_index - 1) // 25 AS block, round(avg(x) / stddev_samp(x), 8) AS sharpe FROM x WHERE bar_index BETWEEN 1 AND 150 GROUP BY 1, 2), "
+        f"p(split, block, inside) AS (VALUES {splits}), "
+        "s AS (SELECT split, config, avg(CASE WHEN inside THEN sharpe END) AS sample, avg(CASE WHEN NOT inside THEN sharpe END) AS rest FROM g JOIN p USING (block) GROUP BY 1, 2), "
+        "b AS (SELECT split, arg_min(config, (-sample, config)) AS winner, arg_min(rest, (-sample, config)) AS own, count(*) AS n FROM s GROUP BY 1), "
+        "r AS (SELECT split, winner, (count_if(rest < own) + 1) / (n + 1) AS out_rank FROM s JOIN b USING (split) GROUP BY split, winner, n) "
+        "SELECT CAST(split AS BIGINT) AS split, winner, round(out_rank, 6) AS out_rank, round(ln(out_rank / (1 - out_rank)), 6) + 0.0 AS logit FROM r"
+    )
+
+
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bars.events(spark, sf_dir).select(F.col("symbol").alias("trial"), F.col("ts_close").alias("day"), F.col("close").alias("ret"))
     return metrics.trial_correlation(rows).selectExpr("a", "b", "n", "round(correlation, 6) + 0D AS correlation")
@@ -93,6 +107,6 @@ RUNS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "run_by_hour": (hourly, None),
     "run_buy_and_hold": (buy_and_hold, _HOLD_SQL),
     "drawdowns": (drawdown, _DRAWDOWN_SQL),
-    "overfitting_splits": (overfitting, None),
+    "overfitting_splits": (overfitting, _overfitting_sql()),
     "trial_correlation": (correlations, _CORRELATION_SQL),
 }
