@@ -114,6 +114,8 @@ def sliced(df: DataFrame, key: str = "doc_id", neighbours: bool = False, slices:
         firsts = {r["slice"]: None if r["nulls"] else r["k"] for r in keys.mapInArrow(only_slices, "slice int, k long").groupBy("slice").agg(F.min("k").alias("k"), F.count_if(F.col("k").isNull()).alias("nulls")).collect()}
         have = sorted(firsts)
         heads = [(have[i - 1], firsts[s]) for i, s in enumerate(have)]
+    lent = pa.array([k for _, k in heads if k is not None], pa.int64())
+    nulls_lent = any(k is None for _, k in heads)
     names, where = df.columns, df.columns.index(key)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", slice int, borrowed boolean"
 
@@ -122,6 +124,8 @@ def sliced(df: DataFrame, key: str = "doc_id", neighbours: bool = False, slices:
             at = slices_of(b.column(where))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(np.zeros(len(at), bool))], [*names, "slice", "borrowed"])
             ids = b.column(where).cast(pa.int64())
+            if not pc.any(pc.is_in(ids, value_set=lent)).as_py() and not (nulls_lent and ids.null_count):
+                continue
             for to, k in heads:
                 hit = ids.is_null() if k is None else pc.fill_null(pc.equal(ids, k), False)
                 if hit.true_count:

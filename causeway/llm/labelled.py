@@ -16,11 +16,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(label, text) of at most ``bound`` labelled documents that are not held out.
+    """(doc_id, label, text) of at most ``bound`` labelled documents that are not held out.
 
     Which ones is decided by a hash of doc_id. Only this many ids are broadcast.
+    Of several labels the smallest counts, and of several texts of one doc_id
+    that with the smallest hash, so that repeated rows do not exceed the bound.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text"), "training-sample")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return written(found, "training-sample")
