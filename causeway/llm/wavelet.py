@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,11 +38,15 @@ from .common import map_rows, rows_of, sliced, written
 MAGIC = b"WMX1"
 #: Ids a shard holds at least before it is closed; a document is never split.
 SHARD_IDS = 1 << 18
-#: Encoded words that a worker remembers at most.
-MEMORY_WORDS = 300_000
+#: Encoded words of a generation; a worker remembers two, some 200 MB.
+MEMORY_WORDS = 500_000
 END_ID = 2
-#: Never part of a token with a letter or digit before it; the apostrophe is, in contractions.
-PUNCTUATION = b".,;:!?*#$%&|()[]{}/+=-_"
+#: Words that go to the library as one text.
+TOGETHER = 500
+#: 1: ASCII letters and digits; 2: punctuation that never continues a word (an apostrophe does, in contractions).
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 1
+_KINDS[list(b".,;:!?*#$%&|()[]{}/+=-_")] = 2
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -150,65 +155,64 @@ class WaveletMatrix:
         return [self.select(token, i) for i in range(self.rank(token, self.n))]
 
 
+def parted(text: str) -> list[bytes]:
+    """A text's parts, each of which the tokenizer encodes as it would inside the text.
+
+    It drops white space, so ASCII white space parts. It lowers case first, so
+    ASCII letters may be lowered here. It splits between a letter or digit and
+    punctuation that is no apostrophe, whatever surrounds them, so those part
+    too. Special tokens hold punctuation and are as they are written: a text that
+    may have one is only parted at white space.
+    """
+    data = text.encode()
+    if b"<|" in data:
+        return data.split()
+    x = np.frombuffer(data, np.uint8)
+    kinds = _KINDS[x]
+    before = np.flatnonzero((kinds[:-1] == 1) & (kinds[1:] == 2)) + 1
+    return (np.insert(x, before, 32).tobytes() if len(before) else data).lower().split()
+
+
 class Encoder:
-    """Encodes with the tokenizers library and remembers the ids of single words.
+    """Encodes with the tokenizers library and remembers the ids of single parts.
 
-    The tokenizer drops white space and none of its patterns reaches over it, so
-    a text's ids are those of its parts between ASCII white space, one after
-    another. New parts of a batch go to the library together. Two generations of
-    words are remembered: what was not looked up in a generation is forgotten.
+    New parts of a batch go to the library together. Two generations of parts
+    are remembered: what was not looked up in a generation is forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        #: Ids that end a word; a word of lower-case letters has one of them, at its end.
+        self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
         if len(self.known) > MEMORY_WORDS:
-            self.known, self.older = {b"": b""}, self.known
-        get = self.known.get
-        parts = [t.encode().split() for t in texts]
-        found = [list(map(get, p)) for p in parts]
-        self.learn({w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None})
-        return [b"".join(map(get, p) if None in f else f) for p, f in zip(parts, found, strict=True)]
+            self.known, self.older = {}, self.known
+        parts = [parted(t) for t in texts]
+        if new := set(chain.from_iterable(parts)).difference(self.known):
+            self.learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
     def learn(self, new: set[bytes]) -> None:
-        known, older, halves, bare = self.known, self.older, [], {}
-        for w in new:
-            x = older.get(w)
-            if x is not None:
-                known[w] = x
-                continue
-            core, tail = self.halves(w)
-            halves.append((w, core, tail))
-            for h in (core, tail):
-                if h not in known:
-                    x = older.get(h)
-                    if x is None:
-                        bare[h] = None
-                    else:
-                        known[h] = x
-        if bare:
-            words = list(bare)
-            for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-                known[w] = array("H", e.ids).tobytes()
-        for w, core, tail in halves:
-            known[w] = known[core] + known[tail]
-
-    @staticmethod
-    def halves(word: bytes) -> tuple[bytes, bytes]:
-        """A word in lower case and the punctuation after its last ASCII letter or digit.
-
-        The tokenizer lowers case first, and splits there whatever comes before.
-        """
-        core = word.rstrip(PUNCTUATION)
-        if core and core[-1:].isalnum():
-            return core.lower() if core.isascii() else core, word[len(core) :]
-        return word, b""
+        known, older = self.known, self.older
+        again = new.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        words = {w: w.decode() for w in new.difference(again)}
+        plain = [w for w, t in words.items() if t.isalpha() and t == t.lower()]
+        lines = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        other = list(words.keys() - set(plain))
+        found = self.tokenizer.encode_batch_fast([*(b" ".join(x).decode() for x in lines), *(words[w] for w in other)], add_special_tokens=False)
+        for own, e in zip(lines, found, strict=False):
+            ids = np.array(e.ids, "<u2")
+            cuts, data = [0, *(2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()], ids.tobytes()
+            known.update(zip(own, [data[a:b] for a, b in pairwise(cuts)], strict=True))
+        known.update(zip(other, [array("H", e.ids).tobytes() for e in found[len(lines) :]], strict=True))
 
 
 @cache
@@ -221,7 +225,7 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """(doc_id, text) to shards: (shard long, first long, doc_ids, payload)."""
+    """(doc_id, text) to shards: (shard, ahead: ids of its slice before it, n_ids, doc_ids, payload)."""
     name = tokenizer or TOKENIZER
 
     def shards(batches) -> Iterator[tuple]:
@@ -229,14 +233,14 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
 
         words = encoder(name if "/" in name else public_tokenizers.path(name))
         tail, number = np.array([end_id], dtype="<u2").tobytes(), 0
-        open_slice, ids, docs_, held = None, [], [], 0
+        open_slice, ids, docs_, held, ahead = None, [], [], 0, 0
 
         def close():
-            nonlocal ids, docs_, held, number
+            nonlocal ids, docs_, held, number, ahead
             sizes = np.array([len(x) // 2 for x in ids], dtype=np.uint64)
             matrix = WaveletMatrix.of(np.frombuffer(b"".join(ids), "<u2"), np.concatenate(([0], np.cumsum(sizes))).astype(np.uint64))
-            row = ((open_slice << 32) + number, held, docs_, matrix.to_bytes())
-            ids, docs_, held, number = [], [], 0, number + 1
+            row = ((open_slice << 32) + number, ahead, held, docs_, matrix.to_bytes())
+            ids, docs_, held, number, ahead = [], [], 0, number + 1, ahead + held
             return row
 
         for b in batches:
@@ -245,7 +249,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
                 if docs_ and (at != open_slice or held >= shard_ids):
                     yield close()
                 if at != open_slice:
-                    number = 0
+                    number = ahead = 0
                 open_slice = at
                 x += tail
                 ids.append(x)
@@ -254,32 +258,24 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
         if docs_:
             yield close()
 
-    made = written(map_rows(sliced(docs.select("doc_id", "text")), shards, "shard long, n_ids long, doc_ids array<long>, payload binary", size=4), "token-shards")
-    return made
+    return written(map_rows(sliced(docs.select("doc_id", "text")), shards, "shard long, ahead long, n_ids long, doc_ids array<long>, payload binary", size=4), "token-shards")
 
 
-def with_starts(shards: DataFrame) -> DataFrame:
-    """Adds ``first``: the ids of all shards before. One number a slice reaches the driver."""
-    from pyspark.sql import Window
+def read_documents(shards: DataFrame) -> DataFrame:
+    """Opens every shard file: (doc_id, start, n_tokens, ids_crc32).
 
-    sums = shards.groupBy(F.shiftright("shard", 32).alias("s")).agg(F.sum("n_ids").alias("n")).orderBy("s").collect()
+    What reaches the driver is the number of ids of each slice; there are two
+    slices a shuffle partition.
+    """
+    counts = shards.groupBy(F.shiftright("shard", 32).alias("slice")).agg(F.sum("n_ids").alias("n")).collect()
     before, at = {}, 0
-    for r in sums:
-        before[r["s"]] = at
+    for r in sorted(counts, key=lambda r: r["slice"]):
+        before[r["slice"]] = at
         at += r["n"]
-    starts = shards.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "s int, base long")
-    own = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    heads = shards.select("shard", "n_ids", F.shiftright("shard", 32).cast("int").alias("s")).withColumn("ahead", F.coalesce(F.sum("n_ids").over(own), F.lit(0)))
-    heads = heads.join(starts, "s").select("shard", (F.col("base") + F.col("ahead")).alias("first"))
-    return shards.join(heads, "shard")
-
-
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Opens every shard file: (doc_id, start, n_tokens, ids_crc32)."""
 
     def read(batches) -> Iterator[tuple]:
-        for first, ids, payload in rows_of(batches, "first", "doc_ids", "payload"):
-            matrix = WaveletMatrix.from_bytes(payload)
+        for shard, ahead, ids, payload in rows_of(batches, "shard", "ahead", "doc_ids", "payload"):
+            matrix, first = WaveletMatrix.from_bytes(payload), before[shard >> 32] + ahead
             tokens, starts = matrix.decode().astype("<u4"), matrix.starts.astype(np.int64)
             for doc, a, b in zip(ids, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 yield doc, first + a, b - a, zlib.crc32(tokens[a:b])
@@ -289,4 +285,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     """op3: every document's place, length and checksum, read from the shard files."""
-    return read_documents(with_starts(encode_documents(docs)))
+    return read_documents(encode_documents(docs))

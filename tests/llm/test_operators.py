@@ -235,7 +235,7 @@ def test_tokenizer_words_are_cut_where_the_tokenizer_cuts():
     import public_tokenizers
 
     e = wavelet.Encoder(public_tokenizers.path(wavelet.TOKENIZER))
-    texts = ["don't we'll O'Neil's", "a1b2,c3. (x) y_z", "É́a é ÀB,", "<|endoftext|> <|startoftext|>x", "a b\x1cc\x85d", "Σας ΣΑΣ", "it's,'s", "　x", "-- 5%% ..a"]
+    texts = ["don't we'll O'Neil's", "a1b2,c3. (x) y_z", "É́a é ÀB,", "<|endoftext|> <|startoftext|>x", "a b\x1cc\x85d", "Σας ΣΑΣ", "it's,'s", "　x", "-- 5%% ..a", "a.'s b-'t c'.d", "<|ENDOFTEXT|> A.b", "İİ K.k É.é x\u0301.y", "(a)b_c=d", "..."]
     for text, ids in zip(texts, e.ids(texts), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
