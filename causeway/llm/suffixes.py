@@ -112,32 +112,47 @@ class Level:
         return cls(text, starts[by], owner, 1, length), owner[starts[repeats]]
 
     def scan(self, other: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Merge scan: where each string of ``other`` falls in this order, and the equal ones of both."""
-        mine = self.strings(np.arange(len(self.order))) if len(self.order) <= 4 * SCAN_ROWS else None
-        falls, own, theirs = [], [], []
+        """Merge scan: where each string of ``other`` falls in this order, and the equal ones of both.
+
+        Both orders are read once, in blocks: a block of the other's strings
+        meets the stretch of this order that lies between its ends.
+        """
+        falls, own, theirs, low = [], [], [], 0
         for i in range(0, len(other.order), SCAN_ROWS):
             places = np.arange(i, min(i + SCAN_ROWS, len(other.order)))
             strings = other.strings(places)
-            low = np.searchsorted(mine, strings) if mine is not None else self._search(strings)
-            inside = low < len(self.order)
+            high = self._first_from(strings[-1:], low)
+            at = np.empty(len(places), np.int64)
             equal = np.zeros(len(places), bool)
-            equal[inside] = self.strings(low[inside]) == strings[inside]
-            falls.append(low)
+            done = 0
+            while done < len(places):
+                # Strings up to the last one of this piece of the order find their place in it.
+                piece = self.strings(np.arange(low, min(low + 4 * SCAN_ROWS, high + 1, len(self.order))))
+                last = low + len(piece) > high or low + len(piece) >= len(self.order)
+                upto = len(places) if last else done + int(np.searchsorted(strings[done:], piece[-1:], side="right")[0])
+                found = np.searchsorted(piece, strings[done:upto]) if len(piece) else np.zeros(upto - done, np.int64)
+                inside = found < len(piece)
+                same = np.zeros(upto - done, bool)
+                same[inside] = piece[found[inside]] == strings[done:upto][inside]
+                at[done:upto], equal[done:upto] = found + low, same
+                done = upto
+                low = high if last else low + len(piece) - 1
+            falls.append(at)
             theirs.append(other.owner[other.order[places[equal]]])
-            own.append(self.owner[self.order[low[equal]]])
-        return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (falls, own, theirs))
-
-    def _search(self, strings: np.ndarray) -> np.ndarray:
-        """Binary search of sorted strings that holds only the strings in question."""
-        low, high = np.zeros(len(strings), np.int64), np.full(len(strings), len(self.order))
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
-            middle = (low[open_] + high[open_]) // 2
-            less = self.strings(middle) < strings[open_]
-            low[open_] = np.where(less, middle + 1, low[open_])
-            high[open_] = np.where(less, high[open_], middle)
+            own.append(self.owner[self.order[at[equal]]])
+            low = min(int(at[-1]), len(self.order))
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (falls, own, theirs))
+
+    def _first_from(self, string: np.ndarray, low: int) -> int:
+        """The first place from ``low`` on whose string is not less."""
+        high = len(self.order)
+        while low < high:
+            middle = (low + high) // 2
+            if (self.strings(np.array([middle])) < string)[0]:
+                low = middle + 1
+            else:
+                high = middle
+        return low
 
     def merged(self, other: Level, falls: np.ndarray) -> Level:
         """One level of both; ``falls`` places the other's strings in this order."""
@@ -157,13 +172,15 @@ class Family:
         new, inside = Level.of(parts, self.count, self.length)
         self.count += len(new.order)
         self.repeats.append(inside)
+        falls = None
         for level in self.levels:
-            _, own, theirs = level.scan(new)
+            falls, own, theirs = level.scan(new)
             self.repeats += [own, theirs]
         while self.levels and self.levels[-1].weight <= new.weight:
             old = self.levels.pop()
-            falls, _, _ = old.scan(new)
-            new = old.merged(new, falls)
+            # The last level was just scanned; larger ones meet a merged array.
+            new = old.merged(new, old.scan(new)[0] if falls is None else falls)
+            falls = None
         self.levels.append(new)
 
     def marks(self) -> np.ndarray:
