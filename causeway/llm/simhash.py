@@ -268,7 +268,8 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
             held = [h[last:] for h in held]
 
     keys = distinct.mapInArrow(keyed, "key long, chain long, id long")
-    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "a long, b long")
+    # A whole order: which links span a run must not depend on how its rows arrived.
+    links = keys.repartition("key").sortWithinPartitions("key", "chain", "id").mapInArrow(runs, "a long, b long")
     links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely-links", 1 << 14)
     both = links.join(distinct.toDF("mark_a", "a"), "a").join(distinct.toDF("mark_b", "b"), "b")
 
