@@ -234,12 +234,13 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
             if not heads_:
                 continue
             ids = np.repeat(b.column("id").to_numpy(), bits // HEAD_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in heads_])), pa.array(np.concatenate([h[1] for h in heads_])), pa.array(ids)], ["key", "chain", "id"])
+            carried = pa.array([m for m in b.column("mark").to_pylist() for _ in range(bits // HEAD_BITS)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in heads_])), pa.array(np.concatenate([h[1] for h in heads_])), pa.array(ids), carried], ["key", "chain", "id", "mark"])
 
     def runs(batches):
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, tables), np.uint64)]
 
-        def links(keys, chains, ids):
+        def links(keys, chains, ids, whole):
             cut = np.flatnonzero(np.diff(keys)) + 1
             begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))
             out = []
@@ -251,7 +252,10 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
                 for i in range(n - 1):
                     # Only what is not yet joined to i: a run yields links that span its parts.
                     near = np.flatnonzero(np.bitwise_count(c[i] ^ c[i + 1 :]) <= chain_budget) + i + 1
-                    for j in near[label[near] != label[i]].tolist():
+                    near = near[label[near] != label[i]]
+                    # Only the whole fingerprint joins: a chain that is near by chance may not bridge two parts.
+                    near = near[np.bitwise_count(whole[a + i] ^ whole[a + near]).sum(axis=1) <= budget]
+                    for j in near.tolist():
                         if label[j] != label[i]:
                             out.append((int(ids[a + i]), int(ids[a + j])))
                             label[label == label[j]] = label[i]
@@ -259,7 +263,9 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
 
         for x in (*batches, None):
             if x is not None:
-                held = [np.concatenate((h, x.column(c).to_numpy())) for h, c in zip(held, ("key", "chain", "id"), strict=True)]
+                new = [x.column(c).to_numpy() for c in ("key", "chain", "id")]
+                new.append(np.frombuffer(b"".join(x.column("mark").to_pylist()), np.uint64).reshape(-1, tables))
+                held = [np.concatenate(h) for h in zip(held, new, strict=True)]
                 last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             else:
                 last = len(held[0])
@@ -267,18 +273,9 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
             held = [h[last:] for h in held]
 
-    keys = distinct.mapInArrow(keyed, "key long, chain long, id long")
+    keys = distinct.mapInArrow(keyed, "key long, chain long, id long, mark binary")
     # A whole order: which links span a run must not depend on how its rows arrived.
-    links = keys.repartition("key").sortWithinPartitions("key", "chain", "id").mapInArrow(runs, "a long, b long")
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely-links", 1 << 14)
-    both = links.join(distinct.toDF("mark_a", "a"), "a").join(distinct.toDF("mark_b", "b"), "b")
-
-    def tested(batches):
-        for a, b, x, y in rows_of(batches, "a", "b", "mark_a", "mark_b"):
-            if int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()) <= budget:
-                yield a, b
-
-    reached = components(map_rows(both, tested, "a long, b long", size=4096))
+    reached = components(keys.repartition("key").sortWithinPartitions("key", "chain", "id").mapInArrow(runs, "a long, b long"))
     named = distinct.join(reached, distinct.id == reached.node, "left").select("mark", F.coalesce("root", "id").alias("component"))
     return marks.join(named, "mark").select("row", "component")
 

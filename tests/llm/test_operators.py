@@ -153,6 +153,20 @@ def test_likeness_finds_edited_copies(spark):
     assert len({got[i] for i in range(40)}) == 40
 
 
+def test_a_bridge_that_is_near_in_one_chain_does_not_hide_a_pair(spark, monkeypatch):
+    # Document 0 shares one segment and its chain with 1 and 2, and nothing else; 1 and 2 are near.
+    rest = np.random.default_rng(3).integers(0, 256, 64, np.uint8) & 254  # so that 0 comes first in the run
+    marks = [rest ^ 255, rest.copy(), rest.copy()]
+    marks[0][:10] = rest[:10]
+    marks[2][2::2] ^= 1  # 1 and 2 differ in every segment but the first
+    by_text = {f"text {i}": m.tobytes() for i, m in enumerate(marks)}
+    monkeypatch.setattr(simhash, "shingle_hashes", lambda text, *_: text)
+    monkeypatch.setattr(simhash, "long_fingerprint", lambda text, *_: by_text[text])
+    df = spark.createDataFrame(list(enumerate(by_text)), "row long, text string")
+    got = {x["row"]: x["component"] for x in simhash.alike(df).collect()}
+    assert got[1] == got[2] != got[0]
+
+
 def labelled(spark, column):
     r = random.Random(5)
     rows = []
