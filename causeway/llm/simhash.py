@@ -173,110 +173,158 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For likeness searches: hash seeds (64 bits each), bits of a chain's first segment, bits that follow it.
-TABLES, HEAD_BITS, CHAIN_BITS = 8, 16, 64
 LIKENESS_SHINGLE, LIKENESS = 5, 0.8
+#: Documents whose shingles are counted to tell common ones, and how many of those are kept. They order shingles, no more.
+SAMPLE, COMMON = 10_000, 50_000
 
 
-def long_fingerprint(hashes: np.ndarray, tables: int = TABLES) -> bytes:
-    """Bits set in over half of the hashes, under ``tables`` different remixings of them."""
-    counts = np.zeros(64 * tables, np.int64)
-    for i in range(0, len(hashes), 4096):
-        mixed = hashes[i : i + 4096, None] * (2 * np.arange(tables, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(30)
-        counts += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
+def shingle_set(text: str | None, words: int = LIKENESS_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(text, words))
 
 
-def most_bits(likeness: float, bits: int) -> int:
-    """Bits in which sets of this Jaccard ratio differ on average: their vectors' angle over pi."""
-    return math.ceil(bits * math.acos(2 * likeness / (1 + likeness)) / math.pi)
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard ratio of two ascending sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def chain_heads(mark: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Every ring segment with its place, and the bits of the chain that follows it."""
-    x = np.frombuffer(mark, np.uint8)
-    step = HEAD_BITS // 8
-    ring = np.concatenate((x, x[: step + CHAIN_BITS // 8]))
-    at = np.arange(0, len(x), step)
-    first = ring[at].astype(np.int64) | ring[at + 1].astype(np.int64) << 8
-    chain = np.stack([ring[i + step : i + step + CHAIN_BITS // 8] for i in at]).view("<i8").ravel()
-    return first | at.astype(np.int64) << 32, chain
+def prefix_size(n: int, likeness: float) -> int:
+    """How many of n shingles, in one order for all sets, meet those of every set of this likeness."""
+    return n - math.ceil(n * likeness - 1e-9) + 1 if n else 0
 
 
-def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKENESS, tables: int = TABLES) -> DataFrame:
-    """(row long, text) to (row, component): texts of at least this likeness, by long fingerprints.
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are often met in a sample of the texts, ascending, and their counts."""
+    step = max(1, docs.count() // SAMPLE)
 
-    64 bits place a ratio of 0.8 anywhere from 4 to 14 bits, so the fingerprint
-    has ``64 * tables`` of them. Two that differ in a share of their bits agree
-    on some of their 16-bit segments; there the chain of the next 64 bits has to
-    stay within its proportional budget with three standard deviations to spare,
-    and last the whole fingerprint within its own. A component is named by its
-    least row.
-    """
-    bits = 64 * tables
-    budget = most_bits(likeness, bits)
-    share = budget / bits
-    chain_budget = math.floor(CHAIN_BITS * share + 3 * math.sqrt(CHAIN_BITS * share * (1 - share)))
+    def listed(batches):
+        for b in batches:
+            if b.num_rows:
+                found = np.concatenate([shingle_set(t, words) for t in b.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
 
-    def marked(batches):
-        for row, text in rows_of(batches, "row", "text"):
-            yield row, long_fingerprint(shingle_hashes(text, words), tables)
+    some = docs.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("text").mapInArrow(listed, "shingle long")
+    many = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles, n = many["shingle"].to_numpy().view(np.uint64), many["n"].to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
 
-    marks = written(map_rows(docs.select("row", "text"), marked, "row long, mark binary", size=4096), "long-fingerprints")
-    distinct = written(marks.groupBy("mark").agg(F.min("row").alias("id")), "distinct-long-fingerprints")
 
-    def keyed(batches):
-        for b in batches:
-            heads_ = [chain_heads(m) for m in b.column("mark").to_pylist()]
-            if not heads_:
-                continue
-            ids = np.repeat(b.column("id").to_numpy(), bits // HEAD_BITS)
-            carried = pa.array([m for m in b.column("mark").to_pylist() for _ in range(bits // HEAD_BITS)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in heads_])), pa.array(np.concatenate([h[1] for h in heads_])), pa.array(ids), carried], ["key", "chain", "id", "mark"])
+def rarest_first(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set in the order of all sets: by the count in the sample, then by hash."""
+    shingles, n = common
+    if not len(shingles):
+        return found
+    at = np.minimum(np.searchsorted(shingles, found), len(shingles) - 1)
+    return found[np.argsort(np.where(shingles[at] == found, n[at], 0), kind="stable")]
+
+
+def run_pairs(comps: np.ndarray, sizes: np.ndarray, first: int, many: int, likeness: float) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of the members ``first`` to ``first + many`` of a run with all later ones, and whether pairs are left over.
+
+    Members ascend in size. A pair that is already joined, or whose sizes alone
+    rule the likeness out, needs no test.
+    """
+    n, out = len(comps), []
+    if (comps == comps[0]).all():
+        return [], False
+    ends = np.searchsorted(sizes, np.floor(sizes / likeness + 1e-9), side="right")
+    for i in range(first, min(first + many, n - 1)):
+        later = np.flatnonzero(comps[i + 1 : ends[i]] != comps[i]) + i + 1
+        out += [(i, j) for j in later.tolist()]
+    return out, any((comps[i + 1 : ends[i]] != comps[i]).any() for i in range(first + many, n - 1))
+
+
+def _by_run(keys: DataFrame, function, ddl: str) -> DataFrame:
+    """``function`` maps (key, size, id, comp) arrays of one run, in order, to columns of ``ddl`` or None."""
+    names, kinds = ("key", "n", "id", "comp"), [x.split() for x in ddl.split(", ")]
 
     def runs(batches):
-        held = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, tables), np.uint64)]
+        held = [np.zeros(0, np.int64)] * 4
 
-        def links(keys, chains, ids, whole):
-            cut = np.flatnonzero(np.diff(keys)) + 1
-            begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(keys)]))
-            out = []
-            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-                n = b - a
-                if n < 2:
-                    continue
-                c, label = chains[a:b].view(np.uint64), np.arange(n)
-                for i in range(n - 1):
-                    # Only what is not yet joined to i: a run yields links that span its parts.
-                    near = np.flatnonzero(np.bitwise_count(c[i] ^ c[i + 1 :]) <= chain_budget) + i + 1
-                    near = near[label[near] != label[i]]
-                    # Only the whole fingerprint joins: a chain that is near by chance may not bridge two parts.
-                    near = near[np.bitwise_count(whole[a + i] ^ whole[a + near]).sum(axis=1) <= budget]
-                    for j in near.tolist():
-                        if label[j] != label[i]:
-                            out.append((int(ids[a + i]), int(ids[a + j])))
-                            label[label == label[j]] = label[i]
-            return out
-
-        for x in (*batches, None):
-            if x is not None:
-                new = [x.column(c).to_numpy() for c in ("key", "chain", "id")]
-                new.append(np.frombuffer(b"".join(x.column("mark").to_pylist()), np.uint64).reshape(-1, tables))
-                held = [np.concatenate(h) for h in zip(held, new, strict=True)]
-                last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            else:
-                last = len(held[0])
-            if last and (found := links(*(h[:last] for h in held))):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+        def told(columns):
+            cut = np.flatnonzero(np.diff(columns[0])) + 1
+            begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(columns[0])]))
+            big = end - begin > 1
+            found = [x for a, b in zip(begin[big].tolist(), end[big].tolist(), strict=True) if (x := function(*(c[a:b] for c in columns))) is not None]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], [k for k, _ in kinds])
+
+        for x in batches:
+            held = [np.concatenate((h, x.column(c).to_numpy())) for h, c in zip(held, names, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            yield from told([h[:last] for h in held])
             held = [h[last:] for h in held]
+        if len(held[0]):
+            yield from told(held)
+
+    return keys.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(runs, ddl)
+
+
+def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+    """(row long, text) to (row, component): texts whose shingle sets have at least this Jaccard ratio.
+
+    Exact, by prefix filtering: with the shingles of all sets in one order,
+    rarest first, two sets of this likeness meet in the first
+    ``n - ceil(n * likeness) + 1`` shingles of each. Sets that meet are compared
+    whole. In a run of one shingle the smallest member is compared with all
+    others, then the next four, the next sixteen and so on, but only with what
+    the links found so far have not joined; it ends when no run has such a pair.
+    A component is named by its least row.
+    """
+    from xxhash import xxh3_128_digest
+
+    docs = docs.select("row", "text")
+    common = common_shingles(docs, words)
 
-    keys = distinct.mapInArrow(keyed, "key long, chain long, id long, mark binary")
-    # A whole order: which links span a run must not depend on how its rows arrived.
-    reached = components(keys.repartition("key").sortWithinPartitions("key", "chain", "id").mapInArrow(runs, "a long, b long"))
-    named = distinct.join(reached, distinct.id == reached.node, "left").select("mark", F.coalesce("root", "id").alias("component"))
+    def marked(batches):
+        for row, text in rows_of(batches, "row", "text"):
+            found = shingle_set(text, words)
+            yield row, xxh3_128_digest(found.tobytes()), len(found), rarest_first(found, common)[: prefix_size(len(found), likeness)].view(np.int64)
+
+    sets = written(map_rows(docs, marked, "row long, mark binary, n long, prefix array<long>", size=1024), "shingle-prefixes")
+    marks = sets.select("row", "mark")
+    distinct = sets.groupBy("mark").agg(F.min(F.struct("row", "n", "prefix")).alias("x")).select("mark", F.col("x.row").alias("id"), "x.n", "x.prefix")
+    keys = distinct.select(F.explode("prefix").alias("key"), "n", "id", F.col("id").alias("comp"))
+    shared = written(_by_run(keys, lambda *run: run, "key long, n long, id long, comp long"), "shared-shingles", 1 << 14)
+    members = docs.join(shared.select(F.col("id").alias("row")).distinct(), "row", "left_semi").dropDuplicates(["row"])
+
+    def whole(batches):
+        for row, text in rows_of(batches, "row", "text"):
+            yield row, shingle_set(text, words).tobytes()
+
+    found = written(map_rows(members, whole, "id long, shingles binary"), "shingle-sets")
+
+    def tested(batches):
+        for a, b, x, y in rows_of(batches, "a", "b", "x", "y"):
+            if jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= likeness:
+                yield a, b
+
+    links, first, many = None, 0, 1
+    while True:
+
+        def pairs_of(key, n, ids, comps, first=first, many=many):
+            pairs, _ = run_pairs(comps, n, first, many, likeness)
+            at = np.array(pairs, np.int64).reshape(-1, 2)
+            return (ids[at[:, 0]], ids[at[:, 1]]) if pairs else None
+
+        pairs = _by_run(shared, pairs_of, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+        new = written(map_rows(both, tested, "a long, b long", size=4096), "alike-links", 1 << 14)
+        links = new if links is None else links.union(new)
+        reached = components(links)
+        first, many = first + many, many * 4
+
+        def left_over(key, n, ids, comps, first=first):
+            return (key, n, ids, comps) if run_pairs(comps, n, first, 0, likeness)[1] else None
+
+        joined = shared.drop("comp").join(reached, shared.id == reached.node, "left").select("key", "n", "id", F.coalesce("root", "id").alias("comp"))
+        shared = written(_by_run(joined, left_over, "key long, n long, id long, comp long"), "open-shingles", 1 << 14)
+        if shared.isEmpty():
+            break
+    least = sets.groupBy("mark").agg(F.min("row").alias("id"))
+    named = least.join(reached, least.id == reached.node, "left").select("mark", F.coalesce("root", "id").alias("component"))
     return marks.join(named, "mark").select("row", "component")
 
 

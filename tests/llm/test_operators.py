@@ -153,18 +153,52 @@ def test_likeness_finds_edited_copies(spark):
     assert len({got[i] for i in range(40)}) == 40
 
 
-def test_a_bridge_that_is_near_in_one_chain_does_not_hide_a_pair(spark, monkeypatch):
-    # Document 0 shares one segment and its chain with 1 and 2, and nothing else; 1 and 2 are near.
-    rest = np.random.default_rng(3).integers(0, 256, 64, np.uint8) & 254  # so that 0 comes first in the run
-    marks = [rest ^ 255, rest.copy(), rest.copy()]
-    marks[0][:10] = rest[:10]
-    marks[2][2::2] ^= 1  # 1 and 2 differ in every segment but the first
-    by_text = {f"text {i}": m.tobytes() for i, m in enumerate(marks)}
-    monkeypatch.setattr(simhash, "shingle_hashes", lambda text, *_: text)
-    monkeypatch.setattr(simhash, "long_fingerprint", lambda text, *_: by_text[text])
-    df = spark.createDataFrame(list(enumerate(by_text)), "row long, text string")
-    got = {x["row"]: x["component"] for x in simhash.alike(df).collect()}
-    assert got[1] == got[2] != got[0]
+def set_likeness(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_a_bridge_that_shares_a_run_does_not_hide_a_pair(spark):
+    # Document 0 is short of both others' likeness, comes first in the runs of what it shares, and 1 and 2 are alike.
+    r = random.Random(4)
+    w = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(w[:140]), " ".join(w), " ".join([*w[:190], *(f"x{i}" for i in range(10))])]
+    assert set_likeness(texts[0], texts[1]) < 0.8 <= set_likeness(texts[1], texts[2]) and set_likeness(texts[0], texts[2]) < 0.8
+    got = {x["row"]: x["component"] for x in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+
+
+def test_likeness_is_exact(spark):
+    r, texts = random.Random(12), []
+    for _ in range(60):
+        w = [f"w{r.randrange(10**6)}" for _ in range(r.choice((12, 60, 300)))]
+        texts.append(" ".join(w))
+        for _ in range(3):  # copies of likeness 0.75 to 0.95: the end is rewritten, or words here and there
+            v, share = w[:], r.uniform(0.75, 0.95)
+            if r.random() < 0.5:
+                v[int(len(w) * 2 * share / (1 + share)) :] = [f"y{r.randrange(10**6)}" for _ in w[int(len(w) * 2 * share / (1 + share)) :]]
+            else:
+                for i in r.sample(range(len(w)), max(1, round(len(w) * (1 - share) / (1 + share) / 5))):
+                    v[i] = f"z{r.randrange(10**6)}"
+            texts.append(" ".join(v))
+    root = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i // 4 * 4, i) if set_likeness(texts[i], texts[j]) >= 0.8]
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {x["row"]: x["component"] for x in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    assert got == dict(enumerate(root)) and 60 < len(set(root)) < 200
+
+
+def test_likeness_in_runs_that_take_several_rounds(spark):
+    # All share a passage that is most of each text, in many groups that are not alike.
+    r = random.Random(6)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for _ in range(30):
+        own = [f"w{r.randrange(10**6)}" for _ in range(20)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *own[:-1], f"v{len(texts)}"])]
+    got = {x["row"]: x["component"] for x in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(60)}
 
 
 def labelled(spark, column):
