@@ -7,7 +7,8 @@ document that has such a key owns it, and each later one is aligned with the
 owners of its keys: one partner a key, so the work grows with the lines and no
 group is paired off. Patience diff aligns a pair on keys that are unique in both
 documents, keeps the longest increasing run of them and goes on in the gaps with
-what is unique there. Aligned lines leave the later document.
+what is unique there; where nothing is, it takes a longest common subsequence.
+Aligned lines leave the later document.
 
 Documents are ordered by ``doc_id`` (nulls first), then by a hash of their text.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +72,51 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def longest_common(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Aligned places of a longest common subsequence of two lists of (place, key).
+
+    Bit j of a row is unset where the length grows at ``b[j]``; a row follows
+    from the one before by an addition of long integers. Of the rows every
+    ``step``-th is kept, and those between are made again on the way back.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head][1] == b[head][1]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail][1] == b[-1 - tail][1]:
+        tail += 1
+    ends = [(x[0], y[0]) for x, y in zip(a[:head], b[:head], strict=True)] + [(x[0], y[0]) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    at: dict[int, int] = defaultdict(int)
+    for j, (_, k) in enumerate(b):
+        at[k] |= 1 << j
+    full, step = (1 << len(b)) - 1, isqrt(len(a)) + 1
+
+    def after(row: int, key: int) -> int:
+        same = row & at.get(key, 0)
+        return (row + same | row - same) & full
+
+    kept, row = [full], full
+    for i, (_, k) in enumerate(a, 1):
+        row = after(row, k)
+        if i % step == 0:
+            kept.append(row)
+    out, j = [], len(b) - 1
+    for block in range(len(kept) - 1, -1, -1):
+        rows = [kept[block]]
+        for _, k in a[block * step : min((block + 1) * step, len(a))]:
+            rows.append(after(rows[-1], k))
+        for i in range(len(rows) - 1, 0, -1):
+            while j >= 0 and rows[i] >> j & 1:
+                j -= 1
+            if j < 0:
+                break
+            if rows[i - 1] >> j & 1:
+                out.append((a[block * step + i - 1][0], b[j][0]))
+                j -= 1
+    return sorted(out + ends)
+
+
 def patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Aligned places of two lists of (place, key), each in order of place."""
     out: list[tuple[int, int]] = []
@@ -80,6 +127,8 @@ def patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[i
         there = {k: p for p, k in b if many_b[k] == 1}
         anchors = increasing([(p, there[k]) for p, k in a if many_a[k] == 1 and k in there])
         if not anchors:
+            if not many_a.keys().isdisjoint(many_b):
+                out += longest_common(a, b)
             continue
         out += anchors
         # One key cannot be unique on one side only for ever: each gap holds fewer keys.

@@ -473,6 +473,35 @@ def test_patience():
     assert lines.increasing([(0, 5), (1, 1), (2, 2), (3, 0), (4, 9)]) == [(1, 1), (2, 2), (4, 9)]
 
 
+def test_gaps_without_unique_keys_are_aligned_by_a_longest_common_subsequence():
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(40))] for _ in "ab")
+        long = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                long[i + 1][j + 1] = long[i][j] + 1 if x == y else max(long[i][j + 1], long[i + 1][j])
+        got = lines.longest_common([(3 * i, k) for i, k in enumerate(a)], [(2 * j, k) for j, k in enumerate(b)])
+        assert len(got) == long[-1][-1] and all(a[i // 3] == b[j // 2] for i, j in got)
+        assert all(p < q and x < y for (p, x), (q, y) in zip(got, got[1:], strict=False))
+    assert lines.patience(list(enumerate("abab")), list(enumerate("xabaybz"))) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+
+
+def removed(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {x["doc_id"]: x["gone"] or [] for x in lines.without_shared(df).collect()}
+
+
+def test_lines_that_occur_twice_in_a_document(spark):
+    line, other = "this line of boilerplate stands in all of them", "and a second line that follows it everywhere"
+    own = lambda i: "\n".join(f"words of document {i} that no other has, {k}" for k in range(2))
+    twice = f"{line}\n{other}\n{own(0)}\n{line}\n{other}"
+    got = removed(spark, twice, f"{own(1)}\n{line}\n{other}", f"{line}\n{other}\n{own(2)}\n{line}\n{other}", f"{line}\n{line}\n{line}\n{own(3)}")
+    assert len(got.pop(3)) == 2 and got == {0: [], 1: [2, 3], 2: [0, 1, 4, 5]}
+    copy = "\n".join([line] * 5)
+    assert removed(spark, copy, copy + "\nx")[1] == [0, 1, 2, 3, 4]
+
+
 def test_pieces(docs, rows, nothing):
     import sentencepiece
 
