@@ -1,8 +1,8 @@
 """Line dedup by pairwise patience alignment.
 
-Documents meet through shared lines. A line counts if it is rare (in at most
-``RARE`` documents) and not short, or long; so does every pair of neighbouring
-lines, however common, which is the way for lines that are not rare. The first
+Documents meet through shared lines, however many documents share them. A line
+counts if it is not short; so does every pair of neighbouring lines of some
+length, and where a pair is shorter the shortest such block of lines. The first
 document that has such a key owns it, and each later one is aligned with the
 owners of its keys: one partner a key, so the work grows with the lines and no
 group is paired off. Patience diff aligns a pair on keys that are unique in both
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, rows_of, written
 
-#: A line of at most this many documents is rare.
+#: Once the most documents that a line could be in. Nothing is left out by it now; tests read it.
 RARE = 100
-#: Words and bytes of a rare line at least, bytes of a long line, bytes of a pair of lines.
+#: Words and bytes of a line at least, bytes of a long line, bytes of a line of few words, a pair or a block.
 LEAST_WORDS, LEAST_BYTES, LONG_BYTES, PAIR_BYTES = 5, 24, 200, 40
 
 
 def keys_of(text: str | None) -> dict[tuple[int, int], list[int]]:
-    """(hash, kind) to line places. Kinds: 0 a line that must be rare, 1 a long line, 2 a pair."""
+    """(hash, kind) to line places. Kinds: 0 a line, 1 a long line, k > 1 a block of k lines."""
     from xxhash import xxh64_intdigest
 
     lines = [x.strip().encode() for x in (text or "").split("\n")]
@@ -45,10 +45,18 @@ def keys_of(text: str | None) -> dict[tuple[int, int], list[int]]:
     for i, x in enumerate(lines):
         if len(x) >= LONG_BYTES:
             out[xxh64_intdigest(x) - (1 << 63), 1].append(i)
-        elif len(x) >= LEAST_BYTES and len(x.split()) >= LEAST_WORDS:
+        elif len(x) >= PAIR_BYTES or len(x) >= LEAST_BYTES and len(x.split()) >= LEAST_WORDS:
             out[xxh64_intdigest(x) - (1 << 63), 0].append(i)
         if i + 1 < len(lines) and len(x) + len(lines[i + 1]) >= PAIR_BYTES:
             out[xxh64_intdigest(x + b"\n" + lines[i + 1], 2) - (1 << 63), 2].append(i)
+        elif x:
+            # Starts are lines with text, so at most PAIR_BYTES of these blocks run over any place.
+            size, end = len(x), i + 1
+            while size < PAIR_BYTES and end < len(lines):
+                size += len(lines[end])
+                end += 1
+            if size >= PAIR_BYTES and end > i + 1:
+                out[xxh64_intdigest(b"\n".join(lines[i:end]), end - i) - (1 << 63), end - i].append(i)
     return out
 
 
@@ -152,18 +160,19 @@ def patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[i
 def common_lines(own: dict[tuple[int, int], list[int]], other: dict[tuple[int, int], list[int]]) -> set[int]:
     """Lines of the later document that lie in blocks aligned with the earlier one.
 
-    Single lines and pairs of lines are aligned each on their own.
+    Single lines and blocks of lines are aligned each on their own.
     """
     gone: set[int] = set()
-    for pair in (False, True):
-        a = sorted((p, h) for (h, kind), places in own.items() if (kind == 2) == pair for p in places)
-        b = sorted((p, h) for (h, kind), places in other.items() if (kind == 2) == pair for p in places)
+    for block in (False, True):
+        a = sorted((p, h) for (h, kind), places in own.items() if (kind > 1) == block for p in places)
+        b = sorted((p, h) for (h, kind), places in other.items() if (kind > 1) == block for p in places)
+        many = {p: max(kind, 1) for (_, kind), places in own.items() if (kind > 1) == block for p in places}
         for p, _ in patience(a, b):
-            gone |= {p, p + 1} if pair else {p}
+            gone.update(range(p, p + many[p]))
     return gone
 
 
-def shared_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def shared_lines(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text) to (row, gone array<int>): the lines that leave each document."""
 
     def listed(batches):
@@ -173,7 +182,7 @@ def shared_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
 
     keys = written(map_rows(docs, listed, "key long, kind int, doc_id long, row long, places array<int>", size=4096), "line-keys")
     owners = keys.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row")).alias("first"))
-    owners = owners.where((F.col("n") > 1) & ((F.col("kind") > 0) | (F.col("n") <= rare))).select("key", "kind", "first")
+    owners = owners.where("n > 1").select("key", "kind", "first")
     both = keys.join(owners, ["key", "kind"])
     # An owner's places reach the others in a second, smaller step: its own row of each key carries them.
     mine = F.struct("doc_id", "row") == F.col("first")
@@ -202,10 +211,10 @@ def shared_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     return map_rows(rest, aligned, "row long, gone array<int>", size=4096)
 
 
-def without_shared(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def without_shared(docs: DataFrame) -> DataFrame:
     """Adds ``row`` and ``gone`` to documents; ``text`` stays as it is."""
     rows = docs.drop("gone").withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    gone = shared_lines(rows.select("row", "doc_id", "text"), rare)
+    gone = shared_lines(rows.select("row", "doc_id", "text"))
     return rows.join(gone, "row", "left")
 
 

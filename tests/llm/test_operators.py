@@ -502,6 +502,17 @@ def test_lines_that_occur_twice_in_a_document(spark):
     assert removed(spark, copy, copy + "\nx")[1] == [0, 1, 2, 3, 4]
 
 
+def test_common_and_short_lines(spark):
+    line = "a line of plain boilerplate that all documents have"
+    many = [f"{line}\nthe only other line of document {i} is this" if i % 2 else line for i in range(lines.RARE + 50)]
+    assert removed(spark, *many) == {i: [0] if i else [] for i in range(len(many))}
+    verse = [f"so short {i}" for i in range(12)]
+    got = removed(spark, "\n".join(verse), "\n".join(["x", *verse[:6], "", *verse[6:], "y"]), "\n".join(["z", *verse[2:4], "z"]))
+    assert got == {0: [], 1: [*range(1, 7), *range(8, 14)], 2: []}
+    poem = "\n\n".join(verse)
+    assert removed(spark, poem, poem) == {0: [], 1: list(range(23))}
+
+
 def test_pieces(docs, rows, nothing):
     import sentencepiece
 
