@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, rows_of, written
@@ -286,8 +286,10 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
     sets = written(map_rows(docs, marked, "row long, mark binary, n long, prefix array<long>", size=1024), "shingle-prefixes")
     marks = sets.select("row", "mark")
     distinct = sets.groupBy("mark").agg(F.min(F.struct("row", "n", "prefix")).alias("x")).select("mark", F.col("x.row").alias("id"), "x.n", "x.prefix")
-    keys = distinct.select(F.explode("prefix").alias("key"), "n", "id", F.col("id").alias("comp"))
-    shared = written(_by_run(keys, lambda *run: run, "key long, n long, id long, comp long"), "shared-shingles", 1 << 14)
+    keys = distinct.select(F.explode("prefix").alias("key"), "n", "id")
+    # Most keys have one document. They go before Python: what passes through it takes memory outside the heap.
+    keys = keys.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1")
+    shared = written(keys.select("key", "n", "id", F.col("id").alias("comp")), "shared-shingles", 1 << 14)
     members = docs.join(shared.select(F.col("id").alias("row")).distinct(), "row", "left_semi").dropDuplicates(["row"])
 
     def whole(batches):
