@@ -189,6 +189,14 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+def parities(found: np.ndarray, bits: int = 2048) -> bytes:
+    """A bit for each residue of the hashes: whether an odd number of the set has it.
+
+    Two sets differ in at least as many members as their parities differ in bits.
+    """
+    return np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
 def prefix_size(n: int, likeness: float) -> int:
     """How many of n shingles, in one order for all sets, meet those of every set of this likeness."""
     return n - math.ceil(n * likeness - 1e-9) + 1 if n else 0
@@ -294,9 +302,18 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
 
     def whole(batches):
         for row, text in rows_of(batches, "row", "text"):
-            yield row, shingle_set(text, words).tobytes()
+            found = shingle_set(text, words)
+            yield row, len(found), parities(found), found.tobytes()
+
+    found = written(map_rows(members, whole, "id long, n long, parity binary, shingles binary"), "shingle-sets")
+    short, long = found.select("id", "n", "parity"), found.select("id", "shingles")
 
-    found = written(map_rows(members, whole, "id long, shingles binary"), "shingle-sets")
+    def possible(batches):
+        """Drops only pairs that cannot be alike: too many members are in one set alone."""
+        for a, b, n, m, x, y in rows_of(batches, "a", "b", "n", "m", "x", "y"):
+            apart = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
+            if apart <= (n + m) * (1 - likeness) / (1 + likeness) + 1e-6:
+                yield a, b
 
     def tested(batches):
         for a, b, x, y in rows_of(batches, "a", "b", "x", "y"):
@@ -312,7 +329,9 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
             return (ids[at[:, 0]], ids[at[:, 1]]) if pairs else None
 
         pairs = _by_run(shared, pairs_of, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+        both = pairs.join(short.toDF("a", "n", "x"), "a").join(short.toDF("b", "m", "y"), "b")
+        pairs = map_rows(both, possible, "a long, b long", size=4096)
+        both = pairs.join(long.toDF("a", "x"), "a").join(long.toDF("b", "y"), "b")
         new = written(map_rows(both, tested, "a long, b long", size=4096), "alike-links", 1 << 14)
         links = new if links is None else links.union(new)
         reached = components(links)
