@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,11 +10,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold; texts are long, so batches stay small.
-BATCH_ROWS = 256
+#: Rows and bytes that one Arrow batch may hold; texts are long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: Up to this many rows of a name and a number or two go to every executor; more are joined by a shuffle.
+FEW_ROWS = 250_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,15 +27,18 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds an Arrow batch, so that a Python worker holds few long texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in tests a new temporary one."""
+    """The folder that driver and executors share. Only a session on one machine may go without: it gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="causeway-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -46,10 +52,29 @@ def written(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    small_batches(spark, batch_rows)
     df.write.parquet(path)
     small_batches(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made; nothing that is still to be computed may read them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_name() -> Column:
+    """128 bits that name a row by its ``doc_id`` and ``text`` (null: empty)."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary")))
+
+
+def few_rows(rows: DataFrame, few: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Joins a large table with a written one that is mostly small: broadcast if its count allows, else shuffled."""
+    return rows.join(F.broadcast(few) if few.count() <= FEW_ROWS else few, on, how)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:

@@ -96,9 +96,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHAR
     whole-document form of the same draw. Sizes are checkpointed, so that texts
     are read once.
     """
-    at = F.xxhash64(F.lit(seed), F.col("doc_id"))
     rest = list(keep)
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *rest).checkpoint()
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_at"), *rest).checkpoint()
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy()
     least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(everything)
@@ -107,12 +106,12 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHAR
     sources = sainte_lague(sources, [], [F.col("source").asc_nulls_last()], "target", "blocks", "source_blocks")
     sources = sources.withColumn("shards", F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_words) + 1).cast("long")).drop("blocks")
     placed = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")), "left")
-    placed = placed.select("d.*", "s.source_size", "s.target", "s.source_blocks", "s.block", F.pmod(at, F.col("s.shards")).alias("shard"))
+    placed = placed.select("d.*", "s.source_size", "s.target", "s.source_blocks", "s.block", F.pmod("_at", F.col("s.shards")).alias("shard"))
     cells = placed.groupBy("source", "shard", "source_blocks", "block").agg(F.sum("size").alias("words"))
     cells = sainte_lague(cells, ["source"], [F.col("shard")], "words", "source_blocks", "quota")
     cells = cells.withColumn("n", F.ceil(F.col("words") / F.col("block")).cast("long")).withColumn("quota", F.least("quota", (F.col("n") * F.lit(most)).cast("long")))
     cells = cells.withColumn("phase", F.when(F.col("n") > 0, F.pmod(F.xxhash64(F.lit(seed), F.col("source"), F.col("shard")), F.col("n"))).otherwise(F.lit(0)))
-    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stream = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "_at"), "_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("end", F.sum("size").over(stream)).withColumn("begin", F.col("end") - F.col("size"))
     on = F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.shard") == F.col("c.shard"))
     both = placed.alias("p").join(cells.alias("c"), on, "left").select("p.*", "c.n", "c.quota", "c.phase")

@@ -22,10 +22,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, rows_of, written
+from .common import few_rows, forget, map_rows, rows_of, written
 from .components import components
 
 BITS = 64
@@ -176,6 +176,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
 LIKENESS_SHINGLE, LIKENESS = 5, 0.8
 #: Documents whose shingles are counted to tell common ones, and how many of those are kept. They order shingles, no more.
 SAMPLE, COMMON = 10_000, 50_000
+#: Members of a shingle's run that one task holds at most; a longer run is dealt to blocks, and in the end to pairs of blocks.
+RUN_ROWS = 20_000
+#: Bits of the smallest parity fingerprint.
+LEAST_PARITY = 256
 
 
 def shingle_set(text: str | None, words: int = LIKENESS_SHINGLE) -> np.ndarray:
@@ -189,12 +193,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def parities(found: np.ndarray, bits: int = 2048) -> bytes:
+def parities(found: np.ndarray) -> bytes:
     """A bit for each residue of the hashes: whether an odd number of the set has it.
 
-    Two sets differ in at least as many members as their parities differ in bits.
+    Two sets differ in at least as many members as their parities differ in
+    bits. There are about as many bits as members, a power of two; the halves
+    of a fingerprint, one over the other, make the fingerprint of half the bits.
     """
-    return np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+    bits = max(LEAST_PARITY, 1 << max(0, len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def may_differ(n, m, likeness: float):
+    """Members that are in one of two sets of this likeness alone, at most."""
+    return (n + m) * (1 - likeness) / (1 + likeness) + 1e-6
 
 
 def prefix_size(n: int, likeness: float) -> int:
@@ -228,125 +240,178 @@ def rarest_first(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np
     return found[np.argsort(np.where(shingles[at] == found, n[at], 0), kind="stable")]
 
 
-def run_pairs(comps: np.ndarray, sizes: np.ndarray, first: int, many: int, likeness: float) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of the members ``first`` to ``first + many`` of a run with all later ones, and whether pairs are left over.
+def _near_later(sizes: np.ndarray, comps: np.ndarray, marks: list[bytes], likeness: float):
+    """For each member of a run, the later ones of another component that may be alike, as places.
 
-    Members ascend in size. A pair that is already joined, or whose sizes alone
-    rule the likeness out, needs no test.
+    Members ascend in size, so do the bits of their parities. Sizes that rule
+    the likeness out come last; of the others those go whose parities differ in
+    too many bits.
     """
-    n, out = len(comps), []
-    if (comps == comps[0]).all():
-        return [], False
-    ends = np.searchsorted(sizes, np.floor(sizes / likeness + 1e-9), side="right")
-    for i in range(first, min(first + many, n - 1)):
-        later = np.flatnonzero(comps[i + 1 : ends[i]] != comps[i]) + i + 1
-        out += [(i, j) for j in later.tolist()]
-    return out, any((comps[i + 1 : ends[i]] != comps[i]).any() for i in range(first + many, n - 1))
-
-
-def _by_run(keys: DataFrame, function, ddl: str) -> DataFrame:
-    """``function`` maps (key, size, id, comp) arrays of one run, in order, to columns of ``ddl`` or None."""
-    names, kinds = ("key", "n", "id", "comp"), [x.split() for x in ddl.split(", ")]
+    k, ends = len(sizes), np.searchsorted(sizes, np.floor(sizes / likeness + 1e-9), side="right")
+    if k <= 16:
+        numbers = [int.from_bytes(x, "little") for x in marks]
+        for i in range(k - 1):
+            out, bits = [], 8 * len(marks[i])
+            for j in range(i + 1, ends[i]):
+                if comps[j] != comps[i]:
+                    other = numbers[j]
+                    width = 8 * len(marks[j])
+                    while width > bits:
+                        width //= 2
+                        other = other >> width ^ other & (1 << width) - 1
+                    if (numbers[i] ^ other).bit_count() <= may_differ(sizes[i], sizes[j], likeness):
+                        out.append(j)
+            yield i, out
+        return
+    widths = np.array([len(x) for x in marks])
+    block = {int(w): (int(np.searchsorted(widths, w)), int(np.searchsorted(widths, w, side="right"))) for w in np.unique(widths)}
+    table = {w: np.frombuffer(b"".join(marks[a:b]), np.uint64).reshape(b - a, -1) for w, (a, b) in block.items()}
+    halves = {w: t[:, : t.shape[1] // 2] ^ t[:, t.shape[1] // 2 :] for w, t in table.items() if w // 2 in table}
+    for i in range(k - 1):
+        out, w = [], int(widths[i])
+        own = table[w][i - block[w][0]]
+        for v, there in ((w, table), (2 * w, halves)):
+            if v in there:
+                a, b = max(block[v][0], i + 1), min(block[v][1], int(ends[i]))
+                at = np.flatnonzero(comps[a:b] != comps[i]) + a if a < b else ()
+                if len(at):
+                    apart = np.bitwise_count(there[v][at - block[v][0]] ^ own).sum(axis=1)
+                    out += at[apart <= may_differ(sizes[i], sizes[at], likeness)].tolist()
+        yield i, out
+
+
+def run_pairs(sizes: np.ndarray, comps: np.ndarray, marks: list[bytes], first: int, likeness: float) -> tuple[list[tuple[int, int]], int | None]:
+    """Pairs of members of a run that may be alike, and the first member that was not compared yet, if any.
+
+    Once there are more than twice as many pairs as members, the rest waits
+    until the components of these pairs are known; most are of one component by then.
+    """
+    out: list[tuple[int, int]] = []
+    if len(sizes) < 2 or (comps == comps[0]).all():
+        return out, None
+    for i, later in _near_later(sizes, comps, marks, likeness):
+        if i < first or not later:
+            continue
+        if len(out) > 2 * len(sizes):
+            return out, i
+        out += [(i, j) for j in later]
+    return out, None
+
+
+def _by_run(rows: DataFrame, likeness: float) -> DataFrame:
+    """(key, block, n, id, comp, first, parity) to pairs (a, b) and, with null a, runs (key, block) to go on with at ``first``."""
+    ddl = "a long, b long, key long, block long, first int"
 
     def runs(batches):
-        held = [np.zeros(0, np.int64)] * 4
-
-        def told(columns):
-            cut = np.flatnonzero(np.diff(columns[0])) + 1
-            begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(columns[0])]))
-            big = end - begin > 1
-            found = [x for a, b in zip(begin[big].tolist(), end[big].tolist(), strict=True) if (x := function(*(c[a:b] for c in columns))) is not None]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], [k for k, _ in kinds])
-
-        for x in batches:
-            held = [np.concatenate((h, x.column(c).to_numpy())) for h, c in zip(held, names, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            yield from told([h[:last] for h in held])
-            held = [h[last:] for h in held]
-        if len(held[0]):
-            yield from told(held)
-
-    return keys.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(runs, ddl)
-
-
-def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKENESS) -> DataFrame:
-    """(row long, text) to (row, component): texts whose shingle sets have at least this Jaccard ratio.
+        now, held = None, []
+        for key, block, n, i, comp, first, mark in rows_of(batches, "key", "block", "n", "id", "comp", "first", "parity"):
+            if (key, block) != now:
+                yield from told(now, held)
+                now, held = (key, block), []
+            if not held or held[-1][1] != i:
+                held.append((n, i, comp, first, mark))
+        yield from told(now, held)
+
+    def told(now, held):
+        if len(held) < 2:
+            return
+        n, ids, comps, firsts, marks = zip(*held, strict=True)
+        pairs, on = run_pairs(np.array(n), np.array(comps), marks, max(firsts), likeness)
+        for i, j in pairs:
+            yield min(ids[i], ids[j]), max(ids[i], ids[j]), None, None, None
+        if on is not None:
+            yield None, None, *now, on
+
+    return map_rows(rows.repartition("key", "block").sortWithinPartitions("key", "block", "n", "id"), runs, ddl, size=4096)
+
+
+def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKENESS, keep: tuple[str, ...] = (), run_rows: int = RUN_ROWS) -> DataFrame:
+    """(row, text) to (row, component) and the columns of ``keep``: texts whose shingle sets have at least this Jaccard ratio.
 
     Exact, by prefix filtering: with the shingles of all sets in one order,
     rarest first, two sets of this likeness meet in the first
-    ``n - ceil(n * likeness) + 1`` shingles of each. Sets that meet are compared
-    whole. In a run of one shingle the smallest member is compared with all
-    others, then the next four, the next sixteen and so on, but only with what
-    the links found so far have not joined; it ends when no run has such a pair.
-    A component is named by its least row.
+    ``n - ceil(n * likeness) + 1`` shingles of each. Members of a shingle's run
+    are compared by parity fingerprints, whose distance bounds that of the sets
+    from below; what is left is compared whole. Pairs that links found so far
+    have joined need no test, so a run goes on in rounds. A run of over
+    ``run_rows`` members is dealt to blocks that all have its least member; if
+    the blocks' links do not join all of it, pairs of blocks are compared.
+    A component is a number without meaning.
     """
     from xxhash import xxh3_128_digest
 
-    docs = docs.select("row", "text")
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     common = common_shingles(docs, words)
 
     def marked(batches):
-        for row, text in rows_of(batches, "row", "text"):
+        for row, text, *rest in rows_of(batches, "row", "text", *keep):
             found = shingle_set(text, words)
-            yield row, xxh3_128_digest(found.tobytes()), len(found), rarest_first(found, common)[: prefix_size(len(found), likeness)].view(np.int64)
+            yield row, *rest, xxh3_128_digest(found.tobytes()), len(found), parities(found), rarest_first(found, common)[: prefix_size(len(found), likeness)].view(np.int64)
 
-    sets = written(map_rows(docs, marked, "row long, mark binary, n long, prefix array<long>", size=1024), "shingle-prefixes")
-    marks = sets.select("row", "mark")
-    distinct = sets.groupBy("mark").agg(F.min(F.struct("row", "n", "prefix")).alias("x")).select("mark", F.col("x.row").alias("id"), "x.n", "x.prefix")
+    kind = docs.schema["row"].dataType.simpleString()
+    sets = written(map_rows(docs.select("row", "text", *keep), marked, f"row {kind}{kept}, mark binary, n long, parity binary, prefix array<long>", size=1024), "shingle-prefixes")
+    # A number once written stays: a set is named by it from here on.
+    distinct = sets.select("row", "mark", "n", "parity", "prefix").dropDuplicates(["mark"])
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets", 1 << 14)
     keys = distinct.select(F.explode("prefix").alias("key"), "n", "id")
-    # Most keys have one document. They go before Python: what passes through it takes memory outside the heap.
-    keys = keys.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1")
-    shared = written(keys.select("key", "n", "id", F.col("id").alias("comp")), "shared-shingles", 1 << 14)
-    members = docs.join(shared.select(F.col("id").alias("row")).distinct(), "row", "left_semi").dropDuplicates(["row"])
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "id")).alias("least")).where("met > 1")
+    blocks = F.ceil(F.col("met") / run_rows)
+    # Most keys have one document. They go before the parities come.
+    shared = keys.join(met.select("key", blocks.alias("blocks"), F.col("least.id").alias("least")), "key")
+    own = F.when(F.col("blocks") == 1, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")))
+    everywhere = (F.col("blocks") > 1) & (F.col("id") == F.col("least"))
+    shared = shared.withColumn("block", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))))
+    shared = shared.join(distinct.select("id", "parity"), "id")
+    shared = written(shared.select("key", "block", "blocks", "n", "id", F.col("id").alias("comp"), F.lit(0).alias("first"), "parity"), "shared-shingles", 1 << 14)
+    links, long = None, not shared.where("blocks > 1").isEmpty()
+    while True:
+        found = written(_by_run(shared, likeness), "run-pairs", 1 << 14)
+        pairs = written(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs", 1 << 14)
+        new = _alike_pairs(docs, distinct, pairs, words, likeness)
+        links = new if links is None else links.union(new)
+        reached = components(links)
+        on = found.where("a IS NULL").select("key", "block", "first")
+        if not long and on.isEmpty():
+            break
+        joined = shared.drop("comp").join(reached, shared.id == reached.node, "left").withColumn("comp", F.coalesce("root", "id"))
+        rest = joined.drop("first").join(on, ["key", "block"]).select(shared.columns)
+        if long:
+            rest, long = rest.unionByName(_crossed(joined.select(shared.columns))), False
+        old, shared = shared, written(rest, "open-shingles", 1 << 14)
+        forget(old, found, pairs)
+    least = distinct.join(reached, distinct.id == reached.node, "left").select("mark", F.coalesce("root", "id").alias("component"))
+    return sets.select("row", "mark", *keep).join(least, "mark").select("row", "component", *keep)
+
+
+def _crossed(runs: DataFrame) -> DataFrame:
+    """Runs of several blocks whose members are not of one component yet, dealt anew to pairs of blocks."""
+    runs = runs.where("blocks > 1")
+    apart = runs.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    pairs = runs.join(apart, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return pairs.withColumn("block", (F.lit(1) + low) * F.col("blocks") + high).withColumn("first", F.lit(0)).drop("other")
+
+
+def _alike_pairs(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, words: int, likeness: float) -> DataFrame:
+    """Of pairs (a, b) of sets those that are alike by the exact ratio."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = written(distinct.select("id", "row").join(ids, "id"), "compared", 1 << 14)
 
     def whole(batches):
-        for row, text in rows_of(batches, "row", "text"):
-            found = shingle_set(text, words)
-            yield row, len(found), parities(found), found.tobytes()
-
-    found = written(map_rows(members, whole, "id long, n long, parity binary, shingles binary"), "shingle-sets")
-    short, long = found.select("id", "n", "parity"), found.select("id", "shingles")
-
-    def possible(batches):
-        """Drops only pairs that cannot be alike: too many members are in one set alone."""
-        for a, b, n, m, x, y in rows_of(batches, "a", "b", "n", "m", "x", "y"):
-            apart = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum())
-            if apart <= (n + m) * (1 - likeness) / (1 + likeness) + 1e-6:
-                yield a, b
+        for i, text in rows_of(batches, "id", "text"):
+            yield i, shingle_set(text, words).tobytes()
 
     def tested(batches):
         for a, b, x, y in rows_of(batches, "a", "b", "x", "y"):
             if jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= likeness:
                 yield a, b
 
-    links, first, many = None, 0, 1
-    while True:
-
-        def pairs_of(key, n, ids, comps, first=first, many=many):
-            pairs, _ = run_pairs(comps, n, first, many, likeness)
-            at = np.array(pairs, np.int64).reshape(-1, 2)
-            return (ids[at[:, 0]], ids[at[:, 1]]) if pairs else None
-
-        pairs = _by_run(shared, pairs_of, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(short.toDF("a", "n", "x"), "a").join(short.toDF("b", "m", "y"), "b")
-        pairs = map_rows(both, possible, "a long, b long", size=4096)
-        both = pairs.join(long.toDF("a", "x"), "a").join(long.toDF("b", "y"), "b")
-        new = written(map_rows(both, tested, "a long, b long", size=4096), "alike-links", 1 << 14)
-        links = new if links is None else links.union(new)
-        reached = components(links)
-        first, many = first + many, many * 4
-
-        def left_over(key, n, ids, comps, first=first):
-            return (key, n, ids, comps) if run_pairs(comps, n, first, 0, likeness)[1] else None
-
-        joined = shared.drop("comp").join(reached, shared.id == reached.node, "left").select("key", "n", "id", F.coalesce("root", "id").alias("comp"))
-        shared = written(_by_run(joined, left_over, "key long, n long, id long, comp long"), "open-shingles", 1 << 14)
-        if shared.isEmpty():
-            break
-    least = sets.groupBy("mark").agg(F.min("row").alias("id"))
-    named = least.join(reached, least.id == reached.node, "left").select("mark", F.coalesce("root", "id").alias("component"))
-    return marks.join(named, "mark").select("row", "component")
+    texts = few_rows(docs.select("row", "text"), wanted, "row", "inner")
+    found = written(map_rows(texts.select("id", "text"), whole, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+    out = written(map_rows(both, tested, "a long, b long", size=4096), "alike-links", 1 << 14)
+    forget(wanted, found)
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -138,6 +138,13 @@ def test_components_in_rounds_and_at_once(spark):
     assert components(df.where("false")).count() == 0
 
 
+def grouped(df, **options):
+    """Each row's group, named by its least row."""
+    got = [(x["row"], x["component"]) for x in simhash.alike(df, **options).collect()]
+    least = {c: min(r for r, other in got if other == c) for _, c in got}
+    return {r: least[c] for r, c in got}
+
+
 def test_likeness_finds_edited_copies(spark):
     r = random.Random(8)
     texts = [sentence(r, 300) for _ in range(40)]
@@ -148,7 +155,7 @@ def test_likeness_finds_edited_copies(spark):
             w[i] = "changed"
         near.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate([*texts, *near])), "row long, text string")
-    got = {x["row"]: x["component"] for x in simhash.alike(df).collect()}
+    got = grouped(df)
     assert all(got[40 + i] == got[i] for i in range(15))
     assert len({got[i] for i in range(40)}) == 40
 
@@ -164,7 +171,7 @@ def test_a_bridge_that_shares_a_run_does_not_hide_a_pair(spark):
     w = [f"w{r.randrange(10**6)}" for _ in range(200)]
     texts = [" ".join(w[:140]), " ".join(w), " ".join([*w[:190], *(f"x{i}" for i in range(10))])]
     assert set_likeness(texts[0], texts[1]) < 0.8 <= set_likeness(texts[1], texts[2]) and set_likeness(texts[0], texts[2]) < 0.8
-    got = {x["row"]: x["component"] for x in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    got = grouped(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
     assert got == {0: 0, 1: 1, 2: 1}
 
 
@@ -186,7 +193,7 @@ def test_likeness_is_exact(spark):
     for _ in texts:
         for i, j in near:
             root[i] = root[j] = min(root[i], root[j])
-    got = {x["row"]: x["component"] for x in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    got = grouped(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
     assert got == dict(enumerate(root)) and 60 < len(set(root)) < 200
 
 
@@ -197,8 +204,23 @@ def test_likeness_in_runs_that_take_several_rounds(spark):
     for _ in range(30):
         own = [f"w{r.randrange(10**6)}" for _ in range(20)]
         texts += [" ".join([*passage, *own]), " ".join([*passage, *own[:-1], f"v{len(texts)}"])]
-    got = {x["row"]: x["component"] for x in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()}
+    got = grouped(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
     assert got == {i: i // 2 * 2 for i in range(60)}
+    # Runs of more members than a task may hold go to blocks and pairs of blocks.
+    assert got == grouped(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), run_rows=7)
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n in (3, 200, 300, 700, 1500):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: int(n * 0.9)], r.integers(0, 2**63, n // 8 + 1).astype(np.uint64))))
+        sizes, marks = np.sort([len(a), len(b)]), [simhash.parities(x) for x in sorted((a, b), key=len)]
+        found = simhash.run_pairs(sizes, np.array([0, 1]), marks, 0, 0.01)[0]
+        assert found == [(0, 1)]
+        alike = simhash.jaccard(a, b)
+        assert simhash.run_pairs(sizes, np.array([0, 1]), marks, 0, alike)[0] == [(0, 1)]
+        assert simhash.run_pairs(np.repeat(sizes, 20), np.arange(40), [x for x in marks for _ in range(20)], 0, alike)[0].count((0, 20)) == 1
 
 
 def labelled(spark, column):
