@@ -1,4 +1,8 @@
-"""A query and its SQL for every primitive, with parameters that a month of hourly bars can warm up."""
+"""A query and its SQL for every primitive, with parameters that a month of hourly bars can warm up.
+
+All bars are compared, those without a value too. The SQL is written on its own,
+in ``oracles``.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from causeway.functions import registry
 from causeway.operators.graph import Graph
+from causeway.plans import oracles
 from causeway.sources import bars
 
-#: Folds with state, which DuckDB has no form of; held against loops in the tests.
-FOLDS = ("kama", "psar", "supertrend")
 SMALL = {"window": 10, "slow_window": 12, "signal_window": 4, "slow": 14, "fast": 5, "signal": 4, "seed_multiplier": 4, "lookback": 40, "sum_window": 9, "lookback_multiplier": 5}
 OUTPUTS = {"bollinger": "percent", "keltner": "lower", "donchian": "width", "macd": "signal", "ppo": "signal", "pvo": "histogram", "trix": "signal", "klinger": "signal", "stoch": "d", "stoch_rsi": "d", "adx": "adx", "aroon": "oscillator", "vortex": "diff", "pivot": "r2", "heikin_ashi": "open", "fisher": "signal"}
 OWN = {"kama": {"slow": 30, "fast": 2}, "ultimate": {"fast": 3, "medium": 6, "slow": 12}, "ppo": {"window": 5}, "pvo": {"window": 5}, "apo": {"window": 5}, "adx": {"window": 5}, "adxr": {"window": 5}, "mass_index": {"window": 3, "sum_window": 3}, "trix": {"window": 5}, "tsi": {"window": 5}, "pmo": {"window": 5}, "klinger": {"window": 5}, "t3": {"window": 5}, "hurst": {"window": 24}, "pwma": {"window": 4}}
@@ -28,20 +31,22 @@ def parameters(p: registry.Primitive) -> dict[str, object]:
     return out | {k: v for k, v in OWN.get(p.name, {}).items() if k in known}
 
 
-def query(p: registry.Primitive) -> Callable[[SparkSession, str], DataFrame]:
+def full(p: registry.Primitive, given: dict[str, object]) -> dict[str, object]:
+    """The given parameters and the defaults of the others."""
+    return {k: v for k, v in p.defaults.items() if v is not inspect.Parameter.empty} | given
+
+
+def query(p: registry.Primitive, **given) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         graph = Graph("spark")
-        x = p.column(graph, **parameters(p))
-        done = graph.apply(bars.events(spark, sf_dir), value=x)
-        return done.where(f"bar_index >= {graph.needs[x] - 1}").selectExpr("symbol", "bar_index", "round(value, 6) + 0D AS value")
+        x = p.column(graph, **(given or parameters(p)))
+        return graph.apply(bars.events(spark, sf_dir), value=x).selectExpr("symbol", "bar_index", "round(value, 6) + 0D AS value")
 
     return run
 
 
-def sql(p: registry.Primitive) -> str:
-    graph = Graph("duckdb")
-    x = p.column(graph, **parameters(p))
-    return graph.sql(bars.events_sql(), f"symbol, bar_index, round({x}, 6) + 0.0 AS value", f"bar_index >= {graph.needs[x] - 1}")
+def sql(p: registry.Primitive, **given) -> str:
+    return oracles.primitive_sql(p.name, full(p, given or parameters(p)), bars.events_sql())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -49,4 +54,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"prim_{p.name}": sql(p) for p in registry.everything().values() if p.name not in FOLDS}
+    return {f"prim_{p.name}": sql(p) for p in registry.everything().values()}

@@ -68,11 +68,13 @@ BLOCKS = 6
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean over spread of hourly changes, by symbol and sixth of the time."""
+    """Mean over spread of hourly changes, by symbol and sixth of its time; only a remainder of fewer than six bars is left out."""
     g = Graph("spark")
     x = g.let(f"close - {g.lag('close')}")
-    done = g.apply(bars.events(spark, sf_dir), x=x).where("bar_index BETWEEN 1 AND 150")
-    return done.groupBy(F.col("symbol").alias("config"), F.expr("CAST((bar_index - 1) DIV 25 AS INT)").alias("block")).agg(F.round(F.avg("x") / F.stddev_samp("x"), 8).alias("sharpe"))
+    done = g.apply(bars.events(spark, sf_dir), x=x).where("bar_index > 0")
+    length = done.groupBy("symbol").agg(F.expr(f"count(*) DIV {BLOCKS}").alias("length"))
+    done = done.join(length, "symbol").withColumn("block", F.expr("CAST((bar_index - 1) DIV length AS INT)")).where(f"block < {BLOCKS}")
+    return done.groupBy(F.col("symbol").alias("config"), "block").agg(F.round(F.avg("x") / F.stddev_samp("x"), 8).alias("sharpe"))
 
 
 def overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +85,8 @@ def _overfitting_sql() -> str:
     splits = ", ".join(f"({i}, {b}, {b in s})" for i, s in enumerate(itertools.combinations(range(BLOCKS), BLOCKS // 2)) for b in range(BLOCKS))
     return (
         f"WITH x AS (SELECT symbol, bar_index, close - lag(close) OVER (PARTITION BY symbol ORDER BY bar_index) AS x FROM {bars.events_sql()}), "
-        "g AS (SELECT symbol AS config, (bar_index - 1) // 25 AS block, round(avg(x) / stddev_samp(x), 8) AS sharpe FROM x WHERE bar_index BETWEEN 1 AND 150 GROUP BY 1, 2), "
+        f"l AS (SELECT symbol, (count(*) - 1) // {BLOCKS} AS length FROM x GROUP BY 1), "
+        f"g AS (SELECT symbol AS config, (bar_index - 1) // length AS block, round(avg(x) / stddev_samp(x), 8) AS sharpe FROM x JOIN l USING (symbol) WHERE bar_index > 0 AND (bar_index - 1) // length < {BLOCKS} GROUP BY 1, 2), "
         f"p(split, block, inside) AS (VALUES {splits}), "
         "s AS (SELECT split, config, avg(CASE WHEN inside THEN sharpe END) AS sample, avg(CASE WHEN NOT inside THEN sharpe END) AS rest FROM g JOIN p USING (block) GROUP BY 1, 2), "
         "b AS (SELECT split, arg_min(config, (-sample, config)) AS winner, arg_min(rest, (-sample, config)) AS own, count(*) AS n FROM s GROUP BY 1), "
