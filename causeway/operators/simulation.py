@@ -1,9 +1,12 @@
 """Order, fill and portfolio simulation: a fold over the bars of each run.
 
 Signals are computed before, as columns; only what depends on the path runs in
-the fold, one group a ``run_id`` and in parallel over runs. The order within a
-bar is: protections, due orders, mark, then the rules at the close, whose orders
-are due ``lag_bars`` bars later at the earliest. Nothing reads a later bar.
+the fold. Runs are dealt to tasks by ``run_id`` and their bars stream through in
+order, so a task holds a run's open positions and orders and no more of its
+history than one instant. Equity, fills, trades and counts come out of one pass.
+The order within a bar is: protections, due orders, mark, then the rules at the
+close, whose orders are due ``lag_bars`` bars later at the earliest. Nothing
+reads a later bar.
 """
 
 from __future__ import annotations
@@ -11,9 +14,10 @@ from __future__ import annotations
 import itertools
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,12 +116,14 @@ class Book:
         c, account = self.run.costs, self.account
         fee = c.fee_per_contract * contracts + c.fee_flat
         account.cash -= fee
+        account.fees += fee
         account.fills.append({"symbol": self.symbol, "bar_index": bar["bar_index"], "side": side, "quantity": contracts, "price": price, "fee": fee, "tag": tag})
         closing = min(contracts, abs(self.quantity)) if self.quantity * side < 0 else 0
         self.trade_fees += fee
         if closing:
             pnl = -side * closing * self.run.multiplier * (price - self.average)
             account.cash += pnl
+            account.realised += pnl
             self.trade_pnl += pnl
             self.quantity += side * closing
             if not self.quantity:
@@ -159,9 +165,20 @@ class Account:
         self.peak = self.initial
         self.limits = limits
         self.books = {s: Book(r, self, s) for s, r in runs.items()}
+        #: What has happened since it was last told.
         self.fills: list[dict] = []
         self.trades: list[dict] = []
         self.counts: Counter[str] = Counter()
+        #: Results of closed contracts and fees of all time, for the check of the books.
+        self.realised = self.fees = 0.0
+
+    def checked(self) -> float:
+        """The equity, which must be the initial cash and all results less all fees."""
+        now = self.equity()
+        other = self.initial + self.realised - self.fees + sum(b.open_profit() for b in self.books.values())
+        if abs(now - other) > 1e-6 * max(1.0, abs(now)):
+            raise ArithmeticError(f"the books do not agree: {now} and {other}")
+        return now
 
     def equity(self) -> float:
         return self.cash + sum(b.open_profit() for b in self.books.values())
@@ -239,20 +256,29 @@ def evaluate(spec: dict, bar: dict, position: dict, account: dict) -> float | No
     return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b}[spec["op"]]()
 
 
-def fold_panel(bars: list[dict], runs: dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None) -> dict[str, list[dict]]:
-    """Equity, fills and trades of one portfolio.
+def fold_stream(bars: Iterable[dict], runs: dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None) -> Iterator[tuple[str, dict]]:
+    """Equity, fills, trades and counts of one portfolio, as (kind, record), as they come about.
 
     ``bars`` come in order of instant and then symbol. An order waits for its
     instrument's next bar once it is due. ``residual`` holds the rules that read
     the position or the account.
     """
-    account, pending, curve, residual = Account(runs, limits or Limits()), [], [], residual or {}
-    ended = {b["symbol"]: b for b in bars}
+    account, pending, point, residual = Account(runs, limits or Limits()), [], None, residual or {}
+    ended: dict[str, dict] = {}
+
+    def told() -> Iterator[tuple[str, dict]]:
+        yield from (("fills", x) for x in account.fills)
+        yield from (("trades", x) for x in account.trades)
+        account.fills, account.trades = [], []
+
     for i, (_, group) in enumerate(itertools.groupby(bars, key=lambda b: b["ts"])):
+        if point:
+            yield "equity", point
         group = list(group)
-        closed = {b["symbol"]: len(account.trades) for b in group}
+        closed = dict.fromkeys((b["symbol"] for b in group), False)
         for bar in group:
             book = account.books[bar["symbol"]]
+            ended[bar["symbol"]] = bar
             run = book.run
             trades = len(account.trades)
             # Protections are armed from the bar after the fill.
@@ -281,6 +307,8 @@ def fold_panel(bars: list[dict], runs: dict[str, Run], limits: Limits | None = N
                     if why := account.refusal(book, o["side"], contracts, at):
                         account.counts[why] += 1
                         continue
+                elif o["due"] < i:
+                    account.counts["late_exit"] += 1
                 book.fill(o["side"], contracts, book.slipped(o["kind"], o["side"], at, bar), bar, o["tag"])
                 if book.quantity and not o["reduce"]:
                     book.stop, book.target, book.armed = o["stop"], o["target"], i
@@ -290,9 +318,13 @@ def fold_panel(bars: list[dict], runs: dict[str, Run], limits: Limits | None = N
                 book.high = bar["high"] if book.high is None else max(book.high, bar["high"])
                 book.low = bar["low"] if book.low is None else min(book.low, bar["low"])
             closed[bar["symbol"]] = len(account.trades) > trades
-        equity = account.equity()
+        equity = account.checked()
         account.peak = max(account.peak, equity)
-        curve.append({"bar_index": group[0]["bar_index"] if len(runs) == 1 else i, "ts": group[0]["ts"], "equity": equity, "cash": account.cash, "contracts": sum(abs(b.quantity) for b in account.books.values()) if len(runs) > 1 else next(iter(account.books.values())).quantity})
+        margin = sum(b.run.initial_margin * abs(b.quantity) for b in account.books.values())
+        if margin > equity:
+            account.counts["margin_short"] += 1
+        point = {"bar_index": group[0]["bar_index"] if len(runs) == 1 else i, "ts": group[0]["ts"], "equity": equity, "cash": account.cash, "contracts": sum(abs(b.quantity) for b in account.books.values()) if len(runs) > 1 else next(iter(account.books.values())).quantity}
+        yield from told()
         for bar in group:
             book = account.books[bar["symbol"]]
             if residual:
@@ -303,8 +335,19 @@ def fold_panel(bars: list[dict], runs: dict[str, Run], limits: Limits | None = N
         for symbol, book in account.books.items():
             if book.run.liquidate_at_end and book.quantity:
                 book.fill(-1 if book.quantity > 0 else 1, abs(book.quantity), ended[symbol]["close"], ended[symbol], "liquidation")
-        curve[-1] |= {"equity": account.equity(), "cash": account.cash, "contracts": sum(abs(b.quantity) for b in account.books.values())}
-    return {"equity": curve, "fills": account.fills, "trades": account.trades}
+        yield from told()
+        point = point | {"equity": account.checked(), "cash": account.cash, "contracts": sum(abs(b.quantity) for b in account.books.values())}
+    if point:
+        yield "equity", point
+    yield from (("counts", {"name": k, "n": n}) for k, n in sorted(account.counts.items()))
+
+
+def fold_panel(bars: Iterable[dict], runs: dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None) -> dict[str, list[dict]]:
+    """All that ``fold_stream`` tells, by kind."""
+    out: dict[str, list[dict]] = {k: [] for k in OUTPUTS}
+    for kind, record in fold_stream(bars, runs, limits, residual):
+        out[kind].append(record)
+    return out
 
 
 def decisions(book: Book, bar: dict, equity: float, i: int) -> list[dict]:
@@ -353,29 +396,60 @@ OUTPUTS = {
     "equity": "run_id string, bar_index long, ts double, equity double, cash double, contracts long",
     "fills": "run_id string, symbol string, bar_index long, side int, quantity long, price double, fee double, tag string",
     "trades": "run_id string, symbol string, opened_bar long, closed_bar long, direction int, max_quantity long, gross_pnl double, fees double",
+    "counts": "run_id string, name string, n long",
 }
+#: All kinds side by side, told apart by ``kind``.
+_COLUMNS = dict(c.split() for ddl in OUTPUTS.values() for c in ddl.split(", "))
+#: Records of an Arrow batch.
+_BATCH = 8192
 
 
-def simulate(signals: DataFrame, run: Run | dict[str, Run], output: str = "equity", limits: Limits | None = None, residual: dict[str, dict] | None = None) -> DataFrame:
-    """Folds each ``run_id`` of bars with rule columns; ``output``: equity, fills or trades.
+def simulate_all(signals: DataFrame, run: Run | dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None) -> DataFrame:
+    """Folds each ``run_id`` of bars with rule columns; rows of every kind of output, with ``kind``.
 
-    Settings are one for every symbol, or one a symbol. A run's bars are one
-    group, since each depends on the last; many runs, folds or parameter sets
-    are as many groups.
+    Settings are one for every symbol, or one a symbol. A run's bars go through
+    one task in order, since each depends on the last; many runs, folds or
+    parameter sets go through as many tasks as there are.
     """
-    if output not in OUTPUTS:
-        raise ValueError(f"unknown output {output!r}")
     names = [c for c in signals.columns if c in (*RULES, "size") or c.startswith("part_")]
     rows = signals.select("run_id", "symbol", "bar_index", (F.unix_micros("ts_close") / 1e6).alias("ts"), "open", "high", "low", "close", *names)
-    columns = [c.split()[0] for c in OUTPUTS[output].split(", ")]
-
-    def one(key: tuple, bars: pd.DataFrame) -> pd.DataFrame:
-        records = bars.sort_values(["ts", "symbol"]).to_dict("records")
-        runs = run if isinstance(run, dict) else dict.fromkeys(sorted({r["symbol"] for r in records}), run)
-        found = fold_panel(records, runs, limits, residual)[output]
-        return pd.DataFrame([{"run_id": key[0], **r} for r in found], columns=columns)
-
-    return rows.groupBy("run_id").applyInPandas(one, OUTPUTS[output])
+    symbols = rows.groupBy("run_id").agg(F.sort_array(F.collect_set("symbol")).alias("_symbols"))
+    rows = rows.join(symbols, "run_id").repartition("run_id").sortWithinPartitions("run_id", "ts", "symbol")
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([("kind", pa.string()), *((k, kinds[t]) for k, t in _COLUMNS.items())])
+
+    def records(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield from b.to_pylist()
+
+    def folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for run_id, bars in itertools.groupby(records(batches), key=lambda r: r["run_id"]):
+            first = next(bars)
+            runs = {s: run[s] if isinstance(run, dict) else run for s in first["_symbols"]}
+            for kind, record in fold_stream(itertools.chain([first], bars), runs, limits, residual):
+                held.append({"kind": kind, "run_id": run_id, **record})
+                if len(held) >= _BATCH:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return rows.mapInArrow(folded, "kind string, " + ", ".join(f"{k} {t}" for k, t in _COLUMNS.items()))
+
+
+def output(told: DataFrame, kind: str) -> DataFrame:
+    """One kind of ``simulate_all``'s rows, with its own columns."""
+    if kind not in OUTPUTS:
+        raise ValueError(f"unknown output {kind!r}")
+    return told.where(F.col("kind") == kind).select(*(c.split()[0] for c in OUTPUTS[kind].split(", ")))
+
+
+def simulate(signals: DataFrame, run: Run | dict[str, Run], kind: str = "equity", limits: Limits | None = None, residual: dict[str, dict] | None = None) -> DataFrame:
+    """One kind of output of a simulation: equity, fills, trades or counts."""
+    if kind not in OUTPUTS:
+        raise ValueError(f"unknown output {kind!r}")
+    return output(simulate_all(signals, run, limits, residual), kind)
 
 
 def buy_and_hold(bars: DataFrame, run: Run) -> DataFrame:

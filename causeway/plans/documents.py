@@ -215,13 +215,7 @@ def run(spark: SparkSession, document: dict) -> dict[str, DataFrame]:
         rows = rows.where(F.col("bar_index") < doc["stop"])
     runs = {d["alias"] or market.instrument(d["root"])["symbol"]: settings(doc, d["root"]) for d in doc["data"]}
     caps = simulation.Limits(**{k: v for k, v in doc["risk"].get("limits", {}).items() if k != "note"})
-    out = {}
-    for kind in simulation.OUTPUTS:
-        if doc["strategy"]["ref"] == "multi_rules@1":
-            out[kind] = simulation.simulate(rows, runs, kind, caps, rest)
-        else:  # one instrument a run, each with its own settings
-            each = [simulation.simulate(rows.where(F.col("symbol") == name), {name: own}, kind, caps, rest) for name, own in runs.items()]
-            out[kind] = each[0]
-            for more in each[1:]:
-                out[kind] = out[kind].unionByName(more)
+    # One pass makes all outputs; they are read several times.
+    told = simulation.simulate_all(rows, runs, caps, rest).persist()
+    out = {kind: simulation.output(told, kind) for kind in simulation.OUTPUTS}
     return out | {"performance": metrics.performance(out["equity"], doc["risk_free_annual"]), "activity": metrics.activity(out["trades"])}

@@ -33,6 +33,51 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.simulate(signals(spark, sf_dir), RUN, "trades")
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places."""
+    return df.select(*(F.expr(f"round({f.name}, 6) + 0D").alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema))
+
+
+# The same runs in DuckDB, bar by bar: a table of states, each made from the one before.
+_FEE, _WORTH, _SLIP = "0.85 * 3", "3 * 5.0", "0.01"
+_STATES_SQL = (
+    f"b AS (SELECT * FROM {bars.events_sql()}), "
+    "m AS (SELECT x.symbol, x.bar_index AS i, x.ts_close, x.open, x.high, x.low, x.close, CASE WHEN x.bar_index >= 4 THEN avg(p.close) FILTER (WHERE p.bar_index > x.bar_index - 5) END AS fast, CASE WHEN x.bar_index >= 19 THEN avg(p.close) END AS slow "
+    "FROM b x JOIN b p ON p.symbol = x.symbol AND p.bar_index BETWEEN x.bar_index - 19 AND x.bar_index GROUP BY x.symbol, x.bar_index, x.ts_close, x.open, x.high, x.low, x.close), "
+    "sig AS (SELECT n.*, coalesce(n.fast > n.slow AND e.fast <= e.slow, FALSE) AS up, coalesce(n.fast < n.slow AND e.fast >= e.slow, FALSE) AS down FROM m n LEFT JOIN m e ON e.symbol = n.symbol AND e.i = n.i - 1), "
+    # q: contracts held; paid: their price; stop and since: their stop and the bar of their fill; go and leave: orders of the bar before; sold: price of contracts that went on this bar.
+    "st AS (SELECT symbol, i, 0 AS q, 0.0::DOUBLE AS paid, 0.0::DOUBLE AS stop, 0::BIGINT AS since, 100000.0::DOUBLE AS cash, up AS go, FALSE AS leave, close * 0.5 AS go_stop, NULL::DOUBLE AS sold, 0.0::DOUBLE AS sold_paid, 0::BIGINT AS sold_since FROM sig WHERE i = 0 "
+    "UNION ALL SELECT symbol, i, q3, CASE WHEN buys THEN bought ELSE paid END, CASE WHEN buys THEN go_stop ELSE stop END, CASE WHEN buys THEN i ELSE since END, "
+    f"cash + CASE WHEN sold IS NOT NULL THEN {_WORTH} * (sold - paid) - {_FEE} ELSE 0 END - CASE WHEN buys THEN {_FEE} ELSE 0 END, up AND q3 = 0, down AND q3 > 0, close * 0.5, sold, paid, since "
+    "FROM (SELECT *, go AND (q = 0 OR sold IS NOT NULL) AS buys, CASE WHEN go AND (q = 0 OR sold IS NOT NULL) THEN 3 WHEN sold IS NOT NULL THEN 0 ELSE q END AS q3 FROM ("
+    f"SELECT s.symbol, sig.i, sig.open, sig.close, sig.up, sig.down, s.q, s.paid, s.stop, s.since, s.cash, s.go, s.go_stop, least(greatest(sig.open + {_SLIP}, sig.low), sig.high) AS bought, "
+    f"CASE WHEN s.q > 0 AND sig.i > s.since AND sig.low <= s.stop THEN least(greatest(least(s.stop, sig.open) - {_SLIP}, sig.low), sig.high) WHEN s.q > 0 AND s.leave THEN least(greatest(sig.open - {_SLIP}, sig.low), sig.high) END AS sold "
+    "FROM st s JOIN sig ON sig.symbol = s.symbol AND sig.i = s.i + 1))), "
+    "eq AS (SELECT st.symbol AS run_id, st.i AS bar_index, epoch_us(sig.ts_close) / 1e6 AS ts, cash + q * 5.0 * (sig.close - paid) AS equity, cash, q::BIGINT AS contracts FROM st JOIN sig ON sig.symbol = st.symbol AND sig.i = st.i), "
+    f"tr AS (SELECT symbol AS run_id, symbol, sold_since AS opened_bar, i AS closed_bar, 1 AS direction, 3::BIGINT AS max_quantity, {_WORTH} * (sold - sold_paid) AS gross_pnl, CAST(2 * {_FEE} AS DOUBLE) AS fees FROM st WHERE sold IS NOT NULL)"
+)
+_EQUITY_SQL = f"WITH RECURSIVE {_STATES_SQL} SELECT run_id, bar_index, round(ts, 6) + 0.0 AS ts, round(equity, 6) + 0.0 AS equity, round(cash, 6) + 0.0 AS cash, contracts FROM eq"
+_TRADES_SQL = f"WITH RECURSIVE {_STATES_SQL} SELECT run_id, symbol, opened_bar, closed_bar, direction, max_quantity, round(gross_pnl, 6) + 0.0 AS gross_pnl, round(fees, 6) + 0.0 AS fees FROM tr"
+_PERFORMANCE_SQL = (
+    f"WITH RECURSIVE {_STATES_SQL}, d AS (SELECT run_id, max(ts) AS ts, arg_max(equity, ts) AS equity FROM eq GROUP BY run_id, floor(ts / 86400)), "
+    "s AS (SELECT run_id, count(*) AS points, arg_min(equity, ts) AS first, arg_max(equity, ts) AS last, min(equity) AS least, (max(ts) - min(ts)) / 31556952.0 AS years FROM d GROUP BY 1), "
+    "r AS (SELECT run_id, equity / before - 1 AS x FROM (SELECT *, lag(equity) OVER (PARTITION BY run_id ORDER BY ts) AS before FROM d) WHERE before > 0), "
+    "c AS (SELECT run_id, avg(x) AS m, stddev_samp(x) AS sd, sqrt(avg(power(least(x, 0), 2))) AS down, stddev_pop(x) AS sp FROM r GROUP BY 1), "
+    "k AS (SELECT run_id, avg(power((x - m) / sp, 3)) AS skew, avg(power((x - m) / sp, 4)) AS kurtosis FROM r JOIN c USING (run_id) GROUP BY 1) "
+    "SELECT run_id, points, round(first, 6) + 0.0 AS first, round(last, 6) + 0.0 AS last, round((points - 1) / years, 6) + 0.0 AS per_year, round(power(last / first, 1 / years) - 1, 6) + 0.0 AS cagr, "
+    "round(sd * sqrt((points - 1) / years), 6) + 0.0 AS volatility, round(m / sd * sqrt((points - 1) / years), 6) + 0.0 AS sharpe, round(m / down * sqrt((points - 1) / years), 6) + 0.0 AS sortino, "
+    "round(skew, 6) + 0.0 AS skew, round(kurtosis, 6) + 0.0 AS kurtosis, least <= 0 AS ruined FROM s JOIN c USING (run_id) JOIN k USING (run_id)"
+)
+_ACTIVITY_SQL = (
+    f"WITH RECURSIVE {_STATES_SQL}, n AS (SELECT run_id, gross_pnl - fees AS net FROM tr) SELECT run_id, count(*) AS trades, round(sum(net), 6) + 0.0 AS net, round(count_if(net > 0) / count(*), 6) + 0.0 AS hit_rate, "
+    "round(sum(net) FILTER (WHERE net > 0) / -sum(net) FILTER (WHERE net < 0), 6) + 0.0 AS profit_factor, round(avg(net) FILTER (WHERE net > 0), 6) + 0.0 AS mean_win, round(avg(net) FILTER (WHERE net < 0), 6) + 0.0 AS mean_loss FROM n GROUP BY 1"
+)
+_HOURLY_SQL = (
+    f"WITH RECURSIVE {_STATES_SQL}, x AS (SELECT symbol AS run_id, bar_index AS opened_bar, minutes_from_open FROM {sessions.index_sql(bars.events_sql(), data.DAY)}) "
+    "SELECT run_id, CAST(floor(minutes_from_open / 60) AS BIGINT) AS hour, count(*) AS trades, round(sum(gross_pnl - fees), 6) + 0.0 AS net FROM tr JOIN x USING (run_id, opened_bar) GROUP BY 1, 2"
+)
+
+
 def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Falls of the close itself, as a curve that SQL can follow."""
     curve = bars.events(spark, sf_dir).select(F.col("symbol").alias("run_id"), (F.unix_micros("ts_close") / 1e6).alias("ts"), F.col("close").alias("equity"))
@@ -103,11 +148,11 @@ def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CORRELATION_SQL = f"WITH s AS (SELECT symbol, ts_close, close FROM {bars.events_sql()}) SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(covar_pop(a.close, b.close) / (stddev_pop(a.close) * stddev_pop(b.close)), 6) + 0.0 AS correlation FROM s a JOIN s b USING (ts_close) WHERE a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 30"
 
 RUNS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "run_equity": (equity, None),
-    "run_trades": (trades, None),
-    "run_performance": (performance, None),
-    "run_activity": (activity, None),
-    "run_by_hour": (hourly, None),
+    "run_equity": (lambda spark, sf_dir: rounded(equity(spark, sf_dir)), _EQUITY_SQL),
+    "run_trades": (lambda spark, sf_dir: rounded(trades(spark, sf_dir)), _TRADES_SQL),
+    "run_performance": (lambda spark, sf_dir: rounded(performance(spark, sf_dir)), _PERFORMANCE_SQL),
+    "run_activity": (lambda spark, sf_dir: rounded(activity(spark, sf_dir)), _ACTIVITY_SQL),
+    "run_by_hour": (lambda spark, sf_dir: rounded(hourly(spark, sf_dir)), _HOURLY_SQL),
     "run_buy_and_hold": (buy_and_hold, _HOLD_SQL),
     "drawdowns": (drawdown, _DRAWDOWN_SQL),
     "overfitting_splits": (overfitting, _overfitting_sql()),
