@@ -28,7 +28,7 @@ from math import isqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, rows_of, written
+from .common import map_rows, row_name, rows_of, written
 
 #: Once the most documents that a line could be in. Nothing is left out by it now; tests read it.
 RARE = 100
@@ -173,20 +173,22 @@ def common_lines(own: dict[tuple[int, int], list[int]], other: dict[tuple[int, i
 
 
 def shared_lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to (row, gone array<int>): the lines that leave each document."""
+    """(row binary, doc_id, text) to (row, gone array<int>): the lines that leave each document."""
 
     def listed(batches):
         for row, doc, text in rows_of(batches, "row", "doc_id", "text"):
             for (h, kind), places in keys_of(text).items():
                 yield h, kind, doc, row, places
 
-    keys = written(map_rows(docs, listed, "key long, kind int, doc_id long, row long, places array<int>", size=4096), "line-keys")
+    keys = written(map_rows(docs, listed, "key long, kind int, doc_id long, row binary, places array<int>", size=4096), "line-keys")
     owners = keys.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row")).alias("first"))
-    owners = owners.where("n > 1").select("key", "kind", "first")
+    # Written, so that the joins have a plain exchange on either side and Spark can split a line of very many documents.
+    owners = written(owners.where("n > 1").select("key", "kind", "first"), "line-owners", 1 << 14)
     both = keys.join(owners, ["key", "kind"])
     # An owner's places reach the others in a second, smaller step: its own row of each key carries them.
     mine = F.struct("doc_id", "row") == F.col("first")
     held = both.where(mine).dropDuplicates(["key", "kind"]).select("key", "kind", F.col("row").alias("owner"), F.col("places").alias("there"))
+    held = written(held, "owned-lines", 1 << 12)
     rest = keys.join(held, ["key", "kind"]).where(F.col("row") != F.col("owner")).select("row", "owner", "key", "kind", "places", "there")
     rest = rest.repartition("row").sortWithinPartitions("row", "owner", "key", "kind")
 
@@ -208,12 +210,12 @@ def shared_lines(docs: DataFrame) -> DataFrame:
         if now is not None:
             yield now, sorted(gone | common_lines(own, other))
 
-    return map_rows(rest, aligned, "row long, gone array<int>", size=4096)
+    return map_rows(rest, aligned, "row binary, gone array<int>", size=4096)
 
 
 def without_shared(docs: DataFrame) -> DataFrame:
     """Adds ``row`` and ``gone`` to documents; ``text`` stays as it is."""
-    rows = docs.drop("gone").withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    rows = docs.drop("gone").withColumn("row", row_name())
     gone = shared_lines(rows.select("row", "doc_id", "text"))
     return rows.join(gone, "row", "left")
 
