@@ -170,6 +170,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     named = distinct.join(reached, distinct.fp == reached.node).groupBy("root").agg(F.min("first").alias("name"))
     named = reached.join(named, "root").select("node", "name")
     named = distinct.join(named, distinct.fp == named.node, "left").select("fp", F.coalesce("name", "first").alias("component_id"))
+    # Written, so that the join has a plain exchange on either side and Spark can split a fingerprint with very many rows.
+    named = written(named, "named-fingerprints", 1 << 14)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -356,8 +358,9 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
     keys = distinct.select(F.explode("prefix").alias("key"), "n", "id")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "id")).alias("least")).where("met > 1")
     blocks = F.ceil(F.col("met") / run_rows)
-    # Most keys have one document. They go before the parities come.
-    shared = keys.join(met.select("key", blocks.alias("blocks"), F.col("least.id").alias("least")), "key")
+    # Most keys have one document. They go before the parities come. Written, as its join may have keys of very many rows.
+    met = written(met.select("key", blocks.alias("blocks"), F.col("least.id").alias("least")), "met-shingles", 1 << 14)
+    shared = keys.join(met, "key")
     own = F.when(F.col("blocks") == 1, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")))
     everywhere = (F.col("blocks") > 1) & (F.col("id") == F.col("least"))
     shared = shared.withColumn("block", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))))
@@ -380,6 +383,7 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
         old, shared = shared, written(rest, "open-shingles", 1 << 14)
         forget(old, found, pairs)
     least = distinct.join(reached, distinct.id == reached.node, "left").select("mark", F.coalesce("root", "id").alias("component"))
+    least = written(least, "named-sets", 1 << 14)
     return sets.select("row", "mark", *keep).join(least, "mark").select("row", "component", *keep)
 
 
