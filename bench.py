@@ -20,6 +20,14 @@ _close = {"type": "price", "field": "close"}
 _prim = lambda ref, **p: {"type": "primitive", "ref": ref, "params": p}
 
 
+_ema = lambda n, x: {"type": "rolling", "stat": "ema", "window": n, "inner": x}
+#: A mean of a difference of means of the close, all as rolling nodes.
+_macd = _ema(9, {"type": "arith", "op": "-", "left": _ema(12, _close), "right": _ema(26, _close)})
+_money = {"type": "arith", "op": "*", "left": _prim("typical_price@1"), "right": {"type": "price", "field": "volume"}}
+_so_far = lambda x: {"type": "cumulative", "stat": "sum", "inner": x}
+_vwap = {"type": "arith", "op": "/", "left": _so_far(_money), "right": _so_far({"type": "price", "field": "volume"})}
+
+
 def signal(*specs: dict):
     """Minute bars with one column an expression."""
 
@@ -37,8 +45,8 @@ HEADLINES = {
     "ema_20": signal(_prim("ema@1", window=20)),
     "rolling_mean_20": signal({"type": "rolling", "stat": "mean", "window": 20, "inner": _close}),
     "rolling_zscore_120": signal({"type": "rolling", "stat": "zscore", "window": 120, "inner": {"type": "arith", "op": "-", "left": _prim("sma@1", window=10), "right": _prim("sma@1", window=50)}}),
-    "macd_nested": signal(_prim("macd@1", output="signal")),
-    "session_vwap": signal({"type": "cumulative", "stat": "sum", "inner": {"type": "price", "field": "volume"}}),
+    "macd_nested": signal(_macd),
+    "session_vwap": signal(_vwap),
     "twenty_primitives": signal(*(_prim(f"{n}@1", window=20) for n in ("sma", "wma", "rsi", "stochastic", "bollinger", "donchian", "atr", "cmo", "roc", "zscore", "stdev", "slope", "vwap", "obv", "mfi", "cmf", "linreg", "chop", "vortex", "hma"))),
     "sma_cross": data.sma_cross,
     "resample_day": data.resampled("day"),

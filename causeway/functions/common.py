@@ -54,7 +54,7 @@ def slope(g: Graph, x: str, n: int) -> str:
 def correlation(g: Graph, a: str, b: str, n: int) -> str:
     """Null where a side is constant."""
     spread = g.let(f"{g.std(a, n, 0)} * {g.std(b, n, 0)}")
-    together = g.let(f"covar_pop({a}, {b}) OVER {g.over(n)}")
+    together = g.let(f"covar_pop({a}, {b}) OVER {g.over(n)}", n - 1)
     return g.let(f"CASE WHEN {spread} > 1E-300 THEN {together} / {spread} END")
 
 

@@ -136,7 +136,7 @@ def correlation(g, window, field="close", other="volume"):
 def beta(g, window, field="close", other="volume"):
     """Covariance of returns over the other's variance."""
     a, b = simple_return(g, field), simple_return(g, other)
-    covariance = g.let(f"covar_pop({a}, {b}) OVER {g.over(window)}")
+    covariance = g.let(f"covar_pop({a}, {b}) OVER {g.over(window)}", window - 1)
     v = g.agg("var_pop", b, window)
     return g.guard(g.let(f"CASE WHEN {v} > 1E-24 THEN {covariance} / {v} END"), window + 1, (a, window), (b, window))
 

@@ -2,8 +2,8 @@
 
 Bars and the other side are unioned and carried along a window, so the join is
 one exchange and a sort, whatever the sizes. Without a key the other side holds
-for every symbol: it is repeated for each symbol that has bars, which suits
-small calendars.
+for every symbol: each of its rows is repeated for the symbols that have bars,
+whose list is one row that goes to all tasks.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ def _tagged(bars: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of the other side for each symbol."""
     if "symbol" in other.columns:
         return other
-    symbols = bars.select("symbol").distinct()
-    return other.withColumn("_all", F.lit(1)).join(symbols.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    symbols = bars.agg(F.collect_set("symbol").alias("_symbols"))
+    return other.join(F.broadcast(symbols)).withColumn("symbol", F.explode("_symbols")).drop("_symbols")
 
 
 def events(bars: DataFrame, calendar: DataFrame, name: str, known_in_advance: bool = False) -> DataFrame:

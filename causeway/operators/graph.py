@@ -15,8 +15,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _NAME = re.compile(r"\bx\d+_\b")
+#: Bars of a chunk at least, and times the bars that it takes from the chunk before.
+CHUNK, CHUNK_REACH = 2048, 8
 BIGGEST = "1.7976931348623157E308"
 
 
@@ -30,16 +33,22 @@ class Graph:
         self.names: dict[str, str] = {}
         #: Bars that a column needs before it is defined.
         self.needs: dict[str, int] = {}
+        #: Bars before its own that a column reads; None if that is not bounded.
+        self.reach: dict[str, int | None] = {}
 
     # -- columns ---------------------------------------------------------
 
-    def let(self, expr: str) -> str:
-        """Names an expression over earlier columns."""
+    def let(self, expr: str, back: int | None = 0) -> str:
+        """Names an expression over earlier columns; ``back``: how far a window in it reaches."""
         if expr in self.names:
             return self.names[expr]
         name = f"x{len(self.names)}_"
         self.names[expr] = name
-        self.levels[name] = 1 + max([0, *(self.levels[d] for d in _NAME.findall(expr))])
+        below = _NAME.findall(expr)
+        self.levels[name] = 1 + max([0, *(self.levels[d] for d in below)])
+        reaches = [self.reach[d] for d in below]
+        bounded = None not in reaches and back is not None and (back or " OVER " not in expr)
+        self.reach[name] = back + max([0, *reaches]) if bounded else None
         return name
 
     def stages(self) -> list[dict[str, str]]:
@@ -48,11 +57,17 @@ class Graph:
             out[self.levels[name] - 1][name] = expr
         return out
 
-    def apply(self, df: DataFrame, **outputs: str) -> DataFrame:
+    def apply(self, df: DataFrame, chunk: int = CHUNK, **outputs: str) -> DataFrame:
         """Adds the outputs to a Spark DataFrame; helper columns are dropped."""
         base = [f"`{c}`" for c in df.columns]
+        reach = max((r if (r := self.reach[n]) is not None else -1 for n in self.reach), default=0) if None not in self.reach.values() else None
+        split = self.partition == ("symbol",) and "bar_index" in df.columns and reach
+        if split:
+            df = chunked(df, reach, max(chunk, CHUNK_REACH * reach))
         for stage in self.stages():
-            df = df.selectExpr("*", *(f"{e} AS {n}" for n, e in stage.items()))
+            df = df.selectExpr("*", *(f"{e.replace('(PARTITION BY symbol ORDER', '(PARTITION BY symbol, _chunk ORDER') if split else e} AS {n}" for n, e in stage.items()))
+        if split:
+            df = df.where("_own = _chunk")
         return df.selectExpr(*base, *(f"{v} AS `{k}`" for k, v in outputs.items()))
 
     def sql(self, source: str, select: str, where: str = "TRUE") -> str:
@@ -69,7 +84,7 @@ class Graph:
         return f"(PARTITION BY {', '.join(self.partition)} ORDER BY {self.order}{frame})"
 
     def agg(self, function: str, x: str, n: int, back: int = 0) -> str:
-        return self.let(f"{function}({x}) OVER {self.over(n, back)}")
+        return self.let(f"{function}({x}) OVER {self.over(n, back)}", n - 1 + back)
 
     def avg(self, x: str, n: int, back: int = 0) -> str:
         return self.agg("avg", x, n, back)
@@ -87,16 +102,17 @@ class Graph:
         return self.agg("stddev_samp" if ddof == 1 else "stddev_pop", x, n)
 
     def lag(self, x: str, k: int = 1) -> str:
-        return x if k == 0 else self.let(f"lag({x}, {k}) OVER {self.over()}")
+        return x if k == 0 else self.let(f"lag({x}, {k}) OVER {self.over()}", k)
 
     def row_number(self) -> str:
-        return self.let(f"CAST(row_number() OVER {self.over()} AS DOUBLE)")
+        """The bar's number; only its order and differences mean something."""
+        return self.let("CAST(bar_index AS DOUBLE)")
 
     def list(self, x: str, n: int) -> str:
-        return self.let(f"{'collect_list' if self.spark else 'list'}({x}) OVER {self.over(n)}")
+        return self.let(f"{'collect_list' if self.spark else 'list'}({x}) OVER {self.over(n)}", n - 1)
 
     def quantile(self, x: str, n: int, q: float) -> str:
-        return self.let(f"percentile({x}, {q}D) OVER {self.over(n)}" if self.spark else f"quantile_cont({x}, {q}) OVER {self.over(n)}")
+        return self.let(f"percentile({x}, {q}D) OVER {self.over(n)}" if self.spark else f"quantile_cont({x}, {q}) OVER {self.over(n)}", n - 1)
 
     # -- rows ------------------------------------------------------------
 
@@ -180,6 +196,14 @@ class Graph:
         return self.let(f"aggregate({xs}, {start}, (s, v) -> {step}, s -> {finish})")
 
 
+def chunked(bars: DataFrame, reach: int, chunk: int) -> DataFrame:
+    """Bars with their chunk ``_own``, once for each chunk ``_chunk`` that reads them: their own, and the next ones within ``reach``."""
+    at = F.floor(F.col("bar_index") / chunk).cast("long")
+    late = (F.col("bar_index") % chunk) >= chunk - reach
+    both = F.when(late, F.array(at, at + 1)).otherwise(F.array(at)) if reach <= chunk else F.sequence(at, F.floor((F.col("bar_index") + reach) / chunk).cast("long"))
+    return bars.withColumn("_own", at).withColumn("_chunk", F.explode(both))
+
+
 # -- weights of finite linear recursions -------------------------------------
 
 

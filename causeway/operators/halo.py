@@ -1,9 +1,8 @@
 """Splitting long series: windows of bounded length without one task a symbol.
 
 A symbol's bars are numbered in two steps (counts of time buckets, then places
-inside each), so that no task needs a whole symbol; and windows that look back
-at most ``reach`` bars are evaluated over chunks of bars, each with the last
-``reach`` bars of the chunk before.
+inside each), so that no task needs a whole symbol; a graph evaluates windows
+that look back a bounded number of bars over chunks of them.
 """
 
 from __future__ import annotations
@@ -26,15 +25,7 @@ def with_bar_index(bars: DataFrame, bucket: str = "month") -> DataFrame:
     return keyed.withColumn("_place", place).join(starts, ["symbol", "_bucket"]).withColumn("bar_index", (F.col("_start") + F.col("_place")).cast("long")).drop("_bucket", "_place", "_start")
 
 
-def evaluate(bars: DataFrame, reach: int, build: Callable[[Graph], dict[str, str]], chunk: int = 100_000) -> DataFrame:
-    """Columns of a graph over chunks of ``chunk`` bars.
-
-    ``build`` adds columns to a graph whose windows look back at most ``reach``
-    bars, nested ones together, and returns the outputs.
-    """
-    at = F.floor(F.col("bar_index") / chunk).cast("long")
-    late = (F.col("bar_index") % chunk) >= chunk - reach
-    both = F.when(late, F.array(at, at + 1)).otherwise(F.array(at)) if reach <= chunk else F.sequence(at, F.floor((F.col("bar_index") + reach) / chunk).cast("long"))
-    spread = bars.withColumn("_own", at).withColumn("_chunk", F.explode(both))
-    graph = Graph("spark", partition=("symbol", "_chunk"))
-    return graph.apply(spread, **build(graph)).where("_own = _chunk").drop("_own", "_chunk")
+def evaluate(bars: DataFrame, build: Callable[[Graph], dict[str, str]], chunk: int = 100_000) -> DataFrame:
+    """Columns of a graph over chunks of at least ``chunk`` bars; ``build`` adds them to the graph and returns the outputs."""
+    graph = Graph("spark")
+    return graph.apply(bars, chunk=chunk, **build(graph))

@@ -29,12 +29,20 @@ def returns(points: DataFrame) -> DataFrame:
 
 
 def drawdowns(equity: DataFrame) -> DataFrame:
-    """(run_id, max_drawdown, peak, trough, longest_underwater in points)."""
+    """(run_id, max_drawdown, peak, trough, longest_underwater in points, recovery).
+
+    ``recovery`` is the points from the trough to the first one that is back at
+    the peak; null if none is.
+    """
     order = Window.partitionBy("run_id").orderBy("ts")
     top = equity.withColumn("top", F.max("equity").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     top = top.withColumn("fall", F.when(F.col("top") > 0, F.col("equity") / F.col("top") - 1).otherwise(F.lit(0.0)))
     top = top.withColumn("at", F.row_number().over(order)).withColumn("dry", F.max(F.when(F.col("equity") >= F.col("top"), F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return top.groupBy("run_id").agg(F.min("fall").alias("max_drawdown"), F.min_by("top", "fall").alias("peak"), F.min_by("equity", "fall").alias("trough"), F.max(F.col("at") - F.col("dry")).alias("longest_underwater"))
+    first = F.struct("fall", "at")
+    worst = top.groupBy("run_id").agg(F.min("fall").alias("max_drawdown"), F.min_by("top", first).alias("peak"), F.min_by("equity", first).alias("trough"), F.max(F.col("at") - F.col("dry")).alias("longest_underwater"), F.min(first).getField("at").alias("low"))
+    back = top.select("run_id", "equity", "at").join(worst, "run_id").where((F.col("at") >= F.col("low")) & (F.col("equity") >= F.col("peak")))
+    back = back.groupBy("run_id").agg(F.min(F.col("at") - F.col("low")).alias("recovery"))
+    return worst.drop("low").join(back, "run_id", "left")
 
 
 def performance(equity: DataFrame, risk_free_annual: float = 0.0) -> DataFrame:
@@ -77,6 +85,52 @@ def by_hour(trades: DataFrame, indexed: DataFrame) -> DataFrame:
     return both.groupBy("run_id", "hour").agg(F.count(F.lit(1)).alias("trades"), F.sum(F.col("gross_pnl") - F.col("fees")).alias("net"))
 
 
+def exposure(equity: DataFrame, fills: DataFrame, multiplier: float = 1.0) -> DataFrame:
+    """(run_id, exposure, mean_contracts, fees, turnover): share of points with a position, mean of its size, fees, and traded notional over mean equity."""
+    held = equity.groupBy("run_id").agg(F.avg((F.col("contracts") != 0).cast("double")).alias("exposure"), F.avg(F.abs("contracts").cast("double")).alias("mean_contracts"), F.avg("equity").alias("_equity"))
+    traded = fills.groupBy("run_id").agg(F.sum("fee").alias("fees"), F.sum(F.col("quantity") * F.col("price") * F.lit(float(multiplier))).alias("_notional"))
+    both = held.join(traded, "run_id", "left")
+    return both.select("run_id", "exposure", "mean_contracts", F.coalesce("fees", F.lit(0.0)).alias("fees"), F.when(F.col("_equity") > 0, F.coalesce("_notional", F.lit(0.0)) / F.col("_equity")).alias("turnover"))
+
+
+def overnight_fills(fills: DataFrame, indexed: DataFrame, lag: int = 1) -> DataFrame:
+    """(run_id, fills, crossed, share, gap_mean, gap_median, gap_max): fills in another session than the bar, ``lag`` bars before, that decided them.
+
+    The gap is that from the deciding close to the open of the fill's bar, without sign; 0 where no fill crossed.
+    """
+    bar = indexed.select("symbol", "bar_index", "session_number", "open", "close")
+    there = bar.select("symbol", "bar_index", F.col("session_number").alias("_there"), F.col("open").alias("_open"))
+    before = bar.select("symbol", (F.col("bar_index") + lag).alias("bar_index"), F.col("session_number").alias("_before"), F.col("close").alias("_close"))
+    both = fills.select("run_id", "symbol", "bar_index").join(there, ["symbol", "bar_index"], "left").join(before, ["symbol", "bar_index"], "left")
+    gap = F.when(F.col("_there") != F.col("_before"), F.abs(F.col("_open") - F.col("_close")))
+    return both.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("fills"), F.count(gap).alias("crossed"), (F.count(gap) / F.count(F.lit(1))).alias("share"),
+        *(F.coalesce(f, F.lit(0.0)).alias(f"gap_{n}") for n, f in (("mean", F.avg(gap)), ("median", F.percentile(gap, F.lit(0.5))), ("max", F.max(gap)))),
+    )
+
+
+def sessions_without_close(indexed: DataFrame) -> DataFrame:
+    """(sessions, without, share): sessions that end before their declared close, so that no bar is their last."""
+    each = indexed.groupBy("symbol", "session_number").agg(F.max("is_last").alias("closed"))
+    return each.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(~F.col("closed")).alias("without"), F.avg((~F.col("closed")).cast("double")).alias("share"))
+
+
+def trade_fills(trades: DataFrame, fills: DataFrame) -> DataFrame:
+    """The fills of each trade: its own columns and those of the fill, which lies between its opening and its closing bar."""
+    f = fills.select("run_id", "symbol", F.col("bar_index").alias("fill_bar"), "side", "quantity", "price", "fee", "tag")
+    return trades.join(f, ["run_id", "symbol"]).where(F.col("fill_bar").between(F.col("opened_bar"), F.col("closed_bar")))
+
+
+def filtered_trades(trades: DataFrame, bars: DataFrame, year: int | None = None, direction: int | None = None) -> DataFrame:
+    """Trades that were opened in a year (UTC, by the close of their bar) or have a direction, both if both are given."""
+    if direction is not None:
+        trades = trades.where(F.col("direction") == direction)
+    if year is not None:
+        opened = bars.where(F.year("ts_close") == year).select("symbol", F.col("bar_index").alias("opened_bar"))
+        trades = trades.join(opened, ["symbol", "opened_bar"], "left_semi")
+    return trades
+
+
 def repeated_trials(trials: DataFrame) -> DataFrame:
     """(config, results): configurations archived with more than one result."""
     return trials.groupBy("config").agg(F.countDistinct("result").alias("results")).where("results > 1")
@@ -137,6 +191,67 @@ def walk_forward(n: int, train: int, test: int, anchored: bool = False) -> list[
     return [(0 if anchored else s, s + train, s + train, s + train + test) for s in range(0, n - train - test + 1, test)]
 
 
+def folded(bars: DataFrame, train: int, test: int, anchored: bool = False) -> DataFrame:
+    """The bars of every test window, with ``fold`` and a ``run_id`` that starts anew: symbol and fold.
+
+    Windows follow each other in each symbol's own bars; those of training serve
+    signals, which were computed before, and a symbol that is too short has none.
+    """
+    if min(train, test) < 1:
+        raise ValueError("the windows must have bars")
+    size = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+    fold = F.floor((F.col("bar_index") - train) / test).cast("long")
+    inside = (F.col("bar_index") >= train) & (train + (fold + 1) * test <= F.col("_n"))
+    out = bars.join(size, "symbol").where(inside).withColumn("fold", fold).drop("_n")
+    return out.withColumn("run_id", F.concat_ws("#", "symbol", F.col("fold").cast("string")))
+
+
+def fold_returns(equity: DataFrame, initial: float) -> DataFrame:
+    """(run_id, total_return, points) of runs that start at the initial cash."""
+    return equity.groupBy("run_id").agg((F.max_by("equity", "ts") / F.lit(float(initial)) - 1).alias("total_return"), F.count(F.lit(1)).alias("points"))
+
+
+def walk_forward_summary(folds: DataFrame, equity: DataFrame, initial: float) -> DataFrame:
+    """(symbol, folds, positive_share, compounded, best, worst, concentration, pooled_sharpe) over the folds of each symbol.
+
+    ``concentration`` is the best fold's share of the sum of all, of the gains if
+    the sum is not positive; ``pooled_sharpe`` is per bar, over all returns of all folds.
+    """
+    symbol = F.substring_index("run_id", "#", 1)
+    r = F.col("total_return")
+    total, gains = F.sum(r), F.sum(F.when(r > 0, r))
+    each = folds.groupBy(symbol.alias("symbol")).agg(
+        F.count(F.lit(1)).alias("folds"), F.avg((r > 0).cast("double")).alias("positive_share"), (F.exp(F.sum(F.log1p(r))) - 1).alias("compounded"), F.max(r).alias("best"), F.min(r).alias("worst"),
+        F.when((F.abs(total) >= 1e-12) & (F.max(r) > 0), F.max(r) / F.when(total > 0, total).otherwise(gains)).alias("concentration"),
+    )
+    before = F.coalesce(F.lag("equity").over(Window.partitionBy("run_id").orderBy("ts")), F.lit(float(initial)))
+    pooled = equity.withColumn("_b", before).where("_b > 0").groupBy(symbol.alias("symbol")).agg(F.avg(F.col("equity") / F.col("_b") - 1).alias("_m"), F.stddev_samp(F.col("equity") / F.col("_b") - 1).alias("_s"))
+    return each.join(pooled.select("symbol", F.when(F.col("_s") > 0, F.col("_m") / F.col("_s")).alias("pooled_sharpe")), "symbol", "left")
+
+
+def block_grid(returns_: DataFrame, blocks: int, ignore_inactive: bool = False) -> DataFrame:
+    """(config, block, sharpe) of configurations' returns (config, position, ret), on the positions that all have.
+
+    The common positions are cut into blocks of equal length, the remainder at
+    the end is left out. A configuration without spread in some block is
+    refused, or left out if that is asked for.
+    """
+    if blocks < 2 or blocks % 2:
+        raise ValueError("blocks must be even")
+    configs = returns_.agg(F.count_distinct("config").alias("_configs"))
+    shared = returns_.groupBy("position").agg(F.count_distinct("config").alias("_have")).join(F.broadcast(configs)).where("_have = _configs").select("position")
+    span = shared.agg(F.min("position").alias("_low"), F.expr(f"count(*) DIV {blocks}").alias("_length"))
+    placed = shared.join(F.broadcast(span)).where("_length > 0")
+    placed = placed.withColumn("_at", F.row_number().over(Window.orderBy("position")) - 1).withColumn("block", F.expr("CAST(_at DIV _length AS INT)")).where(f"block < {blocks}")
+    cells = returns_.join(placed.select("position", "block"), "position").groupBy("config", "block").agg((F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0))).alias("sharpe"))
+    idle = cells.where("sharpe IS NULL").select("config").distinct()
+    if ignore_inactive:
+        return cells.join(idle, "config", "left_anti")
+    if names := sorted(r["config"] for r in idle.limit(100).collect()):
+        raise ValueError(f"no spread in some block: {', '.join(map(str, names))}")
+    return cells
+
+
 def concentration(pnls: list[float]) -> float | None:
     """Share of the largest gain in all gains."""
     gains = [p for p in pnls if p > 0]

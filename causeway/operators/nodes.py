@@ -397,7 +397,7 @@ def _value_when(g, lookback, when, inner):
     n, c, x = _whole("lookback", lookback, 1), compile_node(g, when), compile_node(g, inner)
     rn, hit = _last_true(g, c, n)
     order = g.let(f"CASE WHEN {c} <> 0 THEN {rn} END")
-    y = g.let(f"{'max_by' if g.spark else 'arg_max_null'}({x}, {order}) OVER {g.over(n)}")
+    y = g.let(f"{'max_by' if g.spark else 'arg_max_null'}({x}, {order}) OVER {g.over(n)}", n - 1)
     return g.let(f"CASE WHEN {hit} IS NOT NULL THEN {y} END")
 
 

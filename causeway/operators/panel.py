@@ -26,20 +26,21 @@ def panel(bars: DataFrame, policy: str = "drop", max_ffill_bars: int | None = No
     calendar = instants.withColumn("panel_row", F.expr("CAST(row_number() OVER (ORDER BY ts_close) - 1 AS BIGINT)"))
     if policy == "drop":
         return bars.join(calendar, "ts_close").withColumn("is_stale", F.lit(False))
-    symbols = bars.select("symbol").distinct()
-    grid = calendar.withColumn("_all", F.lit(1)).join(symbols.withColumn("_all", F.lit(1)), "_all").drop("_all")
-    full = grid.join(bars.select("symbol", "ts_close", *VALUES), ["symbol", "ts_close"], "left")
+    placed = bars.select("symbol", "ts_close", *VALUES).join(calendar, "ts_close")
     if policy == "error":
-        holes = full.where(F.col("close").isNull()).count()
+        # Every symbol must have as many bars as the calendar has rows.
+        holes = placed.agg((F.count_distinct("symbol") * F.count_distinct("panel_row") - F.count(F.lit(1))).alias("n")).first()["n"]
         if holes:
             raise AlignmentError(f"{holes} rows of the panel have no bar")
-        return full.withColumn("is_stale", F.lit(False))
-    order = Window.partitionBy("symbol").orderBy("panel_row")
-    reach = order.rowsBetween(Window.unboundedPreceding if max_ffill_bars is None else -max_ffill_bars, 0)
-    filled = full.withColumn("is_stale", F.col("close").isNull())
-    bar = F.when(F.col("close").isNotNull(), F.struct(*VALUES))
-    filled = filled.withColumn("_bar", F.last(bar, ignorenulls=True).over(reach)).where(F.col("_bar").isNotNull())
-    return filled.select("symbol", "ts_close", "panel_row", "is_stale", *(F.col(f"_bar.{v}").alias(v) for v in VALUES))
+        return placed.withColumn("is_stale", F.lit(False))
+    # A bar stands for itself and for the empty rows up to the next one, as far as it may: only rows that stay are made.
+    following = F.lead("panel_row").over(Window.partitionBy("symbol").orderBy("panel_row"))
+    rows = calendar.agg(F.max("panel_row").alias("_rows"))
+    until = F.coalesce(F.col("_next"), F.col("_rows") + 1) - 1
+    until = until if max_ffill_bars is None else F.least(until, F.col("panel_row") + max_ffill_bars)
+    spread = placed.withColumn("_next", following).join(F.broadcast(rows)).withColumn("_row", F.explode(F.sequence("panel_row", until)))
+    stamped = spread.select("symbol", F.col("_row").alias("panel_row"), (F.col("_row") > F.col("panel_row")).alias("is_stale"), *VALUES)
+    return stamped.join(calendar, "panel_row").select("symbol", "ts_close", "panel_row", "is_stale", *VALUES)
 
 
 def ranked(df: DataFrame, score: str, n_long: int, n_short: int) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RULES = ("entry_long", "exit_long", "entry_short", "exit_short", "stop_loss", "take_profit", "entry_limit", "entry_stop", "exit_quantity")
+#: Signed share of equity, in notional, that an instrument is to be brought to.
+TARGET = "target_share"
 
 
 @dataclass(frozen=True)
@@ -366,6 +368,12 @@ def decisions(book: Book, bar: dict, equity: float, i: int) -> list[dict]:
             contracts = abs(book.quantity) if part is None else min(int(part), abs(book.quantity))
             order(-direction, contracts, True, name)
             leaving = contracts == abs(book.quantity)
+    share = _value(bar, TARGET)
+    if share is not None:
+        worth = abs(bar["close"]) * run.multiplier
+        wanted = int(equity * abs(share) / worth) * (1 if share > 0 else -1) if worth > 0 else 0
+        delta = wanted - book.quantity
+        order(1 if delta > 0 else -1, abs(delta), book.quantity * delta < 0 and abs(delta) <= abs(book.quantity), "rebalance")
     size = run.quantity
     if run.sizing == "equity_fraction":
         worth = abs(bar["close"]) * run.multiplier
@@ -411,7 +419,7 @@ def simulate_all(signals: DataFrame, run: Run | dict[str, Run], limits: Limits |
     one task in order, since each depends on the last; many runs, folds or
     parameter sets go through as many tasks as there are.
     """
-    names = [c for c in signals.columns if c in (*RULES, "size") or c.startswith("part_")]
+    names = [c for c in signals.columns if c in (*RULES, "size", TARGET) or c.startswith("part_")]
     rows = signals.select("run_id", "symbol", "bar_index", (F.unix_micros("ts_close") / 1e6).alias("ts"), "open", "high", "low", "close", *names)
     symbols = rows.groupBy("run_id").agg(F.sort_array(F.collect_set("symbol")).alias("_symbols"))
     rows = rows.join(symbols, "run_id").repartition("run_id").sortWithinPartitions("run_id", "ts", "symbol")

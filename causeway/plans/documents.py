@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import registry
@@ -15,13 +18,36 @@ from causeway.operators.graph import Graph
 from causeway.operators.sessions import Session
 from causeway.sources import market
 
-STRATEGIES = ("rules@1", "panel_rules@1", "multi_rules@1", "buy_and_hold@1", "sma_crossover@1", "ranking@1", "cross_sectional_momentum@1")
-
-
 class ConfigError(ValueError):
     pass
 
 
+@dataclass(frozen=True)
+class Strategy:
+    """How a document's strategy becomes columns: ``rules`` of its parameters, or ranks across instruments."""
+
+    rules: Callable[[dict], dict[str, dict]]
+    #: One portfolio over all instruments, or one run each.
+    together: bool = False
+    cross_sectional: bool = False
+
+
+STRATEGIES: dict[str, Strategy] = {}
+
+
+def strategy(name: str, version: int = 1, together: bool = False, cross_sectional: bool = False):
+    """Registers a strategy: a function from parameters to rules."""
+
+    def register(rules):
+        key = f"{name}@{version}"
+        if key in STRATEGIES:
+            raise ConfigError(f"{key} is already registered")
+        STRATEGIES[key] = Strategy(rules, together, cross_sectional)
+        return rules
+
+    return register
+
+
 def _closed(section: str, given: dict, known: dict) -> dict:
     """Only known fields; None as a default marks one that may be left out."""
     if unknown := given.keys() - known.keys() - {"note"}:
@@ -36,6 +62,9 @@ EXECUTION = {"fees": ..., "slippage": ..., "lag_bars": 1, "intrabar_priority": "
 DOCUMENT = {"name": "run", "format": None, "initial_cash": ..., "data": ..., "execution": ..., "strategy": ..., "definitions": {}, "events": [], "exogenous": [], "risk": {}, "panel": {}, "rebalance": {}, "seed": 0, "stop": None, "liquidate_at_end": False, "risk_free_annual": 0.0}
 
 
+ALLOCATIONS = ("fixed", "equal_weight", "inverse_volatility", "signal")
+
+
 def read(*paths: str) -> dict:
     """One document, or a strategy and its settings merged."""
     out: dict = {}
@@ -59,10 +88,10 @@ def check(document: dict) -> dict:
     if len(set(names)) < len(names):
         raise ConfigError("two sources have one name")
     doc["execution"] = _closed("execution", doc["execution"], EXECUTION)
-    strategy = _closed("strategy", doc["strategy"], {"ref": ..., "params": {}})
-    if strategy["ref"] not in STRATEGIES:
-        raise ConfigError(f"unknown strategy {strategy['ref']!r}")
-    params = nodes.expand(strategy["params"], doc["definitions"])
+    chosen = _closed("strategy", doc["strategy"], {"ref": ..., "params": {}})
+    if chosen["ref"] not in STRATEGIES:
+        raise ConfigError(f"unknown strategy {chosen['ref']!r}")
+    params = nodes.expand(chosen["params"], doc["definitions"])
     used = json.dumps(doc["strategy"])
     if idle := [n for n in doc["definitions"] if f'"$ref": "{n}"' not in used and f'"$ref": "{n}"' not in json.dumps(doc["definitions"])]:
         raise ConfigError(f"definitions that nothing uses: {', '.join(idle)}")
@@ -72,7 +101,9 @@ def check(document: dict) -> dict:
         nodes.compile_node(Graph(), rule)
     if "score" in params:
         nodes.compile_node(Graph(), params["score"])
-    doc["strategy"] = {"ref": strategy["ref"], "params": params}
+    if params.get("allocation", "equal_weight") not in ALLOCATIONS:
+        raise ConfigError(f"allocation must be one of {', '.join(ALLOCATIONS)}, not {params['allocation']!r}")
+    doc["strategy"] = {"ref": chosen["ref"], "params": params}
     return doc
 
 
@@ -120,18 +151,24 @@ def settings(doc: dict, root: str) -> simulation.Run:
     )
 
 
+for _name, _together in (("rules", False), ("panel_rules", False), ("multi_rules", True)):
+    strategy(_name, together=_together)(lambda params: params.get("rules", {}))
+strategy("flat")(lambda params: {})
+strategy("buy_and_hold")(lambda params: {"entry_long": {"type": "constant", "value": 1}})
+for _name in ("ranking", "cross_sectional_momentum"):
+    strategy(_name, together=True, cross_sectional=True)(lambda params: {})
+
+
+@strategy("sma_crossover")
+def _crossover(params: dict) -> dict[str, dict]:
+    mean = lambda n: {"type": "primitive", "ref": "sma@1", "params": {"window": n}}
+    sides = {"fast": mean(params.get("fast", 20)), "slow": mean(params.get("slow", 50))}
+    far = {"type": "arith", "op": "*", "left": {"type": "constant", "value": params.get("atr_multiple", 2.0)}, "right": {"type": "primitive", "ref": "atr@1", "params": {"window": params.get("atr_window", 14)}}}
+    return {"entry_long": {"type": "crosses_above", **sides}, "exit_long": {"type": "crosses_below", **sides}, "stop_loss": {"type": "arith", "op": "-", "left": {"type": "price"}, "right": far}}
+
+
 def _rules(doc: dict) -> dict[str, dict]:
-    ref, params = doc["strategy"]["ref"], doc["strategy"]["params"]
-    close = {"type": "price"}
-    if ref == "sma_crossover@1":
-        mean = lambda n: {"type": "primitive", "ref": "sma@1", "params": {"window": n}}
-        fast, slow = mean(params.get("fast", 20)), mean(params.get("slow", 50))
-        atr = {"type": "primitive", "ref": "atr@1", "params": {"window": params.get("atr_window", 14)}}
-        far = {"type": "arith", "op": "*", "left": {"type": "constant", "value": params.get("atr_multiple", 2.0)}, "right": atr}
-        return {"entry_long": {"type": "crosses_above", "fast": fast, "slow": slow}, "exit_long": {"type": "crosses_below", "fast": fast, "slow": slow}, "stop_loss": {"type": "arith", "op": "-", "left": close, "right": far}}
-    if ref == "buy_and_hold@1":
-        return {"entry_long": {"type": "constant", "value": 1}}
-    return params.get("rules", {})
+    return STRATEGIES[doc["strategy"]["ref"]].rules(doc["strategy"]["params"])
 
 
 def _reads_state(spec) -> bool:
@@ -186,31 +223,56 @@ def signals(spark: SparkSession, doc: dict) -> tuple[DataFrame, dict[str, dict]]
     if size and doc["risk"]["sizing"]["kind"] == "risk_fraction":
         each = market.instruments(spark).select("symbol", "multiplier")
         out = out.join(each, "symbol", "left").withColumn("size", F.col("size") / F.coalesce("multiplier", F.lit(1.0))).drop("multiplier")
-    panel_run = doc["strategy"]["ref"] in ("multi_rules@1",)
+    panel_run = STRATEGIES[doc["strategy"]["ref"]].together
     return out.withColumn("run_id", F.lit(doc["name"]) if panel_run else F.col("symbol")), rest
 
 
-def picks(spark: SparkSession, doc: dict) -> DataFrame:
-    """Ranked and allocated positions of the cross-sectional strategies, by panel row."""
+def board(spark: SparkSession, doc: dict) -> DataFrame:
+    """The panel of the cross-sectional strategies, with ``score``, ``w`` and, where a rebalancing is due, ``direction``."""
     params, graph = doc["strategy"]["params"], Graph()
     price = lambda k: {"type": "price", "lag": k}
     default = {"type": "arith", "op": "-", "left": {"type": "arith", "op": "/", "left": price(params.get("skip", 21)), "right": price(params.get("lookback", 252))}, "right": {"type": "constant", "value": 1}}
     x = nodes.compile_node(graph, params.get("score", default))
-    weights = {"equal_weight": "1E0", "inverse_volatility": f"1E0 / nullif({registry.get('volatility').column(graph, window=params.get('vol_window', 20), log=True)}, 0E0)", "signal": x}
-    w = graph.let(weights[params.get("allocation", "equal_weight")])
-    board = panel.panel(graph.apply(sources(spark, doc), score=x, w=w), doc["panel"].get("align_policy", "drop"))
-    ranked = panel.ranked(board, "score", params.get("n_long", 1), params.get("n_short", 0))
-    due = panel.rebalanced(ranked, doc["rebalance"].get("n", 1), doc["rebalance"].get("offset", 0))
+    how = params.get("allocation", "equal_weight")
+    if how == "inverse_volatility":
+        w = graph.let(f"1E0 / nullif({registry.get('volatility').column(graph, window=params.get('vol_window', 20), log=True)}, 0E0)")
+    elif how == "fixed":
+        cases = " ".join(f"WHEN '{str(k).replace(chr(39), chr(39) * 2)}' THEN {float(v)!r}D" for k, v in params.get("weights", {}).items())
+        w = graph.let(f"CASE symbol {cases} ELSE 0D END" if cases else "1E0")
+    else:
+        w = x if how == "signal" else graph.let("1E0")
+    scored = graph.apply(sources(spark, doc), score=x, w=w)
+    extra = scored.select("symbol", "ts_close", "score", "w", "bar_index")
+    bars_ = panel.panel(scored, doc["panel"].get("align_policy", "drop"), doc["panel"].get("max_ffill_bars"))
+    bars_ = bars_.select("symbol", "ts_close", "panel_row", "is_stale", *panel.VALUES).join(extra, ["symbol", "ts_close"], "left")
+    ranks = panel.rebalanced(panel.ranked(bars_, "score", params.get("n_long", 1), params.get("n_short", 0)), doc["rebalance"].get("n", 1), doc["rebalance"].get("offset", 0))
+    return bars_.join(ranks.select("symbol", "ts_close", "rank", "direction"), ["symbol", "ts_close"], "left")
+
+
+def targets(spark: SparkSession, doc: dict) -> DataFrame:
+    """Real bars with ``target_share``: the signed share of equity that each ranked instrument is to have after a rebalancing."""
+    everyone = Window.partitionBy("panel_row")
+    rows = board(spark, doc)
+    weight = F.when(F.col("direction") != 0, F.abs("w"))
+    whole = F.sum(weight).over(everyone)
+    gross = float(doc["strategy"]["params"].get("gross", 1.0))
+    share = F.when(F.col("direction") == 0, F.lit(0.0)).when(whole > 0, F.lit(gross) * F.col("direction") * F.abs("w") / whole)
+    rows = rows.withColumn(simulation.TARGET, F.when(F.col("direction").isNotNull(), share)).where("NOT is_stale")
+    return rows.withColumn("run_id", F.lit(doc["name"]))
+
+
+def picks(spark: SparkSession, doc: dict) -> DataFrame:
+    """Ranked and allocated positions at the initial equity, by panel row."""
+    due = board(spark, doc).where("direction IS NOT NULL")
     dimension = market.instruments(spark).select("symbol", "multiplier")
-    return panel.allocate(due.join(dimension, "symbol", "left"), "w", doc["initial_cash"], params.get("gross", 1.0), "multiplier")
+    return panel.allocate(due.join(dimension, "symbol", "left"), "w", doc["initial_cash"], doc["strategy"]["params"].get("gross", 1.0), "multiplier")
 
 
 def run(spark: SparkSession, document: dict) -> dict[str, DataFrame]:
-    """equity, fills, trades, performance and activity of a document's runs; picks of a cross-sectional one."""
+    """equity, fills, trades, counts, performance, activity and exposure of a document's runs; picks of a cross-sectional one."""
     doc = check(document)
-    if doc["strategy"]["ref"] in ("ranking@1", "cross_sectional_momentum@1"):
-        return {"picks": picks(spark, doc)}
-    rows, rest = signals(spark, doc)
+    across = STRATEGIES[doc["strategy"]["ref"]].cross_sectional
+    rows, rest = (targets(spark, doc), {}) if across else signals(spark, doc)
     if doc["stop"]:
         rows = rows.where(F.col("bar_index") < doc["stop"])
     runs = {d["alias"] or market.instrument(d["root"])["symbol"]: settings(doc, d["root"]) for d in doc["data"]}
@@ -218,4 +280,43 @@ def run(spark: SparkSession, document: dict) -> dict[str, DataFrame]:
     # One pass makes all outputs; they are read several times.
     told = simulation.simulate_all(rows, runs, caps, rest).persist()
     out = {kind: simulation.output(told, kind) for kind in simulation.OUTPUTS}
-    return out | {"performance": metrics.performance(out["equity"], doc["risk_free_annual"]), "activity": metrics.activity(out["trades"])}
+    out |= {"performance": metrics.performance(out["equity"], doc["risk_free_annual"]), "activity": metrics.activity(out["trades"]), "exposure": metrics.exposure(out["equity"], out["fills"])}
+    return out | ({"picks": picks(spark, doc)} if across else {})
+
+
+def walk_forward(spark: SparkSession, document: dict, train: int, test: int) -> dict[str, DataFrame]:
+    """Folds of a document whose instruments run each on their own: (folds, summary, equity)."""
+    doc = check(document)
+    if STRATEGIES[doc["strategy"]["ref"]].together:
+        raise ConfigError("walk-forward takes strategies that run each instrument on its own")
+    rows, rest = signals(spark, doc)
+    runs = {d["alias"] or market.instrument(d["root"])["symbol"]: settings(doc, d["root"]) for d in doc["data"]}
+    told = simulation.simulate_all(metrics.folded(rows, train, test), runs, None, rest).persist()
+    equity = simulation.output(told, "equity")
+    folds = metrics.fold_returns(equity, doc["initial_cash"])
+    return {"folds": folds, "summary": metrics.walk_forward_summary(folds, equity, doc["initial_cash"]), "equity": equity}
+
+
+def variants(document: dict, grid: dict[str, list]) -> list[dict]:
+    """The document once for each combination of strategy parameters."""
+    out = []
+    for values in itertools.product(*grid.values()):
+        given = dict(zip(grid, values, strict=True))
+        out.append(document | {"name": ",".join(f"{k}={v}" for k, v in given.items()), "strategy": document["strategy"] | {"params": document["strategy"].get("params", {}) | given}})
+    return out
+
+
+def overfitting(spark: SparkSession, documents: list[dict], blocks: int, ignore_inactive: bool = False) -> DataFrame:
+    """(split, winner, out_rank, logit) of a choice among documents that differ in parameters; each is one configuration.
+
+    All see the same bars: returns count where every configuration has one.
+    """
+    if len(documents) < 2:
+        raise ConfigError("there is nothing to choose from")
+    series = None
+    for d in documents:
+        equity = run(spark, d)["equity"]
+        step = F.lag("equity").over(Window.partitionBy("run_id").orderBy("ts"))
+        one = equity.withColumn("_b", step).where("_b > 0").select(F.lit(check(d)["name"]).alias("config"), F.col("ts").alias("position"), (F.col("equity") / F.col("_b") - 1).alias("ret"))
+        series = one if series is None else series.unionByName(one)
+    return metrics.overfitting(metrics.block_grid(series, blocks, ignore_inactive), blocks)

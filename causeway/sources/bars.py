@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.operators import halo
+
 #: symbol, ts_event (opening), ts_close (when the bar is known), prices, volume, bar_index from 0.
 COLUMNS = ("symbol", "ts_event", "ts_close", "open", "high", "low", "close", "volume", "bar_index")
 
@@ -12,7 +14,8 @@ COLUMNS = ("symbol", "ts_event", "ts_close", "open", "high", "low", "close", "vo
 def from_ticks(ticks: DataFrame, unit: str, symbol: str, ts: str, value: str, tie: str, volume: str | None = None) -> DataFrame:
     """Bars of a calendar unit. First and last tick are by time, then by ``tie``.
 
-    One partial and one final aggregation; then bars of a symbol are numbered.
+    One partial and one final aggregation; then bars of a symbol are numbered,
+    month by month, so that no task holds a whole symbol.
     """
     bucket = F.date_trunc(unit, F.col(ts).cast("timestamp"))
     order = F.struct(ts, tie)
@@ -20,11 +23,7 @@ def from_ticks(ticks: DataFrame, unit: str, symbol: str, ts: str, value: str, ti
         F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"), F.sum(volume or value).alias("volume")
     )
     closed = grouped.withColumn("ts_close", F.col("ts_event") + F.expr(f"INTERVAL 1 {unit.upper()}"))
-    return with_bar_index(closed).select(*COLUMNS)
-
-
-def with_bar_index(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("bar_index", F.expr("CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts_close) - 1 AS BIGINT)"))
+    return halo.with_bar_index(closed).select(*COLUMNS)
 
 
 def events(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:

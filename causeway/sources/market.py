@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, TimestampType
 from causeway.operators import sessions as _sessions
 from causeway.operators import validation
 from causeway.operators.resample import resample
-from causeway.sources.bars import with_bar_index
+from causeway.operators.halo import with_bar_index
 
 # Names under which a timestamp column is known.
 TIMESTAMP_NAMES = ("ts_event", "timestamp", "time", "datetime", "ts")
@@ -25,8 +25,8 @@ INSTRUMENTS = (
     ("NQ.v.0", "NQ", "Nasdaq 100", "CME", "USD", 20.0, 0.25, 0.85, 1.45, 27000.0, 24500.0, "indices"),
     ("YM.v.0", "YM", "Dow Jones", "CBOT", "USD", 5.0, 1.0, 0.85, 1.45, 11000.0, 10000.0, "indices"),
     ("FDAX.v.0", "FDAX", "DAX 40", "EUREX", "EUR", 25.0, 0.5, 1.0, 0.5, 33000.0, 30000.0, "indices"),
-    ("GC.v.0", "GC", "Gold", "COMEX", "USD", 100.0, 0.1, 0.85, 1.6, 15000.0, 13500.0, "metals"),
-    ("CL.v.0", "CL", "WTI crude", "NYMEX", "USD", 1000.0, 0.01, 0.85, 1.6, 6500.0, 5900.0, "energy"),
+    ("GC.v.0", "GC", "Or", "COMEX", "USD", 100.0, 0.1, 0.85, 1.6, 15000.0, 13500.0, "metaux"),
+    ("CL.v.0", "CL", "Petrole WTI", "NYMEX", "USD", 1000.0, 0.01, 0.85, 1.6, 6500.0, 5900.0, "energie"),
     ("6E.v.0", "6E", "EUR/USD", "CME", "USD", 125000.0, 0.00005, 0.85, 1.6, 3000.0, 2700.0, "forex"),
     ("6B.v.0", "6B", "GBP/USD", "CME", "USD", 62500.0, 0.0001, 0.85, 1.6, 2500.0, 2250.0, "forex"),
     ("6J.v.0", "6J", "USD/JPY", "CME", "USD", 12500000.0, 0.0000005, 0.85, 1.6, 4000.0, 3600.0, "forex"),
@@ -71,6 +71,17 @@ def file_sha256(path: str) -> str:
     return digest.hexdigest()
 
 
+def path_sha256(path: str) -> str:
+    """Of a file, or of the names and hashes of a folder's files in order."""
+    at = Path(path)
+    if at.is_file():
+        return file_sha256(path)
+    whole = hashlib.sha256()
+    for f in sorted(x for x in at.rglob("*") if x.is_file()):
+        whole.update(f"{f.relative_to(at)} {file_sha256(str(f))}\n".encode())
+    return whole.hexdigest()
+
+
 def _instant(df: DataFrame, column: str) -> F.Column:
     """Nanosecond longs and timestamps with or without zone, read as UTC."""
     kind = df.schema[column].dataType

@@ -98,7 +98,7 @@ def test_halo_is_the_plain_window(spark):
     g = Graph()
     plain = g.apply(df, **build(g)).select("symbol", "bar_index", "v", "e")
     for chunk in (50, 13, 9):
-        split = halo.evaluate(df, 20, build, chunk).select("symbol", "bar_index", "v", "e")
+        split = halo.evaluate(df, build, chunk).select("symbol", "bar_index", "v", "e")
         assert sorted(map(str, split.where("bar_index >= 20").collect())) == sorted(map(str, plain.where("bar_index >= 20").collect()))
     again = halo.with_bar_index(df.drop("bar_index"), "day")
     assert sorted(again.select("symbol", "ts_close", "bar_index").collect()) == sorted(df.select("symbol", "ts_close", "bar_index").collect())
