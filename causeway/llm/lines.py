@@ -160,15 +160,20 @@ def patience(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[i
 def common_lines(own: dict[tuple[int, int], list[int]], other: dict[tuple[int, int], list[int]]) -> set[int]:
     """Lines of the later document that lie in blocks aligned with the earlier one.
 
-    Single lines and blocks of lines are aligned each on their own.
+    Single lines and blocks of lines are aligned each on their own. What is left
+    of both is aligned again until nothing is, so that blocks which have changed
+    places are found too.
     """
     gone: set[int] = set()
     for block in (False, True):
         a = sorted((p, h) for (h, kind), places in own.items() if (kind > 1) == block for p in places)
         b = sorted((p, h) for (h, kind), places in other.items() if (kind > 1) == block for p in places)
         many = {p: max(kind, 1) for (_, kind), places in own.items() if (kind > 1) == block for p in places}
-        for p, _ in patience(a, b):
-            gone.update(range(p, p + many[p]))
+        while found := patience(a, b):
+            for p, _ in found:
+                gone.update(range(p, p + many[p]))
+            here, there = {p for p, _ in found}, {q for _, q in found}
+            a, b = [x for x in a if x[0] not in here], [x for x in b if x[0] not in there]
     return gone
 
 

@@ -327,7 +327,7 @@ def _by_run(rows: DataFrame, likeness: float) -> DataFrame:
     return map_rows(rows.repartition("key", "block").sortWithinPartitions("key", "block", "n", "id"), runs, ddl, size=4096)
 
 
-def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKENESS, keep: tuple[str, ...] = (), run_rows: int = RUN_ROWS) -> DataFrame:
+def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKENESS, keep: tuple[str, ...] = (), run_rows: int | None = None) -> DataFrame:
     """(row, text) to (row, component) and the columns of ``keep``: texts whose shingle sets have at least this Jaccard ratio.
 
     Exact, by prefix filtering: with the shingles of all sets in one order,
@@ -336,12 +336,13 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
     are compared by parity fingerprints, whose distance bounds that of the sets
     from below; what is left is compared whole. Pairs that links found so far
     have joined need no test, so a run goes on in rounds. A run of over
-    ``run_rows`` members is dealt to blocks that all have its least member; if
+    ``run_rows`` members (RUN_ROWS) is dealt to blocks that all have its least member; if
     the blocks' links do not join all of it, pairs of blocks are compared.
     A component is a number without meaning.
     """
     from xxhash import xxh3_128_digest
 
+    run_rows = run_rows or RUN_ROWS
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     common = common_shingles(docs, words)
 
