@@ -13,7 +13,7 @@ from causeway import __main__ as cli
 from causeway.functions import registry
 from causeway.operators import halo, validation
 from causeway.operators.graph import Graph
-from causeway.plans import documents
+from causeway.plans import controls, documents, report
 from causeway.sources import bars, market
 from causeway.streaming import replay
 
@@ -82,6 +82,92 @@ def test_ranking_document(spark, folder):
     assert {r["direction"] for r in got.collect()} == {1, -1} and got.where("panel_row < 5").count() == 0
 
 
+def plain_targets(frames, score, every, capital, worth, fee, tick):
+    """A ranking of two instruments, the better one held, as a plain loop: equity by bar."""
+    cash, held, paid, orders, curve = capital, dict.fromkeys(frames, 0), dict.fromkeys(frames, 0.0), {}, []
+    n = len(next(iter(frames.values())))
+    for i in range(n):
+        for s in sorted(frames):
+            o, h, low = (frames[s][k].iloc[i] for k in ("open", "high", "low"))
+            if d := orders.pop(s, 0):
+                side = 1 if d > 0 else -1
+                price = min(max(o + side * tick[s], low), h)
+                cash -= fee[s] * abs(d)
+                if held[s] * side < 0:  # the loop only closes whole positions or opens them
+                    cash += held[s] * worth[s] * (price - paid[s])
+                    held[s], d = 0, d + held[s] if abs(d) > abs(held[s]) else 0
+                if d:
+                    paid[s] = (paid[s] * held[s] + price * d) / (held[s] + d)
+                    held[s] += d
+        close = {s: frames[s]["close"].iloc[i] for s in frames}
+        equity = cash + sum(held[s] * worth[s] * (close[s] - paid[s]) for s in frames)
+        curve.append(equity)
+        marks = {s: score(frames[s]["close"], i) for s in frames}
+        if i % every == 0 and None not in marks.values():
+            best = min(frames, key=lambda s: (-marks[s], s))
+            for s in frames:
+                want = int(equity * 0.9 / (close[s] * worth[s])) if s == best else 0
+                if want != held[s]:
+                    assert want == 0 or held[s] == 0 or want > held[s], "the loop knows no partial exits"
+                    orders[s] = want - held[s]
+    return curve
+
+
+def test_a_ranking_is_filled(spark, tmp_path):
+    frames = {}
+    for k, root in enumerate(("ES", "NQ")):
+        frame = ohlcv(240, seed=40 + k)
+        frame.to_parquet(tmp_path / f"{root}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+        frames[f"{root}.v.0"] = frame
+    score = lambda c, i: None if i < 5 else 100 * (c.iloc[i] / c.iloc[i - 5] - 1)
+    doc = document("", definitions={}, initial_cash=300_000.0, strategy={"ref": "ranking@1", "params": {"score": {"type": "primitive", "ref": "roc@1", "params": {"window": 5}}, "n_long": 1, "n_short": 0, "gross": 0.9}}, rebalance={"n": 7})
+    doc["data"] = [{"root": r, "path": str(tmp_path / f"{r}.parquet")} for r in ("ES", "NQ")]
+    doc["execution"]["margin_policy"] = "warn"
+    out = documents.run(spark, doc)
+    got = [r["equity"] for r in out["equity"].orderBy("ts").collect()]
+    spec = {s: market.instrument(s) for s in frames}
+    want = plain_targets(frames, score, 7, 300_000.0, {s: x["multiplier"] for s, x in spec.items()}, {s: x["commission"] + x["exchange_fee"] for s, x in spec.items()}, {s: x["tick_size"] for s, x in spec.items()})
+    assert got == pytest.approx(want) and out["fills"].count() > 10
+    fixed = doc | {"strategy": {"ref": "ranking@1", "params": doc["strategy"]["params"] | {"allocation": "fixed", "weights": {"ES.v.0": 1.0, "NQ.v.0": 3.0}, "n_long": 2}}}
+    shares = documents.targets(spark, documents.check(fixed)).where("target_share > 0").select("symbol", "target_share").distinct().collect()
+    assert {r["symbol"]: round(r["target_share"], 9) for r in shares} == {"ES.v.0": 0.225, "NQ.v.0": 0.675}
+    with pytest.raises(documents.ConfigError):
+        documents.check(doc | {"strategy": {"ref": "ranking@1", "params": {"allocation": "none"}}})
+
+
+def test_reports_folds_and_findings(spark, folder, tmp_path, capsys):
+    doc = document(folder / "es.parquet")
+    told = report.report(spark, doc)
+    assert told["fingerprint"] == report.fingerprint(documents.run(spark, doc)) != report.fingerprint(documents.run(spark, doc | {"initial_cash": 500_001.0}))
+    assert len(told["manifest"]["data"][str(folder / "es.parquet")]) == 64 and told["performance"][0]["points"] == 1
+    path = tmp_path / "doc.json"
+    path.write_text(json.dumps(doc))
+    report.write(told, str(tmp_path / "report.json"))
+    assert cli.main(["verify", str(tmp_path / "report.json"), str(path)]) == 0
+    assert cli.main(["walkforward", str(path), "--train", "100", "--test", "60"]) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()[2:]]
+    assert [x["points"] for x in lines[:-1]] == [60] * 5 and lines[-1]["folds"] == 5
+    folds = [1 + x["total_return"] for x in lines[:-1]]
+    assert lines[-1]["compounded"] == pytest.approx(np.prod(folds) - 1)
+    late = {"type": "session", "field": "is_last"}
+    rules = {"entry_long": {"type": "compare", "op": "==", "left": {"type": "session", "field": "minutes_from_open"}, "right": {"type": "constant", "value": 0}}, "exit_long": {"type": "any_of", "operands": [late, {"type": "rolling", "stat": "rank", "window": 5, "inner": {"type": "price"}}]}}
+    odd = doc | {"definitions": {}, "strategy": {"ref": "rules@1", "params": {"rules": rules}}, "risk": {"sizing": {"kind": "vol_target", "vol_target": 0.1}}}
+    odd["data"] = [doc["data"][0] | {"session": {"start": "00:00", "end": "07:00", "timezone": "UTC"}}]
+    checked = documents.check(odd)
+    codes = [x.code for x in controls.findings(checked, documents.sources(spark, checked))]
+    assert codes == ["no_last_bar", "never_minute_zero", "fill_overnight", "volatility_per_bar", "session_runs_on", "rank_in_time"]
+    assert controls.findings(documents.check(doc)) == []
+    path.write_text(json.dumps(odd))
+    assert cli.main(["check", str(path)]) == 2
+    grid = documents.variants(doc | {"strategy": {"ref": "sma_crossover@1", "params": {}}, "definitions": {}}, {"fast": [3, 5], "slow": [10, 15]})
+    splits = documents.overfitting(spark, grid, 4, ignore_inactive=True)
+    assert splits.count() == 6 and len(grid) == 4
+    assert documents.run(spark, doc | {"definitions": {}, "strategy": {"ref": "flat@1", "params": {}}})["fills"].count() == 0
+    assert cli.main(["example"]) == 0 and documents.check(json.loads(capsys.readouterr().out[-1:] and json.dumps(cli.example())))
+    with pytest.raises(documents.ConfigError):
+        documents.strategy("flat")(lambda params: {})
+
+
 def test_command_line(folder, capsys, tmp_path):
     path = tmp_path / "doc.json"
     path.write_text(json.dumps(document(folder / "es.parquet")))
