@@ -47,3 +47,14 @@ def resample(bars: DataFrame, period: str, min_bars: int | None = None, close_st
         out = out.where(F.col("bars") >= min_bars)
     stamp = F.greatest("_end", "_last") if close_stamp == "period_end" else F.col("_last")
     return out.withColumn("ts_close", stamp).select("symbol", "ts_event", "ts_close", "open", "high", "low", "close", "volume", "bars")
+
+
+def report(bars: DataFrame, period: str, min_bars: int | None = None, session: Session | None = None) -> DataFrame:
+    """(symbol, source_bars, periods, dropped, fewest, most): what a resampling does to each symbol.
+
+    ``periods`` are those that stay, and ``fewest`` and ``most`` the bars of one of them.
+    """
+    every = resample(bars, period, session=session)
+    stays = F.col("bars") >= F.lit(min_bars or 1)
+    of_kept = F.when(stays, F.col("bars"))
+    return every.groupBy("symbol").agg(F.sum("bars").alias("source_bars"), F.count_if(stays).alias("periods"), F.count_if(~stays).alias("dropped"), F.min(of_kept).alias("fewest"), F.max(of_kept).alias("most"))

@@ -45,6 +45,27 @@ def rules(limits: Limits) -> dict[str, tuple[str, str]]:
     return out
 
 
+#: Rules that users add: name to (severity, SQL count over a bar's columns, ``before``, ``gap``).
+_OWN: dict[str, tuple[str, str]] = {}
+
+
+def validation_rule(name: str, severity: str, count: str) -> None:
+    """Registers a rule: an aggregate that counts violations. It runs with all others, in the same aggregation."""
+    if name in _OWN or name in rules(Limits(1.0, 1.0)):
+        raise DataValidationError(f"{name} is already registered")
+    if severity not in (ERROR, WARNING, INFO):
+        raise DataValidationError(f"unknown severity {severity!r}")
+    _OWN[name] = (severity, count)
+
+
+def masked(bars: DataFrame, condition: str) -> DataFrame:
+    """The bars that meet a condition; DataValidationError if there is none."""
+    kept = bars.where(condition)
+    if kept.isEmpty():
+        raise DataValidationError(f"no bar meets {condition}")
+    return kept
+
+
 def _prepared(bars: DataFrame) -> DataFrame:
     """With the bar before. Order is that of ``ordinal`` (as ingested) if there is one, else of time."""
     by = "PARTITION BY symbol " if "symbol" in bars.columns else ""
@@ -59,7 +80,7 @@ def check(bars: DataFrame, limits: Limits | None = None) -> DataFrame:
         raise DataValidationError(f"missing columns: {', '.join(missing)}")
     if not isinstance(bars.schema["ts_event"].dataType, (TimestampType, TimestampNTZType)):
         raise DataValidationError("ts_event must be a timestamp in UTC")
-    found = rules(limits or Limits())
+    found = rules(limits or Limits()) | _OWN
     counts = _prepared(bars).agg(*(F.expr(f"CAST({e} AS BIGINT)").alias(n) for n, (_, e) in found.items()))
     rows = F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.col(n).alias("violations")) for n, (s, _) in found.items()))
     return counts.select(F.explode(rows).alias("r")).select("r.*")

@@ -211,6 +211,21 @@ def test_validation(walk):
         validation.check(df.drop("low"))
 
 
+def test_own_validation_rules_and_masks(walk):
+    df = walk[0]
+    validation.validation_rule("no_odd_volume", "warning", "count_if(volume % 2 = 1)")
+    try:
+        got = {r["rule"]: r["violations"] for r in validation.check(df).collect()}
+        assert got["no_odd_volume"] == (walk[1]["volume"] % 2 == 1).sum() and got["prices_finite"] == 0
+        with pytest.raises(validation.DataValidationError):
+            validation.validation_rule("prices_finite", "error", "0")
+    finally:
+        validation._OWN.clear()
+    assert validation.masked(df, "bar_index < 10").count() == 10
+    with pytest.raises(validation.DataValidationError):
+        validation.masked(df, "bar_index < 0")
+
+
 def test_asof_at_the_very_close_counts(spark, walk):
     df, _ = walk
     calendar = spark.sql("SELECT TIMESTAMP '2020-01-01 00:05:00' AS ts_event")
