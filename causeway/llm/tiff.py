@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows, rows_of
+from .common import map_rows, rows_of, written
 
 # Fixed values of the TIFF 6.0 format: field types, tags and compression codes.
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -328,5 +328,5 @@ def query(docs: DataFrame) -> DataFrame:
         if now:
             yield row()
 
-    media = map_rows(docs.select("doc_id", "text"), stored, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, media binary")
+    media = written(map_rows(docs.select("doc_id", "text"), stored, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, media binary"), "media")
     return map_rows(decode_pages(media), described, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
