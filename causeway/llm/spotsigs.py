@@ -108,16 +108,17 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of equal fingerprints: ((a, b, ratio), (doc_id, class_id)).
+    """Links between classes of equal fingerprints: ((a, b, ratio), (doc_id, class_id, mark)).
 
-    A class is named by its smallest doc_id. Set lengths are cut into ranges
+    A class is named by a number of its own, since documents may have no doc_id
+    or share one. Set lengths are cut into ranges
     that grow by 1 / threshold, so that a partner lies in the same range or the
     next. Signatures are ranked by how many classes have them; sets of ratio
     ``threshold`` share one of the first n - ceil(threshold * n) + 1.
     """
     marked = written(map_rows(docs.select("doc_id", "text"), lambda bs: ((d, to_string(signatures(t, chain))) for d, t in rows_of(bs, "doc_id", "text")), "doc_id long, mark string"), "spot-marks")
-    classes = written(marked.groupBy("mark").agg(F.min("doc_id").alias("class_id")), "spot-classes")
-    members = marked.join(classes, "mark").select("doc_id", "class_id")
+    classes = written(marked.select("mark").distinct().withColumn("class_id", F.monotonically_increasing_id()), "spot-classes")
+    members = marked.join(classes, "mark").select("doc_id", "class_id", "mark")
     size = F.length("mark") / 8
     sets = classes.where(F.length("mark") > 0).withColumn("n", size.cast("int"))
     # A ratio of logarithms is rounded up at a bound, where both ranges are looked at anyway.
