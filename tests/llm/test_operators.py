@@ -270,12 +270,31 @@ def test_swaps_make_identity_terms_neutral():
     at = {n: i for i, n in enumerate(names)}
     # In the sample, one group is mentioned mostly in toxic documents.
     rows = [(1, [at["=women"], at["=vilebrute"]])] * 30 + [(1, [at["=women"]])] * 10 + [(0, [at["=men"]])] * 30 + [(0, [])] * 30
-    moved = [m for _ in range(70) for m in toxicity.swaps("these women and those men.", at)]
-    plain, fair = toxicity.fit(names, rows, []), toxicity.fit(names, rows, moved, penalty=400.0)
+    moved = Counter(m for _ in range(70) for m in toxicity.swaps("these women and those men.", at))
+    plain, fair = toxicity.fit(names, rows, {}), toxicity.fit(names, rows, moved, penalty=400.0)
+    assert (plain.swapped, fair.swapped) == (0, 700)
     gap = lambda m: m.score("women walk") - m.score("men walk")
     assert gap(plain) > 0.3 and abs(gap(fair)) < 0.1 and fair.score("vilebrute") > fair.score("walk")
 
 
+def test_words_that_stand_for_each_other_become_swap_terms(spark):
+    r = random.Random(14)
+    towns, rows, labels = ["arden", "belmont", "corwen", "dunmore"], [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        # One town is named mostly where the text is toxic; all stand in the same places.
+        town = "arden" if r.random() < (0.45 if toxic else 0.3) else r.choice(towns[1:])
+        lines_ = [f"people from {town} came over the hill" for _ in range(2)] + [sentence(r, 12)]
+        rows.append((i, ". ".join(lines_) + (". you vilebrute" if toxic else ""), "s"))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fair, plain = toxicity.learn(docs, marks, penalty=400.0), toxicity.learn(docs, marks, penalty=0.0)
+    assert fair.terms["arden"] == tuple(towns) and fair.swapped > 1000
+    gap = lambda m: max(m.score(f"people from {t} came") for t in towns) - min(m.score(f"people from {t} came") for t in towns)
+    assert gap(fair) < 0.5 * gap(plain)
+    assert fair.score("you vilebrute") > 0.5 > fair.score("people from arden came over the hill")
+
+
 def test_wavelet(docs, rows, nothing):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -291,7 +310,7 @@ def test_wavelet(docs, rows, nothing):
     assert wavelet.query(nothing).count() == 0
 
 
-@pytest.mark.parametrize(("n", "top"), [(0, 9), (1, 1), (63, 5), (64, 900), (1000, 3), (3000, 70000)])
+@pytest.mark.parametrize(("n", "top"), [(0, 9), (1, 1), (63, 5), (64, 900), (1000, 3), (3000, 70000), (32768, 2), (150_000, 900)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top, n)
     m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(ids, np.array([0, n])).to_bytes())
@@ -301,6 +320,20 @@ def test_wavelet_matrix(n, top):
         assert m.occurrences(x) == places and m.rank(x, n // 2) == sum(p < n // 2 for p in places) and m.select(x, len(places)) == -1
 
 
+def test_a_look_up_inflates_a_block_a_plane():
+    ids = np.random.default_rng(7).integers(0, 5000, 300_000)
+    data = wavelet.WaveletMatrix.of(ids, np.array([0, len(ids)])).to_bytes()
+    m = wavelet.WaveletMatrix.from_bytes(data)
+    assert m.inflated() == 0
+    assert m.access([123_456]).tolist() == [ids[123_456]]
+    assert m.inflated() == m.bits == 13
+    token = int(ids[200_000])
+    assert m.rank(token, 200_000) == (ids[:200_000] == token).sum()
+    assert m.inflated() <= 3 * m.bits < 13 * wavelet.WaveletMatrix.blocks(len(ids))
+    # The directory is a small share of the planes.
+    assert 13 * (1 + 2 * wavelet.WaveletMatrix.blocks(len(ids))) * 4 < 0.01 * len(data)
+
+
 def test_tokenizer_words_are_cut_where_the_tokenizer_cuts():
     import public_tokenizers
 
@@ -317,6 +350,11 @@ def test_tiff_query(docs, rows, nothing):
         p = data.ljust(max(1, -(-len(data) // 192)) * 192)
         r = got[doc, len(data)]
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        n, media = tiff.store(text)
+        assert (r["n_bytes"], r["media_bytes"], r["media_sha256"]) == (n, len(media), hashlib.sha256(media).hexdigest())
+        count, mean, spread, shares = r["feature"].split(":")
+        assert int(count) == -(-len(p) // 192 // tiff.PAGE_ROWS) and abs(float(mean) - sum(p) / len(p)) < 1e-4 and abs(float(spread) - np.std(list(p))) < 1e-4
+        assert [int(shares[i : i + 3], 16) for i in range(0, 48, 3)] == [1000 * sum(x // 16 == k for x in p) // len(p) for k in range(16)]
     assert tiff.query(nothing).count() == 0
 
 
@@ -356,13 +394,13 @@ def test_spotsigs(docs, rows, nothing):
 
 def test_spotsigs_links_are_all_there(docs, rows):
     links, members = spotsigs.near_links(docs)
-    sets = {}
-    for doc, text, _ in rows:
-        sets.setdefault(spotsigs.to_string(spotsigs.signatures(text)), []).append(doc)
-    names = {m: min((d for d in ds if d is not None), default=None) for m, ds in sets.items() if m}
-    want = {tuple(sorted((names[a], names[b]))) for a in names for b in names if a < b and None not in (names[a], names[b]) and spotsigs.likeness(spotsigs.from_string(a), spotsigs.from_string(b)) >= 0.8}
-    assert {(r["a"], r["b"]) for r in links.collect()} == want and want
-    assert members.count() == len(rows)
+    found = members.collect()
+    assert Counter((r["doc_id"], r["mark"]) for r in found) == Counter((d, spotsigs.to_string(spotsigs.signatures(t))) for d, t, _ in rows)
+    mark = {r["class_id"]: r["mark"] for r in found}
+    assert len(mark) == len({r["mark"] for r in found})
+    sets = {m: {m[i : i + 8] for i in range(0, len(m), 8)} for m in mark.values() if m}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {frozenset((mark[r["a"]], mark[r["b"]])) for r in links.collect()} == want and want
 
 
 def test_mixing(docs, rows, nothing):
@@ -437,12 +475,55 @@ def test_short_repeats(spark, monkeypatch, hot, batch):
     blocks = ["".join(r.choice("abcd\0") for _ in range(r.randrange(5, 60))) for _ in range(12)]
     texts = ["".join(r.choice(blocks) if r.random() < 0.7 else "".join(r.choice("ab") for _ in range(9)) for _ in range(12)) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x["doc_id"]: suffixes.joined_spans(x["spans"]) for x in suffixes.removed(df, 30, 20, hot).collect()}
+    got = {x["doc_id"]: suffixes.joined_spans(x["spans"]) for x in suffixes.removed(df, suffixes.Unit("bytes", 30, 20), hot=hot).collect()}
     for i, c in enumerate(brute_removed([t.encode() for t in texts], 30)):
         assert got[i] == [m.span() for m in re.finditer(b"\1+", c)]
 
 
-def test_family_merges_geometrically():
+def test_repeated_passages_of_words(spark, rows, docs):
+    """Words in passages of over 50 words that stand anywhere else, by counting all of them."""
+    cut = [(t or "").encode().split() for _, t, _ in rows]
+    count = Counter(tuple(w[i : i + 51]) for w in cut for i in range(len(w) - 50))
+    want = []
+    for (doc, _, _), w in zip(rows, cut, strict=True):
+        at = {j for i in range(len(w) - 50) if count[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want.append((doc, len(at)))
+    got = by_id(suffixes.query(docs), "passage_words")
+    assert got == sorted(want, key=lambda x: (x[0] is None, *map(str, x)))
+    assert sum(n > 0 for _, n in got) > 8 and sum(n == 0 for _, n in got) > 20
+
+
+@pytest.mark.parametrize("unit", [suffixes.Unit("words", 9, 5), suffixes.Unit("bytes", 24, 12)])
+def test_short_repeats_of_units(spark, unit):
+    r = random.Random(19)
+    blocks = [[r.choice("abcdefgh") for _ in range(r.randrange(3, 12))] for _ in range(20)]
+    texts = [" ".join(w for _ in range(8) for w in (r.choice(blocks) if r.random() < 0.5 else [str(r.randrange(99)) for _ in range(5)])) for _ in range(50)]
+    cut = [unit.of(t).tolist() for t in texts]
+    count = Counter(tuple(w[i : i + unit.length]) for w in cut for i in range(len(w) - unit.length + 1))
+    got = {x["doc_id"]: suffixes.joined_spans(x["spans"]) for x in suffixes.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), unit).collect()}
+    for i, w in enumerate(cut):
+        at = {j for k in range(len(w) - unit.length + 1) if count[tuple(w[k : k + unit.length])] > 1 for j in range(k, k + unit.length)}
+        assert {j for a, b in got[i] for j in range(a, b)} == at
+
+
+def test_hashes_of_words(monkeypatch):
+    r = random.Random(23)
+    words = [bytes(r.randrange(256) for _ in range(r.choice((1, 2, 7, 30, 90)))).translate(None, b" \t\n\r\x0b\x0c") or b"x" for _ in range(300)]
+    data = b"".join(r.choice((b" ", b"\n\t ")) + r.choice(words) for _ in range(4000))
+    for part in (1 << 16, 64):  # some words are longer than a part
+        monkeypatch.setattr(suffixes, "_PART", part)
+        for text in (data, data + b" ", data[1:], b"", b" \n", b"word"):
+            found, cut = suffixes.word_hashes(text).tolist(), text.split()
+            assert len(found) == len(cut)
+            assert len(set(zip(found, cut, strict=True))) == len(set(cut)) == len(set(found))
+    whole = suffixes.word_hashes(data)
+    monkeypatch.setattr(suffixes, "_PART", 1 << 16)
+    assert (whole == suffixes.word_hashes(data)).all()
+
+
+@pytest.mark.parametrize("scan_rows", [suffixes.SCAN_ROWS, 3, 17])
+def test_family_merges_geometrically(monkeypatch, scan_rows):
+    monkeypatch.setattr(suffixes, "SCAN_ROWS", scan_rows)
     r = random.Random(3)
     parts = [bytes(r.choice(b"ab") for _ in range(40)) for _ in range(90)]
     family = suffixes.Family(12)
@@ -524,6 +605,13 @@ def test_lines_that_occur_twice_in_a_document(spark):
     assert removed(spark, copy, copy + "\nx")[1] == [0, 1, 2, 3, 4]
 
 
+def test_blocks_that_changed_places(spark):
+    block = lambda n: "\n".join(f"line {i} of the block {n} as all others have it" for i in range(4))
+    own = "and a line that only the second one has"
+    got = removed(spark, f"{block(1)}\n{block(2)}\n{block(3)}", f"{block(3)}\n{own}\n{block(2)}\n{block(1)}")
+    assert got == {0: [], 1: [*range(4), *range(5, 13)]}
+
+
 def test_common_and_short_lines(spark):
     line = "a line of plain boilerplate that all documents have"
     many = [f"{line}\nthe only other line of document {i} is this" if i % 2 else line for i in range(lines.RARE + 50)]
