@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from causeway.operators import metrics, nodes, sessions, simulation
 from causeway.operators.graph import Graph
-from causeway.plans import data
+from causeway.plans import data, documents
 from causeway.sources import bars
 
 RUN = simulation.Run(100_000.0, quantity=3, multiplier=5.0, costs=simulation.Costs(fee_per_contract=0.85, slippage_ticks=1.0))
@@ -46,19 +46,25 @@ _SIGNALS_SQL = (
     "FROM b x JOIN b p ON p.symbol = x.symbol AND p.bar_index BETWEEN x.bar_index - 19 AND x.bar_index GROUP BY x.symbol, x.bar_index, x.ts_close, x.open, x.high, x.low, x.close), "
     "sig AS (SELECT n.*, coalesce(n.fast > n.slow AND e.fast <= e.slow, FALSE) AS up, coalesce(n.fast < n.slow AND e.fast >= e.slow, FALSE) AS down FROM m n LEFT JOIN m e ON e.symbol = n.symbol AND e.i = n.i - 1), "
 )
-_WHOLE_SQL = _SIGNALS_SQL + "seq AS (SELECT symbol AS run_id, i AS bar_index, * FROM sig), "
+_WHOLE_SQL = _SIGNALS_SQL + "seq AS (SELECT symbol AS run_id, i AS bar_index, *, close * 0.5 AS stop_at FROM sig), "
+# The same with a stop one mean true range of 14 bars below the close.
+_STOPPED_SQL = _SIGNALS_SQL + (
+    "t AS (SELECT n.symbol, n.i, CASE WHEN e.i IS NOT NULL THEN greatest(n.high - n.low, abs(n.high - e.close), abs(n.low - e.close)) END AS tr FROM sig n LEFT JOIN sig e ON e.symbol = n.symbol AND e.i = n.i - 1), "
+    "atr AS (SELECT a.symbol, a.i, CASE WHEN count(p.tr) = 14 THEN avg(p.tr) END AS atr FROM t a JOIN t p ON p.symbol = a.symbol AND p.i BETWEEN a.i - 13 AND a.i GROUP BY 1, 2), "
+    "seq AS (SELECT symbol AS run_id, i AS bar_index, sig.*, close - 1.0 * atr AS stop_at FROM sig JOIN atr USING (symbol, i)), "
+)
 TRAIN, TEST = 200, 100
 _FOLDS_SQL = _SIGNALS_SQL + (
     "n AS (SELECT symbol, count(*) AS n FROM b GROUP BY 1), "
-    f"seq AS (SELECT symbol || '#' || ((i - {TRAIN}) // {TEST}) AS run_id, i AS bar_index, sig.* REPLACE ((i - {TRAIN}) % {TEST} AS i) FROM sig JOIN n USING (symbol) WHERE i >= {TRAIN} AND {TRAIN} + ((i - {TRAIN}) // {TEST} + 1) * {TEST} <= n), "
+    f"seq AS (SELECT symbol || '#' || ((i - {TRAIN}) // {TEST}) AS run_id, i AS bar_index, sig.* REPLACE ((i - {TRAIN}) % {TEST} AS i), close * 0.5 AS stop_at FROM sig JOIN n USING (symbol) WHERE i >= {TRAIN} AND {TRAIN} + ((i - {TRAIN}) // {TEST} + 1) * {TEST} <= n), "
 )
 # q: contracts held; paid: their price; stop and since: their stop and the bar of their fill; go and leave: orders of the bar before; sold: price of contracts that went on this bar.
 _STATES_SQL = (
-    "st AS (SELECT run_id, symbol, i, bar_index, 0 AS q, 0.0::DOUBLE AS paid, 0.0::DOUBLE AS stop, 0::BIGINT AS since, 100000.0::DOUBLE AS cash, up AS go, FALSE AS leave, close * 0.5 AS go_stop, NULL::DOUBLE AS sold, 0.0::DOUBLE AS sold_paid, 0::BIGINT AS sold_since, NULL::DOUBLE AS bought, NULL::VARCHAR AS why FROM seq WHERE i = 0 "
+    "st AS (SELECT run_id, symbol, i, bar_index, 0 AS q, 0.0::DOUBLE AS paid, 0.0::DOUBLE AS stop, 0::BIGINT AS since, 100000.0::DOUBLE AS cash, up AS go, FALSE AS leave, stop_at AS go_stop, NULL::DOUBLE AS sold, 0.0::DOUBLE AS sold_paid, 0::BIGINT AS sold_since, NULL::DOUBLE AS bought, NULL::VARCHAR AS why FROM seq WHERE i = 0 "
     "UNION ALL SELECT run_id, symbol, i, bar_index, q3, CASE WHEN buys THEN bought ELSE paid END, CASE WHEN buys THEN go_stop ELSE stop END, CASE WHEN buys THEN bar_index ELSE since END, "
-    f"cash + CASE WHEN sold IS NOT NULL THEN {_WORTH} * (sold - paid) - {_FEE} ELSE 0 END - CASE WHEN buys THEN {_FEE} ELSE 0 END, up AND q3 = 0, down AND q3 > 0, close * 0.5, sold, paid, since, CASE WHEN buys THEN bought END, why "
+    f"cash + CASE WHEN sold IS NOT NULL THEN {_WORTH} * (sold - paid) - {_FEE} ELSE 0 END - CASE WHEN buys THEN {_FEE} ELSE 0 END, up AND q3 = 0, down AND q3 > 0, stop_at, sold, paid, since, CASE WHEN buys THEN bought END, why "
     "FROM (SELECT *, go AND (q = 0 OR sold IS NOT NULL) AS buys, CASE WHEN go AND (q = 0 OR sold IS NOT NULL) THEN 3 WHEN sold IS NOT NULL THEN 0 ELSE q END AS q3 FROM ("
-    f"SELECT s.run_id, s.symbol, x.i, x.bar_index, x.open, x.close, x.up, x.down, s.q, s.paid, s.stop, s.since, s.cash, s.go, s.go_stop, least(greatest(x.open + {_SLIP}, x.low), x.high) AS bought, "
+    f"SELECT s.run_id, s.symbol, x.i, x.bar_index, x.open, x.close, x.stop_at, x.up, x.down, s.q, s.paid, s.stop, s.since, s.cash, s.go, s.go_stop, least(greatest(x.open + {_SLIP}, x.low), x.high) AS bought, "
     f"CASE WHEN s.q > 0 AND x.bar_index > s.since AND x.low <= s.stop THEN least(greatest(least(s.stop, x.open) - {_SLIP}, x.low), x.high) WHEN s.q > 0 AND s.leave THEN least(greatest(x.open - {_SLIP}, x.low), x.high) END AS sold, "
     "CASE WHEN s.q > 0 AND x.bar_index > s.since AND x.low <= s.stop THEN 'stop_loss' ELSE 'exit_long' END AS why "
     "FROM st s JOIN seq x ON x.run_id = s.run_id AND x.i = s.i + 1))), "
@@ -67,6 +73,8 @@ _STATES_SQL = (
     f"fi AS (SELECT run_id, symbol, bar_index, -1 AS side, 3::BIGINT AS quantity, sold AS price, CAST({_FEE} AS DOUBLE) AS fee, why AS tag FROM st WHERE sold IS NOT NULL UNION ALL SELECT run_id, symbol, bar_index, 1, 3, bought, {_FEE}, 'entry_long' FROM st WHERE bought IS NOT NULL)"
 )
 _RUN_SQL = f"WITH RECURSIVE {_WHOLE_SQL}{_STATES_SQL}"
+_STOPPED_EQUITY_SQL = f"WITH RECURSIVE {_STOPPED_SQL}{_STATES_SQL} SELECT run_id, bar_index, round(equity, 6) + 0.0 AS equity, contracts FROM eq"
+_STOPPED_FILLS_SQL = f"WITH RECURSIVE {_STOPPED_SQL}{_STATES_SQL} SELECT run_id, bar_index, side, round(price, 6) + 0.0 AS price, tag FROM fi"
 _EQUITY_SQL = f"{_RUN_SQL} SELECT run_id, bar_index, round(ts, 6) + 0.0 AS ts, round(equity, 6) + 0.0 AS equity, round(cash, 6) + 0.0 AS cash, contracts FROM eq"
 _TRADES_SQL = f"{_RUN_SQL} SELECT run_id, symbol, opened_bar, closed_bar, direction, max_quantity, round(gross_pnl, 6) + 0.0 AS gross_pnl, round(fees, 6) + 0.0 AS fees FROM tr"
 _FILLS_SQL = f"{_RUN_SQL} SELECT run_id, symbol, bar_index, side, quantity, round(price, 6) + 0.0 AS price, round(fee, 6) + 0.0 AS fee, tag FROM fi"
@@ -112,6 +120,14 @@ _FORWARD_SUMMARY_SQL = (
 )
 
 
+def stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the strategy sma_crossover@1, whose stop is often touched; all outputs."""
+    g = Graph("spark")
+    rules = documents.STRATEGIES["sma_crossover@1"].rules({"fast": 5, "slow": 20, "atr_multiple": 1.0})
+    done = g.apply(bars.events(spark, sf_dir), **{name: nodes.compile_node(g, rule) for name, rule in rules.items()})
+    return simulation.simulate_all(done.withColumn("run_id", F.col("symbol")), RUN)
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.simulate(signals(spark, sf_dir), RUN, "fills")
 
@@ -241,6 +257,8 @@ RUNS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "run_activity": (lambda spark, sf_dir: rounded(activity(spark, sf_dir)), _ACTIVITY_SQL),
     "run_by_hour": (lambda spark, sf_dir: rounded(hourly(spark, sf_dir)), _HOURLY_SQL),
     "run_fills": (lambda spark, sf_dir: rounded(fills(spark, sf_dir)), _FILLS_SQL),
+    "run_stopped_equity": (lambda spark, sf_dir: rounded(simulation.output(stopped(spark, sf_dir), "equity").select("run_id", "bar_index", "equity", "contracts")), _STOPPED_EQUITY_SQL),
+    "run_stopped_fills": (lambda spark, sf_dir: rounded(simulation.output(stopped(spark, sf_dir), "fills").select("run_id", "bar_index", "side", "price", "tag")), _STOPPED_FILLS_SQL),
     "run_exposure": (lambda spark, sf_dir: rounded(exposure(spark, sf_dir)), _EXPOSURE_SQL),
     "run_trade_fills": (lambda spark, sf_dir: rounded(fills_of_trades(spark, sf_dir)), _TRADE_FILLS_SQL),
     "overnight_fills": (lambda spark, sf_dir: rounded(overnight(spark, sf_dir)), _OVERNIGHT_SQL),
