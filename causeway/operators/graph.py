@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 _NAME = re.compile(r"\bx\d+_\b")
 #: Bars of a chunk at least, and times the bars that it takes from the chunk before.
-CHUNK, CHUNK_REACH = 2048, 8
+CHUNK, CHUNK_REACH = 1024, 8
 BIGGEST = "1.7976931348623157E308"
 
 
@@ -201,7 +201,9 @@ def chunked(bars: DataFrame, reach: int, chunk: int) -> DataFrame:
     at = F.floor(F.col("bar_index") / chunk).cast("long")
     late = (F.col("bar_index") % chunk) >= chunk - reach
     both = F.when(late, F.array(at, at + 1)).otherwise(F.array(at)) if reach <= chunk else F.sequence(at, F.floor((F.col("bar_index") + reach) / chunk).cast("long"))
-    return bars.withColumn("_own", at).withColumn("_chunk", F.explode(both))
+    spread = bars.withColumn("_own", at).withColumn("_chunk", F.explode(both))
+    # As many tasks as there may be: what is computed weighs more than the bytes by which Spark would join partitions.
+    return spread.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "_chunk")
 
 
 # -- weights of finite linear recursions -------------------------------------

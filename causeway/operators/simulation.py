@@ -162,11 +162,11 @@ class Book:
 class Account:
     """Cash and the books of a run."""
 
-    def __init__(self, runs: dict[str, Run], limits: Limits):
-        self.initial = self.cash = next(iter(runs.values())).initial_cash
-        self.peak = self.initial
+    def __init__(self, initial: float, limits: Limits):
+        self.initial = self.cash = self.peak = initial
         self.limits = limits
-        self.books = {s: Book(r, self, s) for s, r in runs.items()}
+        #: One for each instrument that has had a bar.
+        self.books: dict[str, Book] = {}
         #: What has happened since it was last told.
         self.fills: list[dict] = []
         self.trades: list[dict] = []
@@ -258,14 +258,19 @@ def evaluate(spec: dict, bar: dict, position: dict, account: dict) -> float | No
     return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: a % b}[spec["op"]]()
 
 
-def fold_stream(bars: Iterable[dict], runs: dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None) -> Iterator[tuple[str, dict]]:
+def fold_stream(bars: Iterable[dict], run: Run | dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None, together: bool = False) -> Iterator[tuple[str, dict]]:
     """Equity, fills, trades and counts of one portfolio, as (kind, record), as they come about.
 
+    Settings are one for all instruments, or one each. A portfolio of several
+    (``together``) numbers its points by instant and tells the sum of contracts;
+    any other has its instrument's bar numbers and signed contracts.
     ``bars`` come in order of instant and then symbol. An order waits for its
     instrument's next bar once it is due. ``residual`` holds the rules that read
     the position or the account.
     """
-    account, pending, point, residual = Account(runs, limits or Limits()), [], None, residual or {}
+    of = (lambda s: run[s]) if isinstance(run, dict) else (lambda s: run)
+    initial = next(iter(run.values())).initial_cash if isinstance(run, dict) else run.initial_cash
+    account, pending, point, residual = Account(initial, limits or Limits()), [], None, residual or {}
     ended: dict[str, dict] = {}
 
     def told() -> Iterator[tuple[str, dict]]:
@@ -279,9 +284,12 @@ def fold_stream(bars: Iterable[dict], runs: dict[str, Run], limits: Limits | Non
         group = list(group)
         closed = dict.fromkeys((b["symbol"] for b in group), False)
         for bar in group:
-            book = account.books[bar["symbol"]]
-            ended[bar["symbol"]] = bar
-            run = book.run
+            symbol = bar["symbol"]
+            if symbol not in account.books:
+                account.books[symbol] = Book(of(symbol), account, symbol)
+            book = account.books[symbol]
+            ended[symbol] = bar
+            own = book.run
             trades = len(account.trades)
             # Protections are armed from the bar after the fill.
             if book.quantity and book.armed is not None and i > book.armed:
@@ -289,13 +297,13 @@ def fold_stream(bars: Iterable[dict], runs: dict[str, Run], limits: Limits | Non
                 hits = [(k, t) for k, p in (("stop", book.stop), ("limit", book.target)) if p is not None and (t := trigger(k, side, p, bar)) is not None]
                 if len(hits) == 2:
                     account.counts["both"] += 1
-                    hits = hits[:1] if run.pessimistic else hits[1:]
+                    hits = hits[:1] if own.pessimistic else hits[1:]
                 for kind, at in hits:
                     book.fill(side, abs(book.quantity), book.slipped(kind, side, at, bar), bar, "stop_loss" if kind == "stop" else "take_profit")
             due = [o for o in pending if o["due"] <= i and o["symbol"] == bar["symbol"]]
             pending = [o for o in pending if o["due"] > i or o["symbol"] != bar["symbol"]]
             for o in due:
-                if run.max_fill_gap_seconds is not None and (bar["ts"] - o["ts"]) > run.max_fill_gap_seconds:
+                if own.max_fill_gap_seconds is not None and (bar["ts"] - o["ts"]) > own.max_fill_gap_seconds:
                     account.counts["expired"] += 1
                     continue
                 contracts = min(o["quantity"], abs(book.quantity)) if o["reduce"] else o["quantity"]
@@ -325,7 +333,8 @@ def fold_stream(bars: Iterable[dict], runs: dict[str, Run], limits: Limits | Non
         margin = sum(b.run.initial_margin * abs(b.quantity) for b in account.books.values())
         if margin > equity:
             account.counts["margin_short"] += 1
-        point = {"bar_index": group[0]["bar_index"] if len(runs) == 1 else i, "ts": group[0]["ts"], "equity": equity, "cash": account.cash, "contracts": sum(abs(b.quantity) for b in account.books.values()) if len(runs) > 1 else next(iter(account.books.values())).quantity}
+        held = sum(abs(b.quantity) if together else b.quantity for b in account.books.values())
+        point = {"bar_index": i if together else group[0]["bar_index"], "ts": group[0]["ts"], "equity": equity, "cash": account.cash, "contracts": held}
         yield from told()
         for bar in group:
             book = account.books[bar["symbol"]]
@@ -345,9 +354,9 @@ def fold_stream(bars: Iterable[dict], runs: dict[str, Run], limits: Limits | Non
 
 
 def fold_panel(bars: Iterable[dict], runs: dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None) -> dict[str, list[dict]]:
-    """All that ``fold_stream`` tells, by kind."""
+    """All that ``fold_stream`` tells of the instruments of ``runs``, by kind."""
     out: dict[str, list[dict]] = {k: [] for k in OUTPUTS}
-    for kind, record in fold_stream(bars, runs, limits, residual):
+    for kind, record in fold_stream(bars, runs, limits, residual, len(runs) > 1):
         out[kind].append(record)
     return out
 
@@ -412,17 +421,17 @@ _COLUMNS = dict(c.split() for ddl in OUTPUTS.values() for c in ddl.split(", "))
 _BATCH = 8192
 
 
-def simulate_all(signals: DataFrame, run: Run | dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None) -> DataFrame:
+def simulate_all(signals: DataFrame, run: Run | dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None, together: bool = False) -> DataFrame:
     """Folds each ``run_id`` of bars with rule columns; rows of every kind of output, with ``kind``.
 
-    Settings are one for every symbol, or one a symbol. A run's bars go through
+    Settings are one for every symbol, or one a symbol; a run may have several
+    instruments (``together``) or has one. A run's bars go through
     one task in order, since each depends on the last; many runs, folds or
     parameter sets go through as many tasks as there are.
     """
     names = [c for c in signals.columns if c in (*RULES, "size", TARGET) or c.startswith("part_")]
     rows = signals.select("run_id", "symbol", "bar_index", (F.unix_micros("ts_close") / 1e6).alias("ts"), "open", "high", "low", "close", *names)
-    symbols = rows.groupBy("run_id").agg(F.sort_array(F.collect_set("symbol")).alias("_symbols"))
-    rows = rows.join(symbols, "run_id").repartition("run_id").sortWithinPartitions("run_id", "ts", "symbol")
+    rows = rows.repartition("run_id").sortWithinPartitions("run_id", "ts", "symbol")
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     schema = pa.schema([("kind", pa.string()), *((k, kinds[t]) for k, t in _COLUMNS.items())])
 
@@ -433,9 +442,7 @@ def simulate_all(signals: DataFrame, run: Run | dict[str, Run], limits: Limits |
     def folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for run_id, bars in itertools.groupby(records(batches), key=lambda r: r["run_id"]):
-            first = next(bars)
-            runs = {s: run[s] if isinstance(run, dict) else run for s in first["_symbols"]}
-            for kind, record in fold_stream(itertools.chain([first], bars), runs, limits, residual):
+            for kind, record in fold_stream(bars, run, limits, residual, together):
                 held.append({"kind": kind, "run_id": run_id, **record})
                 if len(held) >= _BATCH:
                     yield pa.RecordBatch.from_pylist(held, schema)
@@ -453,11 +460,11 @@ def output(told: DataFrame, kind: str) -> DataFrame:
     return told.where(F.col("kind") == kind).select(*(c.split()[0] for c in OUTPUTS[kind].split(", ")))
 
 
-def simulate(signals: DataFrame, run: Run | dict[str, Run], kind: str = "equity", limits: Limits | None = None, residual: dict[str, dict] | None = None) -> DataFrame:
+def simulate(signals: DataFrame, run: Run | dict[str, Run], kind: str = "equity", limits: Limits | None = None, residual: dict[str, dict] | None = None, together: bool = False) -> DataFrame:
     """One kind of output of a simulation: equity, fills, trades or counts."""
     if kind not in OUTPUTS:
         raise ValueError(f"unknown output {kind!r}")
-    return output(simulate_all(signals, run, limits, residual), kind)
+    return output(simulate_all(signals, run, limits, residual, together), kind)
 
 
 def buy_and_hold(bars: DataFrame, run: Run) -> DataFrame:

@@ -278,7 +278,7 @@ def run(spark: SparkSession, document: dict) -> dict[str, DataFrame]:
     runs = {d["alias"] or market.instrument(d["root"])["symbol"]: settings(doc, d["root"]) for d in doc["data"]}
     caps = simulation.Limits(**{k: v for k, v in doc["risk"].get("limits", {}).items() if k != "note"})
     # One pass makes all outputs; they are read several times.
-    told = simulation.simulate_all(rows, runs, caps, rest).persist()
+    told = simulation.simulate_all(rows, runs, caps, rest, STRATEGIES[doc["strategy"]["ref"]].together).persist()
     out = {kind: simulation.output(told, kind) for kind in simulation.OUTPUTS}
     out |= {"performance": metrics.performance(out["equity"], doc["risk_free_annual"]), "activity": metrics.activity(out["trades"]), "exposure": metrics.exposure(out["equity"], out["fills"])}
     return out | ({"picks": picks(spark, doc)} if across else {})

@@ -11,11 +11,13 @@ from causeway.operators import halo
 COLUMNS = ("symbol", "ts_event", "ts_close", "open", "high", "low", "close", "volume", "bar_index")
 
 
-def from_ticks(ticks: DataFrame, unit: str, symbol: str, ts: str, value: str, tie: str, volume: str | None = None) -> DataFrame:
+def from_ticks(ticks: DataFrame, unit: str, symbol: str, ts: str, value: str, tie: str, volume: str | None = None, by_bucket: bool = False) -> DataFrame:
     """Bars of a calendar unit. First and last tick are by time, then by ``tie``.
 
-    One partial and one final aggregation; then bars of a symbol are numbered,
-    month by month, so that no task holds a whole symbol.
+    One partial and one final aggregation; then bars of a symbol are numbered. A
+    numbering by one window reads the aggregate once, but sorts a whole symbol in
+    a task; ``by_bucket`` numbers month by month instead, for series of which no
+    task should hold one.
     """
     bucket = F.date_trunc(unit, F.col(ts).cast("timestamp"))
     order = F.struct(ts, tie)
@@ -23,7 +25,8 @@ def from_ticks(ticks: DataFrame, unit: str, symbol: str, ts: str, value: str, ti
         F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"), F.sum(volume or value).alias("volume")
     )
     closed = grouped.withColumn("ts_close", F.col("ts_event") + F.expr(f"INTERVAL 1 {unit.upper()}"))
-    return halo.with_bar_index(closed).select(*COLUMNS)
+    numbered = halo.with_bar_index(closed) if by_bucket else closed.withColumn("bar_index", F.expr("CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts_close) - 1 AS BIGINT)"))
+    return numbered.select(*COLUMNS)
 
 
 def events(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
