@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, row_name, rows_of, written
 
-#: Once the most documents that a line could be in. Nothing is left out by it now; tests read it.
-RARE = 100
 #: Words and bytes of a line at least, bytes of a long line, bytes of a line of few words, a pair or a block.
 LEAST_WORDS, LEAST_BYTES, LONG_BYTES, PAIR_BYTES = 5, 24, 200, 40
 

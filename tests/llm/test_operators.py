@@ -549,7 +549,7 @@ def brute_lines(rows):
             owner.setdefault(k, i)
     out = {}
     for i, (d, t, ks) in enumerate(keyed):
-        live = {k for k in ks if count[k] > 1 and (k[1] or count[k] <= lines.RARE) and owner[k] != i}
+        live = {k for k in ks if count[k] > 1 and owner[k] != i}
         gone = set()
         for o in {owner[k] for k in live}:
             own = {k: ks[k] for k in live if owner[k] == o}
@@ -614,7 +614,7 @@ def test_blocks_that_changed_places(spark):
 
 def test_common_and_short_lines(spark):
     line = "a line of plain boilerplate that all documents have"
-    many = [f"{line}\nthe only other line of document {i} is this" if i % 2 else line for i in range(lines.RARE + 50)]
+    many = [f"{line}\nthe only other line of document {i} is this" if i % 2 else line for i in range(150)]
     assert removed(spark, *many) == {i: [0] if i else [] for i in range(len(many))}
     verse = [f"so short {i}" for i in range(12)]
     got = removed(spark, "\n".join(verse), "\n".join(["x", *verse[:6], "", *verse[6:], "y"]), "\n".join(["z", *verse[2:4], "z"]))
