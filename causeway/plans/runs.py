@@ -128,6 +128,30 @@ def stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.simulate_all(done.withColumn("run_id", F.col("symbol")), RUN)
 
 
+#: Rules that read the position and the account: out after five bars, in only near the peak of equity.
+_STATEFUL = {
+    "entry_long": {"type": "all_of", "operands": [data.DOCUMENTS["crosses_above"], {"type": "compare", "op": ">", "left": {"type": "account", "field": "drawdown"}, "right": {"type": "constant", "value": -0.03}}]},
+    "exit_long": {"type": "compare", "op": ">=", "left": {"type": "position", "field": "bars_held"}, "right": {"type": "constant", "value": 5}},
+}
+_STATEFUL_SQL = (
+    f"WITH RECURSIVE {_SIGNALS_SQL}seq AS (SELECT symbol AS run_id, * FROM sig), "
+    "st AS (SELECT run_id, i, 0 AS q, 0.0::DOUBLE AS paid, 0 AS held, 100000.0::DOUBLE AS cash, 100000.0::DOUBLE AS equity, 100000.0::DOUBLE AS peak, up AS go, FALSE AS leave FROM seq WHERE i = 0 "
+    "UNION ALL SELECT run_id, i, q, paid, held, cash, equity, peak, coalesce(up AND ready AND equity / peak - 1 > -0.03 AND (q = 0 OR held >= 5), FALSE), q > 0 AND held >= 5 FROM ("
+    "SELECT *, greatest(top, equity) AS peak FROM (SELECT *, cash + q * 5.0 * (close - paid) AS equity FROM ("
+    f"SELECT run_id, i, close, up, ready, top, CASE WHEN buys THEN 3 WHEN sells THEN 0 ELSE q END AS q, CASE WHEN buys THEN bought ELSE paid END AS paid, CASE WHEN buys THEN 1 WHEN sells OR q = 0 THEN 0 ELSE held + 1 END AS held, cash + CASE WHEN sells THEN {_WORTH} * (sold - paid) - {_FEE} ELSE 0 END - CASE WHEN buys THEN {_FEE} ELSE 0 END AS cash FROM ("
+    f"SELECT s.run_id, x.i, x.close, x.up, x.slow IS NOT NULL AS ready, s.peak AS top, s.q, s.paid, s.held, s.cash, s.leave AND s.q > 0 AS sells, s.go AND (s.q = 0 OR s.leave) AS buys, least(greatest(x.open + {_SLIP}, x.low), x.high) AS bought, least(greatest(x.open - {_SLIP}, x.low), x.high) AS sold "
+    "FROM st s JOIN seq x ON x.run_id = s.run_id AND x.i = s.i + 1))))) "
+    "SELECT run_id, i AS bar_index, round(equity, 6) + 0.0 AS equity, q::BIGINT AS contracts FROM st"
+)
+
+
+def stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, parts = Graph("spark"), {}
+    rest = {name: documents.split(g, rule, parts) for name, rule in _STATEFUL.items()}
+    rows = g.apply(bars.events(spark, sf_dir), **parts).withColumn("run_id", F.col("symbol"))
+    return simulation.simulate(rows, RUN, "equity", None, rest).select("run_id", "bar_index", "equity", "contracts")
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.simulate(signals(spark, sf_dir), RUN, "fills")
 
@@ -259,6 +283,7 @@ RUNS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "run_fills": (lambda spark, sf_dir: rounded(fills(spark, sf_dir)), _FILLS_SQL),
     "run_stopped_equity": (lambda spark, sf_dir: rounded(simulation.output(stopped(spark, sf_dir), "equity").select("run_id", "bar_index", "equity", "contracts")), _STOPPED_EQUITY_SQL),
     "run_stopped_fills": (lambda spark, sf_dir: rounded(simulation.output(stopped(spark, sf_dir), "fills").select("run_id", "bar_index", "side", "price", "tag")), _STOPPED_FILLS_SQL),
+    "run_position_and_account": (lambda spark, sf_dir: rounded(stateful(spark, sf_dir)), _STATEFUL_SQL),
     "run_exposure": (lambda spark, sf_dir: rounded(exposure(spark, sf_dir)), _EXPOSURE_SQL),
     "run_trade_fills": (lambda spark, sf_dir: rounded(fills_of_trades(spark, sf_dir)), _TRADE_FILLS_SQL),
     "overnight_fills": (lambda spark, sf_dir: rounded(overnight(spark, sf_dir)), _OVERNIGHT_SQL),
