@@ -53,6 +53,9 @@ class Run:
     pessimistic: bool = True
     pyramiding: bool = False
     initial_margin: float = 0.0
+    #: Share of the initial margin that is asked for, for positions that do not last over night.
+    margin_ratio: float = 1.0
+    #: Otherwise an entry that the equity does not cover is filled all the same, and counted.
     reject_on_margin: bool = True
     max_fill_gap_seconds: float | None = None
     max_gross_contracts: int | None = None
@@ -66,6 +69,8 @@ class Run:
     def __post_init__(self):
         if self.initial_cash <= 0:
             raise ValueError("initial_cash must be positive")
+        if not 0 < self.margin_ratio <= 1:
+            raise ValueError("margin_ratio must lie in (0, 1]")
         if self.lag_bars < 1:
             raise ValueError("lag_bars must be at least 1: an order cannot fill on the bar that decides it")
         if self.sizing not in ("none", "fixed", "equity_fraction", "per_equity", "column"):
@@ -146,6 +151,9 @@ class Book:
     def open_profit(self) -> float:
         return self.quantity * self.run.multiplier * (self.mark - self.average) if self.quantity else 0.0
 
+    def margin(self, quantity: int | None = None) -> float:
+        return self.run.initial_margin * self.run.margin_ratio * abs(self.quantity if quantity is None else quantity)
+
     def exposure(self, quantity: int | None = None, price: float | None = None) -> float:
         q = self.quantity if quantity is None else quantity
         return q * self.run.multiplier * (price if price is not None else self.mark) if q else 0.0
@@ -191,9 +199,12 @@ class Account:
         if run.max_gross_contracts is not None and abs(wanted) > run.max_gross_contracts:
             return "gross_contracts"
         others = [b for b in self.books.values() if b is not book]
-        margin = sum(b.run.initial_margin * abs(b.quantity) for b in others) + run.initial_margin * abs(wanted)
-        if run.reject_on_margin and margin > equity:
-            return "margin"
+        if abs(wanted) > abs(book.quantity):
+            margin = sum(map(Book.margin, others)) + book.margin(wanted)
+            if margin > equity and run.initial_margin:
+                if run.reject_on_margin:
+                    return "margin"
+                self.counts["margin_warned"] += 1
         before, after = [book.exposure(price=price)], [book.exposure(wanted, price)]
         rest = [b.exposure() for b in others]
         worth = lambda xs, f: f(xs + rest) / equity if equity > 0 else float("inf")
@@ -330,8 +341,7 @@ def fold_stream(bars: Iterable[dict], run: Run | dict[str, Run], limits: Limits
             closed[bar["symbol"]] = len(account.trades) > trades
         equity = account.checked()
         account.peak = max(account.peak, equity)
-        margin = sum(b.run.initial_margin * abs(b.quantity) for b in account.books.values())
-        if margin > equity:
+        if sum(map(Book.margin, account.books.values())) > equity:
             account.counts["margin_short"] += 1
         held = sum(abs(b.quantity) if together else b.quantity for b in account.books.values())
         point = {"bar_index": i if together else group[0]["bar_index"], "ts": group[0]["ts"], "equity": equity, "cash": account.cash, "contracts": held}
@@ -350,7 +360,7 @@ def fold_stream(bars: Iterable[dict], run: Run | dict[str, Run], limits: Limits
         point = point | {"equity": account.checked(), "cash": account.cash, "contracts": sum(abs(b.quantity) for b in account.books.values())}
     if point:
         yield "equity", point
-    yield from (("counts", {"name": k, "n": n}) for k, n in sorted(account.counts.items()))
+    yield from (("counts", {"name": k, "n": n}) for k, n in sorted(account.counts.items()) if n)
 
 
 def fold_panel(bars: Iterable[dict], runs: dict[str, Run], limits: Limits | None = None, residual: dict[str, dict] | None = None) -> dict[str, list[dict]]:

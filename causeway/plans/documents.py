@@ -58,7 +58,7 @@ def _closed(section: str, given: dict, known: dict) -> dict:
 
 
 DATA = {"root": ..., "path": ..., "timestamp_column": None, "granularity_minutes": 1, "resample": None, "resample_min_bars": None, "session_only": False, "session": None, "alias": None}
-EXECUTION = {"fees": ..., "slippage": ..., "lag_bars": 1, "intrabar_priority": "pessimistic", "max_fill_gap_seconds": None, "margin_policy": "reject"}
+EXECUTION = {"fees": ..., "slippage": ..., "lag_bars": 1, "intrabar_priority": "pessimistic", "max_fill_gap_seconds": None, "margin_policy": "reject", "intraday_margin_ratio": None}
 DOCUMENT = {"name": "run", "format": None, "initial_cash": ..., "data": ..., "execution": ..., "strategy": ..., "definitions": {}, "events": [], "exogenous": [], "risk": {}, "panel": {}, "rebalance": {}, "seed": 0, "stop": None, "liquidate_at_end": False, "risk_free_annual": 0.0}
 
 
@@ -146,7 +146,7 @@ def settings(doc: dict, root: str) -> simulation.Run:
     modes = {"equity_fraction": "equity_fraction", "risk_fraction": "per_equity", "vol_target": "column", "signal": "column"}
     return simulation.Run(
         doc["initial_cash"], quantity=sizing.get("contracts") or doc["strategy"]["params"].get("quantity", 1), multiplier=spec["multiplier"], tick_size=spec["tick_size"], lag_bars=e["lag_bars"], pessimistic=e["intrabar_priority"] == "pessimistic",
-        initial_margin=spec["initial_margin"], reject_on_margin=e["margin_policy"] == "reject", max_fill_gap_seconds=e["max_fill_gap_seconds"], max_gross_contracts=doc["risk"].get("max_gross_contracts"), liquidate_at_end=doc["liquidate_at_end"],
+        initial_margin=spec["initial_margin"], reject_on_margin=e["margin_policy"] == "reject", margin_ratio=e["intraday_margin_ratio"] or 1.0, max_fill_gap_seconds=e["max_fill_gap_seconds"], max_gross_contracts=doc["risk"].get("max_gross_contracts"), liquidate_at_end=doc["liquidate_at_end"],
         sizing=modes.get(sizing.get("kind"), "none"), fraction=sizing.get("fraction") or 0.0, max_contracts=sizing.get("max_contracts"), category=spec["category"], pyramiding=doc["strategy"]["params"].get("pyramiding", False), costs=costs,
     )
 

@@ -276,6 +276,15 @@ def test_limits_slippage_and_flips():
     assert not refused["fills"]
 
 
+def test_margin_is_refused_warned_or_reduced():
+    rows = [bar(0, 10, 11, 9, 10, entry_long=1.0), bar(1, 10, 11, 9, 10)]
+    run = lambda **more: simulation.fold(rows, simulation.Run(100.0, initial_margin=150.0, **more))
+    assert run()["fills"] == [] and {c["name"]: c["n"] for c in run()["counts"]} == {"margin": 1}
+    warned = run(reject_on_margin=False)
+    assert len(warned["fills"]) == 1 and {c["name"]: c["n"] for c in warned["counts"]} == {"margin_short": 1, "margin_warned": 1}
+    assert len(run(margin_ratio=0.5)["fills"]) == 1 and run(margin_ratio=0.5)["counts"] == []
+
+
 def test_selection_statistics(spark):
     assert metrics.probabilistic_sharpe(0.1, 0.1, 100, 0.0, 3.0) == pytest.approx(0.5)
     assert metrics.expected_best_sharpe(0.04, 1) == 0.0 and metrics.expected_best_sharpe(0.04, 100) > metrics.expected_best_sharpe(0.04, 10)
