@@ -11,9 +11,11 @@ reads a later bar.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
-from collections import Counter
+import statistics
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -230,20 +232,77 @@ def _value(bar: dict, name: str) -> float | None:
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v)
 
 
-def evaluate(spec: dict, bar: dict, position: dict, account: dict) -> float | None:
-    """What is left of a rule once its parts without position or account are columns."""
-    kind, of = spec["type"].partition("@")[0], lambda k: evaluate(spec[k], bar, position, account)
+def statistic(stat: str, xs: list[float]) -> float:
+    """A rolling statistic of values, oldest first; all of them are defined."""
+    n, last = len(xs), xs[-1]
+    mean = sum(xs) / n
+    if stat in ("var", "stdev", "zscore"):
+        var = sum((x - mean) ** 2 for x in xs) / (n - 1)
+        return var if stat == "var" else math.sqrt(var) if stat == "stdev" else (last - mean) / math.sqrt(var) if var > 1e-24 else math.nan
+    if stat == "ema":
+        a = 2.0 / (n + 1)
+        return functools.reduce(lambda y, x: y + a * (x - y), xs)
+    if stat == "slope":
+        middle = (n - 1) / 2
+        return sum((i - middle) * x for i, x in enumerate(xs)) / sum((i - middle) ** 2 for i in range(n))
+    return {"mean": lambda: mean, "sum": lambda: sum(xs), "min": lambda: min(xs), "max": lambda: max(xs), "median": lambda: statistics.median(xs), "rank": lambda: sum(x <= last for x in xs) / n, "count_true": lambda: float(sum(x > 0 for x in xs))}[stat]()
+
+
+def _looking_back(kind: str, spec: dict, past: deque, of) -> float | None:
+    """A node over the past of its operands; ``past`` keeps what they were, newest last."""
+    if kind == "lag":
+        past.append(of("inner"))
+        return past[-1 - spec["bars"]] if len(past) > spec["bars"] else None
+    if kind == "rolling":
+        past.append(of("inner"))
+        xs = list(past)[:: -spec.get("stride", 1)][: spec["window"]][::-1]
+        if len(xs) < spec["window"] or None in xs:
+            return None
+        y = statistic(spec["stat"], xs)
+        return None if math.isnan(y) else y
+    if kind in ("bars_since", "value_when"):
+        past.append((of("inner"), of("when")) if kind == "value_when" else (None, of("inner")))
+        for ago, (value, met) in enumerate(list(past)[: -spec["lookback"] - 1 : -1]):
+            if met is None:
+                return None
+            if met:
+                return float(ago) if kind == "bars_since" else value
+        return None
+    fast, slow = of("fast"), of("slow")  # crossings
+    past.append(None if fast is None or slow is None else fast - slow)
+    if len(past) < 2 or None in (past[-2], past[-1]):
+        return None
+    sign = 1 if kind == "crosses_above" else -1
+    return float(sign * past[-2] <= 0 < sign * past[-1])
+
+
+#: Nodes that look back, and how many values of the past each keeps.
+LOOKS_BACK = {"lag": lambda s: s["bars"] + 1, "rolling": lambda s: (s["window"] - 1) * s.get("stride", 1) + 1, "bars_since": lambda s: s["lookback"], "value_when": lambda s: s["lookback"], "crosses_above": lambda s: 2, "crosses_below": lambda s: 2}
+
+
+def evaluate(spec: dict, bar: dict, position: dict, account: dict, pasts: dict[int, deque] | None = None) -> float | None:
+    """What is left of a rule once its parts without position or account are columns.
+
+    ``pasts`` has what nodes that look back remember from bar to bar; so every
+    node is worked out at every bar.
+    """
+    pasts = {} if pasts is None else pasts
+    kind, of = spec["type"].partition("@")[0], lambda k: evaluate(spec[k], bar, position, account, pasts)
     if kind == "column":
         return _value(bar, spec["name"])
     if kind == "constant":
         return float(spec["value"])
     if kind in ("position", "account"):
         return {"position": position, "account": account}[kind][spec.get("field", "quantity" if kind == "position" else "equity")]
+    if kind in LOOKS_BACK:
+        if id(spec) not in pasts:
+            pasts[id(spec)] = deque(maxlen=LOOKS_BACK[kind](spec))
+        return _looking_back(kind, spec, pasts[id(spec)], of)
     if kind == "if_then_else":
-        c = of("condition")
-        return None if c is None else of("then") if c else of("otherwise")
+        c, a, b = of("condition"), of("then"), of("otherwise")
+        return None if c is None else a if c else b
     if kind in ("all_of", "any_of", "min_of", "max_of"):
-        xs = [evaluate(x, bar, position, account) for x in spec["operands"]]
+        xs = [evaluate(x, bar, position, account, pasts) for x in spec["operands"]]
         if None in xs:
             return None
         return {"all_of": lambda: float(all(xs)), "any_of": lambda: float(any(xs)), "min_of": lambda: min(xs), "max_of": lambda: max(xs)}[kind]()
@@ -283,6 +342,7 @@ def fold_stream(bars: Iterable[dict], run: Run | dict[str, Run], limits: Limits
     initial = next(iter(run.values())).initial_cash if isinstance(run, dict) else run.initial_cash
     account, pending, point, residual = Account(initial, limits or Limits()), [], None, residual or {}
     ended: dict[str, dict] = {}
+    pasts: dict[str, dict[int, deque]] = defaultdict(dict)
 
     def told() -> Iterator[tuple[str, dict]]:
         yield from (("fills", x) for x in account.fills)
@@ -350,7 +410,7 @@ def fold_stream(bars: Iterable[dict], run: Run | dict[str, Run], limits: Limits
             book = account.books[bar["symbol"]]
             if residual:
                 states = book.state(closed[bar["symbol"]]), account.state()
-                bar = bar | {name: evaluate(rule, bar, *states) for name, rule in residual.items()}
+                bar = bar | {name: evaluate(rule, bar, *states, pasts[bar["symbol"]]) for name, rule in residual.items()}
             pending += decisions(book, bar, equity, i)
     if any(b.run.liquidate_at_end and b.quantity for b in account.books.values()):
         for symbol, book in account.books.items():

@@ -180,7 +180,8 @@ def _reads_state(spec) -> bool:
 def split(graph: Graph, spec: dict, parts: dict[str, str]) -> dict:
     """Replaces what does not read the position or the account by columns ``part_<n>``.
 
-    A window over the position's own past has no form here and is refused.
+    Windows of bars over the position's own past are kept by the simulation;
+    those of sessions or of other instruments have no form there and are refused.
     """
     if not _reads_state(spec):
         name = f"part_{len(parts)}"
@@ -189,7 +190,8 @@ def split(graph: Graph, spec: dict, parts: dict[str, str]) -> dict:
     kind = spec["type"].partition("@")[0]
     if kind in ("position", "account"):
         return spec
-    if kind not in ("compare", "arith", "all_of", "any_of", "not", "if_then_else", "math", "min_of", "max_of"):
+    plain = kind in ("compare", "arith", "all_of", "any_of", "not", "if_then_else", "math", "min_of", "max_of")
+    if not plain and (kind not in simulation.LOOKS_BACK or spec.get("across")):
         raise ConfigError(f"{kind} cannot look back at the position or the account")
     deeper = lambda v: split(graph, v, parts) if isinstance(v, dict) else [split(graph, x, parts) for x in v] if isinstance(v, list) else v
     return {k: deeper(v) if k != "note" else v for k, v in spec.items()}

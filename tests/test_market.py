@@ -234,11 +234,44 @@ def test_rules_that_read_the_position(spark, folder):
     doc["strategy"] = {"ref": "rules@1", "params": {"rules": {"entry_long": {"type": "constant", "value": 1}, "exit_long": {"type": "all_of", "operands": [held, {"type": "compare", "op": ">", "left": {"type": "price"}, "right": {"type": "constant", "value": 0}}]}}}}
     trades = documents.run(spark, doc)["trades"].collect()
     assert len(trades) > 50 and {t["closed_bar"] - t["opened_bar"] for t in trades} == {5}
-    doc["strategy"]["params"]["rules"]["exit_long"] = {"type": "lag", "bars": 1, "inner": held}
+    doc["strategy"]["params"]["rules"]["exit_long"] = {"type": "lag", "bars": 2, "inner": held}
+    trades = documents.run(spark, doc)["trades"].collect()
+    assert trades and {t["closed_bar"] - t["opened_bar"] for t in trades[:1]} == {7}
+    doc["strategy"]["params"]["rules"]["exit_long"] = {"type": "session_lag", "sessions": 1, "inner": held}
     with pytest.raises(documents.ConfigError):
         documents.run(spark, doc)
 
 
+def test_rules_over_the_positions_past_are_those_over_columns(spark, folder):
+    """The stateful evaluation of nodes that look back, against the compiled columns."""
+    from causeway.operators import nodes, simulation
+    from causeway.plans import data
+
+    df = bars.events(spark, SF).where("symbol = 'click'")
+    names = ["lag", "bars_since", "value_when", "crosses_above", "crosses_below", "if_then_else", *(f"rolling_{x}" for x in nodes.STATS), *(k for k in data.DOCUMENTS if k.startswith("rolling_stride_"))]
+    graph, parts = Graph(), {}
+    held = {"type": "position", "field": "quantity"}
+    # The position is 0 at every bar here; adding it makes each leaf a part of the state.
+    leaf = lambda x: {"type": "arith", "op": "+", "left": x, "right": held}
+
+    def stateful(x):
+        if isinstance(x, list):
+            return [stateful(y) for y in x]
+        if not isinstance(x, dict):
+            return x
+        return leaf(x) if x["type"] in ("price", "primitive") else {k: stateful(v) for k, v in x.items()}
+
+    specs = {n: data.DOCUMENTS[n] for n in names}
+    columns = {f"want_{n}": nodes.compile_node(graph, x) for n, x in specs.items()}
+    rules = {n: documents.split(graph, stateful(x), parts) for n, x in specs.items()}
+    rows = [r.asDict() for r in graph.apply(df, **columns, **parts).orderBy("bar_index").collect()]
+    pasts, empty = {n: {} for n in names}, {"quantity": 0.0}
+    for r in rows:
+        for n in names:
+            got, want = simulation.evaluate(rules[n], r, empty, {}, pasts[n]), r[f"want_{n}"]
+            assert (got is None) == (want is None) and (got is None or got == pytest.approx(float(want), rel=1e-9, abs=1e-9)), (n, r["bar_index"], got, want)
+
+
 def test_one_portfolio_over_instruments(spark, folder):
     doc = document(folder / "es.parquet", definitions={}, risk={"limits": {"max_positions": 1}, "sizing": {"kind": "vol_target", "vol_target": 0.001, "contracts": 2}})
     doc["data"] = [{"root": r, "path": str(folder / "es.parquet")} for r in ("ES", "NQ")]
