@@ -136,6 +136,15 @@ def repeated_trials(trials: DataFrame) -> DataFrame:
     return trials.groupBy("config").agg(F.countDistinct("result").alias("results")).where("results > 1")
 
 
+def trial_log(trials: DataFrame) -> DataFrame:
+    """(trials, variance, best): trials that differ in configuration or result, the sample variance of their ``sharpe`` and the largest.
+
+    These are what the expected best and the deflated ratio take.
+    """
+    each = trials.dropDuplicates(["config", "result"])
+    return each.agg(F.count(F.lit(1)).alias("trials"), F.var_samp("sharpe").alias("variance"), F.max("sharpe").alias("best"))
+
+
 def trial_correlation(series: DataFrame, least: int = 30) -> DataFrame:
     """(a, b, n, correlation) of every two trials on their common days; null where one is constant.
 

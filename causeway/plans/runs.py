@@ -197,6 +197,12 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.block_grid(rows, BLOCKS).selectExpr("config", "CAST(block AS BIGINT) AS block", "round(sharpe, 6) + 0D AS sharpe")
 
 
+def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of the grid as a trial, all of them archived twice."""
+    cells = grid(spark, sf_dir).selectExpr("concat(config, '/', block) AS config", "CAST(sharpe AS STRING) AS result", "sharpe")
+    return metrics.trial_log(cells.unionByName(cells))
+
+
 BLOCKS = 6
 _GRID_SQL = (
     f"WITH r AS (SELECT symbol AS config, ts_close, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts_close) AS x FROM {bars.events_sql()}), "
@@ -291,6 +297,7 @@ RUNS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "walk_forward": (forward, _FORWARD_SQL),
     "walk_forward_summary": (lambda spark, sf_dir: rounded(forward_summary(spark, sf_dir)), _FORWARD_SUMMARY_SQL),
     "block_grid": (grid, _GRID_SQL),
+    "trial_log": (lambda spark, sf_dir: rounded(trial_log(spark, sf_dir)), f"SELECT count(*) AS trials, round(var_samp(sharpe), 6) + 0.0 AS variance, round(max(sharpe), 6) + 0.0 AS best FROM ({_GRID_SQL})"),
     "run_buy_and_hold": (buy_and_hold, _HOLD_SQL),
     "drawdowns": (drawdown, _DRAWDOWN_SQL),
     "overfitting_splits": (overfitting, _overfitting_sql()),
