@@ -121,6 +121,22 @@ def trade_fills(trades: DataFrame, fills: DataFrame) -> DataFrame:
     return trades.join(f, ["run_id", "symbol"]).where(F.col("fill_bar").between(F.col("opened_bar"), F.col("closed_bar")))
 
 
+def trade_model(trades: DataFrame, fills: DataFrame) -> DataFrame:
+    """What a table of trades shows: each with ``holding`` in bars and the volume-weighted prices of its entries and exits."""
+    both = trade_fills(trades, fills)
+    into = (F.col("side") == F.col("direction")) & (F.col("fill_bar") < F.col("closed_bar"))
+    out_of = (F.col("side") == -F.col("direction")) & (F.col("fill_bar") > F.col("opened_bar"))
+    mean = lambda c: F.sum(F.when(c, F.col("quantity") * F.col("price"))) / F.sum(F.when(c, F.col("quantity")))
+    each = both.groupBy("run_id", "symbol", "opened_bar", "closed_bar").agg(mean(into).alias("entry_price"), mean(out_of).alias("exit_price"))
+    return each.withColumn("holding", F.col("closed_bar") - F.col("opened_bar"))
+
+
+def calmar(performance_: DataFrame, drawdowns_: DataFrame) -> DataFrame:
+    """(run_id, calmar): growth a year over the deepest fall; null without one."""
+    both = performance_.select("run_id", "cagr").join(drawdowns_.select("run_id", "max_drawdown"), "run_id")
+    return both.select("run_id", F.when(F.col("max_drawdown") < 0, F.col("cagr") / -F.col("max_drawdown")).alias("calmar"))
+
+
 def filtered_trades(trades: DataFrame, bars: DataFrame, year: int | None = None, direction: int | None = None) -> DataFrame:
     """Trades that were opened in a year (UTC, by the close of their bar) or have a direction, both if both are given."""
     if direction is not None:

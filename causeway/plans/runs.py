@@ -176,6 +176,26 @@ def fills_of_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.trade_fills(chosen, simulation.output(told, "fills")).select("run_id", "symbol", "opened_bar", "closed_bar", "direction", "fill_bar", "side", "quantity", "price", "tag")
 
 
+def model_of_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = simulation.simulate_all(signals(spark, sf_dir), RUN)
+    return metrics.trade_model(simulation.output(told, "trades"), simulation.output(told, "fills"))
+
+
+def calmar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = equity(spark, sf_dir)
+    return metrics.calmar(metrics.performance(curve), metrics.drawdowns(metrics.daily(curve)))
+
+
+_MODEL_SQL = (
+    f"{_RUN_SQL} SELECT run_id, symbol, opened_bar, closed_bar, closed_bar - opened_bar AS holding, round(i.price, 6) + 0.0 AS entry_price, round(o.price, 6) + 0.0 AS exit_price "
+    "FROM tr JOIN fi i USING (run_id, symbol) JOIN fi o USING (run_id, symbol) WHERE i.bar_index = opened_bar AND i.side = 1 AND o.bar_index = closed_bar AND o.side = -1"
+)
+_CALMAR_SQL = (
+    f"{_RUN_SQL}, d AS (SELECT run_id, max(ts) AS ts, arg_max(equity, ts) AS equity FROM eq GROUP BY run_id, floor(ts / 86400)), f AS (SELECT *, equity / max(equity) OVER (PARTITION BY run_id ORDER BY ts) - 1 AS fall FROM d) "
+    "SELECT run_id, round((power(arg_max(equity, ts) / arg_min(equity, ts), 31556952.0 / (max(ts) - min(ts))) - 1) / -min(fall), 6) + 0.0 AS calmar FROM f GROUP BY 1"
+)
+
+
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.simulate(metrics.folded(signals(spark, sf_dir), TRAIN, TEST), RUN)
 
@@ -298,6 +318,8 @@ RUNS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "walk_forward_summary": (lambda spark, sf_dir: rounded(forward_summary(spark, sf_dir)), _FORWARD_SUMMARY_SQL),
     "block_grid": (grid, _GRID_SQL),
     "trial_log": (lambda spark, sf_dir: rounded(trial_log(spark, sf_dir)), f"SELECT count(*) AS trials, round(var_samp(sharpe), 6) + 0.0 AS variance, round(max(sharpe), 6) + 0.0 AS best FROM ({_GRID_SQL})"),
+    "trade_model": (lambda spark, sf_dir: rounded(model_of_trades(spark, sf_dir)), _MODEL_SQL),
+    "run_calmar": (lambda spark, sf_dir: rounded(calmar(spark, sf_dir)), _CALMAR_SQL),
     "run_buy_and_hold": (buy_and_hold, _HOLD_SQL),
     "drawdowns": (drawdown, _DRAWDOWN_SQL),
     "overfitting_splits": (overfitting, _overfitting_sql()),
