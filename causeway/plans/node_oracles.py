@@ -179,4 +179,4 @@ def node_sql(spec: dict, bars: str, before: str = "") -> str:
     """(symbol, bar_index, value) of a document over bars (a parenthesised query); ``before`` has further tables."""
     tables = Tables(bars)
     last = tables.of(spec)
-    return f"WITH {before}{', '.join(tables.made)} SELECT symbol, i AS bar_index, round(v, 6) + 0.0 AS value FROM {last}"
+    return f"WITH {before}{', '.join(tables.made)} SELECT symbol, i AS bar_index, round(CAST(v AS DOUBLE), 6) + 0.0 AS value FROM {last}"
