@@ -46,17 +46,23 @@ def drawdowns(equity: DataFrame) -> DataFrame:
 
 
 def performance(equity: DataFrame, risk_free_annual: float = 0.0) -> DataFrame:
-    """One row a run: periods a year as measured, growth, volatility, Sharpe, Sortino, skew, kurtosis (not excess)."""
-    days = daily(equity)
-    span = days.groupBy("run_id").agg(F.count(F.lit(1)).alias("points"), (F.max("ts") - F.min("ts")).alias("seconds"), F.min_by("equity", "ts").alias("first"), F.max_by("equity", "ts").alias("last"), F.min("equity").alias("least"))
-    span = span.withColumn("years", F.col("seconds") / YEAR).withColumn("per_year", F.when(F.col("years") > 0, (F.col("points") - 1) / F.col("years")))
-    ret = returns(days).join(span.select("run_id", "per_year"), "run_id")
-    excess = F.col("ret") - (F.pow(F.lit(1 + risk_free_annual), 1 / F.col("per_year")) - 1)
-    stats = ret.withColumn("x", excess).groupBy("run_id").agg(
-        F.avg("x").alias("mean"), F.stddev_samp("x").alias("spread"), F.sqrt(F.avg(F.pow(F.least("x", F.lit(0.0)), 2))).alias("down"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurtosis"), F.count(F.lit(1)).alias("n")
-    )
+    """One row a run: periods a year as measured, growth, volatility, Sharpe, Sortino, skew, kurtosis (not excess).
+
+    The curve is read once: what a run's days have in common comes by a window.
+    """
+    run = Window.partitionBy("run_id")
+    days = daily(equity).withColumn("years", (F.max("ts").over(run) - F.min("ts").over(run)) / YEAR)
+    days = days.withColumn("per_year", F.when(F.col("years") > 0, (F.count(F.lit(1)).over(run) - 1) / F.col("years")))
+    before = F.lag("equity").over(run.orderBy("ts"))
+    days = days.withColumn("ret", F.when(before > 0, F.col("equity") / before - 1))
+    days = days.withColumn("x", F.col("ret") - (F.pow(F.lit(1 + risk_free_annual), 1 / F.col("per_year")) - 1))
+    below = F.when(F.col("x").isNotNull(), F.pow(F.least("x", F.lit(0.0)), 2))
+    both = days.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("points"), F.min_by("equity", "ts").alias("first"), F.max_by("equity", "ts").alias("last"), F.min("equity").alias("least"), F.max("years").alias("years"), F.max("per_year").alias("per_year"),
+        F.avg("x").alias("mean"), F.stddev_samp("x").alias("spread"), F.sqrt(F.avg(below)).alias("down"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurtosis"), F.count("x").alias("n"),
+    )
     root = F.sqrt("per_year")
-    return span.join(stats, "run_id", "left").select(
+    return both.select(
         "run_id", "points", "first", "last", "per_year",
         F.when((F.col("last") > 0) & (F.col("years") > 0), F.pow(F.col("last") / F.col("first"), 1 / F.col("years")) - 1).alias("cagr"),
         (F.col("spread") * root).alias("volatility"),
