@@ -42,6 +42,12 @@ def ema(g: Graph, x: str, n: int, length: int) -> str:
     return g.fir(x, response(lambda v: ema_series(v, n)[-1], length))
 
 
+def log_ratio(g: Graph, a: str, b: str) -> str:
+    """ln(a / b) as floating point has it, where Spark has an error or no value: infinite if one of them is 0, not a number if both are or their signs differ."""
+    r = g.let(f"CASE WHEN {b} <> 0 THEN {a} / {b} ELSE {a} * power({b}, -1) END")
+    return g.let(f"CASE WHEN {r} > 0 THEN ln({r}) WHEN {r} = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN {r} < 0 THEN CAST('NaN' AS DOUBLE) END")
+
+
 def slope(g: Graph, x: str, n: int) -> str:
     """Least-squares slope per bar over n values."""
     if n == 1:

@@ -123,10 +123,11 @@ class Graph:
     def when(self, condition: str, then: str, otherwise: str = "NULL") -> str:
         return self.let(f"CASE WHEN {condition} THEN {then} ELSE {otherwise} END")
 
-    def guard(self, x: str, bars: int, *whole: tuple[str, int]) -> str:
-        """x where ``bars`` bars are there and the result is finite; ``whole``: (column, n) without nulls."""
+    def guard(self, x: str, bars: int, *whole: tuple[str, int], finite: bool = True) -> str:
+        """x where ``bars`` bars are there and the result is finite, unless that is not asked; ``whole``: (column, n) without nulls."""
         full = "".join(f" AND {self.agg('count', c, n)} = {n}" for c, n in whole)
-        out = self.let(f"CASE WHEN bar_index >= {bars - 1} AND abs({x}) <= {BIGGEST}{full} THEN {x} END")
+        bound = f" AND abs({x}) <= {BIGGEST}" if finite else ""
+        out = self.let(f"CASE WHEN bar_index >= {bars - 1}{bound}{full} THEN {x} END")
         self.needs[out] = bars
         return out
 

@@ -72,6 +72,31 @@ def test_other_parameters_and_every_output(spark, duck, hours, part):
             raise AssertionError(f"{p.key} {given}: {e}") from e
 
 
+#: Hours of prices, among them 0, negative ones and none.
+ODD_HOURS = [(5.0, 7.0, 3.0, 4.0), (5.0, 0.0, 4.0), (0.0, 6.0, 2.0), (3.0, 8.0, 0.0), (0.0,), (-2.0, 3.0, 4.0), (-4.0, -6.0, -3.0), (None,), (2.0, 0.0, 9.0, 2.0), (-1.0, 0.0, 2.0), (1.0, 5.0, 0.0)]
+ODD_GAP = 12
+
+
+@pytest.mark.parametrize("name", ["garman_klass"])
+def test_prices_of_zero_or_less(spark, tmp_path, name):
+    """Infinite, undefined and missing values are those of the SQL, each alone in its windows and all together."""
+    rows, hour = [], 0
+    for gap in (ODD_GAP, 0):
+        for odd in ODD_HOURS:
+            plain = [(10.0 + k % 3, 12.0 + k % 5, 9.0, 11.0 + k % 2) for k in range(gap)]
+            for prices in [*plain, odd]:
+                rows += [(len(rows) + i, hour * 3600 + 60 * i, v) for i, v in enumerate(prices)]
+                hour += 1
+    made = spark.createDataFrame(rows, "event_id long, s long, value double")
+    made.selectExpr("event_id", "timestamp_seconds(s)::timestamp_ntz AS ts", "'a' AS event_type", "value").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {(a, b): str(v) for a, b, v in con.sql(primitives.oracle_sql()[f"prim_{name}"]).fetchall()}
+    assert len(want) == hour and {"inf", "nan", "None"} < set(want.values())
+    assert {(r["symbol"], r["bar_index"]): str(r["value"]) for r in primitives.queries()[f"prim_{name}"](spark, str(tmp_path)).collect()} == want
+
+
 def test_every_output_is_tried():
     for p in registry.everything().values():
         if "output" in p.defaults and p.name not in OUTPUTS:
