@@ -109,6 +109,8 @@ def _joined(fps: np.ndarray, radius: int, chain: int) -> list[tuple[int, int]]:
     ring = segments(radius)
     ring = ring[chain:] + ring[:chain]
     for i in range(n - 1):
+        if len(out) == n - 1:
+            break
         differ = fps[i] ^ fps[i + 1 :]
         near = np.ones(len(differ), bool)
         total = np.zeros(len(differ), np.int64)
@@ -176,6 +178,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
 
 
 LIKENESS_SHINGLE, LIKENESS = 5, 0.8
+#: Bits in which the fingerprints of a pair differ at most that ``alike`` finds by chains: with five segments a key has 25 bits.
+NEAR_RADIUS = 4
 #: Documents whose shingles are counted to tell common ones, and how many of those are kept. They order shingles, no more.
 SAMPLE, COMMON = 10_000, 50_000
 #: Members of a shingle's run that one task holds at most; a longer run is dealt to blocks, and in the end to pairs of blocks.
@@ -327,11 +331,24 @@ def _by_run(rows: DataFrame, likeness: float) -> DataFrame:
     return map_rows(rows.repartition("key", "block").sortWithinPartitions("key", "block", "n", "id"), runs, ddl, size=4096)
 
 
-def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKENESS, keep: tuple[str, ...] = (), run_rows: int | None = None) -> DataFrame:
+def print_pairs(sets: DataFrame, radius: int = NEAR_RADIUS) -> DataFrame:
+    """(id, fp) to pairs (a, b) of ids that join all of one fingerprint and of fingerprints within ``radius`` bits."""
+    first = written(sets.groupBy("fp").agg(F.min("id").alias("least")), "distinct-prints", 1 << 14)
+    same = sets.join(first, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    near = near_links(first, radius).toDF("x", "y").join(first.toDF("x", "a"), "x").join(first.toDF("y", "b"), "y")
+    return written(same.union(near.select(F.least("a", "b"), F.greatest("a", "b"))).distinct(), "print-pairs", 1 << 14)
+
+
+def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKENESS, keep: tuple[str, ...] = (), run_rows: int | None = None, radius: int = NEAR_RADIUS) -> DataFrame:
     """(row, text) to (row, component) and the columns of ``keep``: texts whose shingle sets have at least this Jaccard ratio.
 
-    Exact, by prefix filtering: with the shingles of all sets in one order,
-    rarest first, two sets of this likeness meet in the first
+    SimHash fingerprints within ``radius`` bits meet first, through pigeonring
+    chains, and the pairs are tested by the exact ratio. Sets of this likeness
+    may differ in more bits than any chain allows, so the others are looked for
+    among the sets that are not joined yet; a shingle whose sets all are is done.
+
+    That search is exact, by prefix filtering: with the shingles of all sets in
+    one order, rarest first, two sets of this likeness meet in the first
     ``n - ceil(n * likeness) + 1`` shingles of each. Members of a shingle's run
     are compared by parity fingerprints, whose distance bounds that of the sets
     from below; what is left is compared whole. Pairs that links found so far
@@ -349,30 +366,35 @@ def alike(docs: DataFrame, words: int = LIKENESS_SHINGLE, likeness: float = LIKE
     def marked(batches):
         for row, text, *rest in rows_of(batches, "row", "text", *keep):
             found = shingle_set(text, words)
-            yield row, *rest, xxh3_128_digest(found.tobytes()), len(found), parities(found), rarest_first(found, common)[: prefix_size(len(found), likeness)].view(np.int64)
+            yield row, *rest, xxh3_128_digest(found.tobytes()), len(found), fingerprint(shingle_hashes(text)), parities(found), rarest_first(found, common)[: prefix_size(len(found), likeness)].view(np.int64)
 
     kind = docs.schema["row"].dataType.simpleString()
-    sets = written(map_rows(docs.select("row", "text", *keep), marked, f"row {kind}{kept}, mark binary, n long, parity binary, prefix array<long>", size=1024), "shingle-prefixes")
+    sets = written(map_rows(docs.select("row", "text", *keep), marked, f"row {kind}{kept}, mark binary, n long, fp long, parity binary, prefix array<long>", size=1024), "shingle-prefixes")
     # A number once written stays: a set is named by it from here on.
-    distinct = sets.select("row", "mark", "n", "parity", "prefix").dropDuplicates(["mark"])
+    distinct = sets.select("row", "mark", "n", "fp", "parity", "prefix").dropDuplicates(["mark"])
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets", 1 << 14)
-    keys = distinct.select(F.explode("prefix").alias("key"), "n", "id")
-    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "id")).alias("least")).where("met > 1")
+    pairs = print_pairs(distinct.select("id", "fp"), radius)
+    links = _alike_pairs(docs, distinct, pairs, words, likeness)
+    reached = written(components(links), "joined-by-prints", 1 << 14)
+    named = few_rows(distinct.select("prefix", "n", "id"), reached.toDF("id", "root"), "id", "left")
+    keys = named.select(F.explode("prefix").alias("key"), "n", "id", F.coalesce("root", "id").alias("comp"))
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "id")).alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     blocks = F.ceil(F.col("met") / run_rows)
-    # Most keys have one document. They go before the parities come. Written, as its join may have keys of very many rows.
+    # Most keys have one document, or documents that are joined. They go before the parities come. Written, as its join may have keys of very many rows.
     met = written(met.select("key", blocks.alias("blocks"), F.col("least.id").alias("least")), "met-shingles", 1 << 14)
     shared = keys.join(met, "key")
     own = F.when(F.col("blocks") == 1, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")))
     everywhere = (F.col("blocks") > 1) & (F.col("id") == F.col("least"))
     shared = shared.withColumn("block", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))))
     shared = shared.join(distinct.select("id", "parity"), "id")
-    shared = written(shared.select("key", "block", "blocks", "n", "id", F.col("id").alias("comp"), F.lit(0).alias("first"), "parity"), "shared-shingles", 1 << 14)
-    links, long = None, not shared.where("blocks > 1").isEmpty()
+    shared = written(shared.select("key", "block", "blocks", "n", "id", "comp", F.lit(0).alias("first"), "parity"), "shared-shingles", 1 << 14)
+    forget(pairs, reached)
+    long = not shared.where("blocks > 1").isEmpty()
     while True:
         found = written(_by_run(shared, likeness), "run-pairs", 1 << 14)
         pairs = written(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs", 1 << 14)
         new = _alike_pairs(docs, distinct, pairs, words, likeness)
-        links = new if links is None else links.union(new)
+        links = links.union(new)
         reached = components(links)
         on = found.where("a IS NULL").select("key", "block", "first")
         if not long and on.isEmpty():

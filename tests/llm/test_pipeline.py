@@ -130,6 +130,26 @@ def test_near_dedup(spark, monkeypatch):
     assert 10 < len(want) < len(rows) - 20
 
 
+def test_near_dedup_goes_by_fingerprints_first(spark, monkeypatch):
+    """With the search by shingles switched off, what is left is what fingerprints tell and the ratio confirms."""
+    r = random.Random(8)
+    words = sentence(r, 800).split()
+    again = [*words[:400], "changed", *words[401:]]
+    chorus = "walks under the quiet glass"
+    rows = [(1, " ".join(words), "a"), (2, " ".join(again), "a"), (3, " ".join([*again[:600], "too", *again[601:]]), "b"), (4, body(r), "b")]
+    rows += [(i, f"{chorus} " * 60 + sentence(r, 8), "a") for i in (5, 6)]
+    prints = [pipeline.simhash.fingerprint(pipeline.simhash.shingle_hashes(t)) for _, t, _ in rows]
+    apart = lambda i, j: ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count()
+    assert max(apart(0, 1), apart(1, 2), apart(4, 5)) <= 4
+    assert brute_groups([t for _, t, _ in rows]) == [0, 0, 0, 3, 4, 5]
+    want = {1, 4, 5, 6}
+    runs = []
+    search = pipeline.simhash._by_run
+    monkeypatch.setattr(pipeline.simhash, "_by_run", lambda rows, likeness: search(runs.append({x["id"] for x in rows.collect()}) or rows.where("false"), likeness))
+    assert {x["doc_id"] for x in pipeline.dedup_near(spark, table(spark, rows), "").collect()} == want
+    assert runs and all(len(x) <= 2 for x in runs)  # 5 and 6 share shingles; 1 to 3 are joined and need no search
+
+
 def test_mixing(spark):
     r = random.Random(9)
     rows = [(i, body(r, 2), ("a", "b", "b", "b", "c", "c", "c", "c", None)[i % 9]) for i in range(500)] + ODD
